@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.llm import language_id
 from loomgraph.llm.common import read
 from loomgraph.llm.media import media_columns
 from loomgraph.llm.packing import pack
+from loomgraph.llm.simhash import near_duplicates
 from loomgraph.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
 def op4_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
@@ -26,8 +33,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"))
 
 
+def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    own = (op4_best_two_fit_packing, op6_media_columns, op8_token_counts)
+    own = (op1_language_id, op4_best_two_fit_packing, op6_media_columns, op8_token_counts, op10_simhash_near_duplicates)
     return {f.__name__: f for f in own}
 
 
