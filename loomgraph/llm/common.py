@@ -19,6 +19,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.session import ship_library
+
 #: The fold that no model may learn from.
 HELD_OUT_FOLD = 2
 FOLDS = 4
@@ -62,7 +64,8 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Bound Arrow batches by rows where the session has Spark's default, so that long texts fit a worker."""
+    """Ready the session for Arrow functions: executors get the library, batches at most `rows` rows."""
+    ship_library(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
@@ -98,3 +101,19 @@ def by_bytes(items: Iterable[tuple[int, str]], most: int) -> Iterator[list[tuple
             group, held = [], 0
     if group:
         yield group
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(id, label, text) of at most `per_class` labelled documents of each class outside the held-out fold.
+
+    Those whose ids hash smallest are taken. The ids are broadcast; `per_class` bounds them.
+    """
+    marked = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label"))
+    marked = marked.filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).distinct()
+    parts = [
+        marked.filter(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(per_class) for c in (0, 1)
+    ]
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    return texts.join(F.broadcast(parts[0].unionByName(parts[1])), "id").select("id", "label", "text")

@@ -13,8 +13,8 @@ table of bounded size.
 
 Defined results: a null text, or one without letters, is `und` with score 0; ties go to
 the language that sorts first; with no training rows every text is `und`; repeated rows
-give repeated results. Learning uses at most `per_language` documents of each language
-(those whose ids hash smallest) and their `most_words` commonest words.
+give repeated results. Learning uses about `per_language` documents of each language
+(those whose ids hash below that share of the range) and their `most_words` commonest words.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import by_bytes, cuts, held_out, public_vocabulary, small_batches
@@ -209,10 +209,10 @@ def fit(
     ).filter(F.col("lang").isNotNull() & ~held_out(F.col("id")))
     known = rows.select("id", "lang")
     prior = {r["lang"]: float(r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = known.withColumn("nth", nth).filter(F.col("nth") <= per_language).select("id", "lang").distinct()
-    # At most per_language rows for each language: a bound that doesn't grow with the table.
-    sample = rows.join(F.broadcast(chosen), ["id", "lang"])
+    # The ids that hash below a share of the range: `per_language` rows on average, however many there are.
+    shares = F.create_map(*(F.lit(x) for k, n in sorted(prior.items()) for x in (k, per_language / n)))
+    drawn = (F.xxhash64("id") / F.lit(2.0**64) + 0.5) < shares[F.col("lang")]
+    sample = rows.filter(drawn) if prior else rows.limit(0)
 
     def count(batches):
         tokens: dict[str, Counter] = defaultdict(Counter)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import language_id
+from loomgraph.llm import language_id, quality, toxicity
 from loomgraph.llm.common import read
 from loomgraph.llm.media import media_columns
 from loomgraph.llm.packing import pack
@@ -21,6 +21,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op3_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op4_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
@@ -38,7 +48,7 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_language_id, op4_best_two_fit_packing, op6_media_columns, op8_token_counts, op10_simhash_near_duplicates)
+    own = (op1_language_id, op2_quality_classifier, op3_toxicity_grammar, op4_best_two_fit_packing, op6_media_columns, op8_token_counts, op10_simhash_near_duplicates)
     return {f.__name__: f for f in own}
 
 
