@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.llm import language_id, quality, toxicity
+from loomgraph.llm import ann, language_id, quality, toxicity
 from loomgraph.llm.common import read
 from loomgraph.llm.media import media_columns
 from loomgraph.llm.packing import pack
@@ -39,6 +40,10 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read(spark, sf_dir, "documents"), keep_media=False)
 
 
+def op7_anisotropic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"))
 
@@ -48,7 +53,7 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_language_id, op2_quality_classifier, op3_toxicity_grammar, op4_best_two_fit_packing, op6_media_columns, op8_token_counts, op10_simhash_near_duplicates)
+    own = (op1_language_id, op2_quality_classifier, op3_toxicity_grammar, op4_best_two_fit_packing, op6_media_columns, op7_anisotropic_neighbours, op8_token_counts, op10_simhash_near_duplicates)
     return {f.__name__: f for f in own}
 
 
