@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import ann, language_id, quality, toxicity
+from loomgraph.llm import ann, language_id, pieces, quality, toxicity
 from loomgraph.llm.common import read
 from loomgraph.llm.media import media_columns
 from loomgraph.llm.packing import pack
@@ -36,6 +36,10 @@ def op4_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op5_shared_prefix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read(spark, sf_dir, "documents"), keep_ids=False)
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read(spark, sf_dir, "documents"), keep_media=False)
 
@@ -53,7 +57,7 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_language_id, op2_quality_classifier, op3_toxicity_grammar, op4_best_two_fit_packing, op6_media_columns, op7_anisotropic_neighbours, op8_token_counts, op10_simhash_near_duplicates)
+    own = (op1_language_id, op2_quality_classifier, op3_toxicity_grammar, op4_best_two_fit_packing, op5_shared_prefix_pieces, op6_media_columns, op7_anisotropic_neighbours, op8_token_counts, op10_simhash_near_duplicates)
     return {f.__name__: f for f in own}
 
 
