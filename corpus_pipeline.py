@@ -1,8 +1,66 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: from raw documents to packed training sequences.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage works on all that the one before it kept and takes effect: texts in no known
+language go, texts of low quality go, one document of each group of near copies stays,
+personal data is replaced, and what is left is packed. All stages but the last return
+the columns of `documents`.
 
+SQL can't express these stages; the tests hold the result against plain Python.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loomgraph.llm import language_id, packing, pii, quality, simhash
+from loomgraph.llm.common import materialize, read
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or whose language is not clear, go."""
+    return language_id.keep_identified(docs, language_id.fit(docs))
+
+
+def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.7 go."""
+    return quality.keep_good(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose fingerprints link, directly or by way of others, the smallest id stays."""
+    return simhash.one_of_each(docs)
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced by its kind; n_chars follows."""
+    return pii.hidden(docs, pii.fit(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents become pieces of sequences of 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", identify_language),
+    ("quality", judge_quality),
+    ("near_duplicates", remove_near_duplicates),
+    ("personal_data", hide_personal_data),
+    ("packing", pack_sequences),
+]
+
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each one's result written and read again by the next."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = materialize(docs)
+    return docs

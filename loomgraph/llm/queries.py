@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import ann, language_id, pieces, quality, toxicity
+from loomgraph.llm import ann, language_id, pieces, pii, quality, toxicity
 from loomgraph.llm.common import read
 from loomgraph.llm.media import media_columns
 from loomgraph.llm.packing import pack
@@ -52,12 +52,28 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii.personal_data(docs, pii.fit(docs))
+
+
 def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_language_id, op2_quality_classifier, op3_toxicity_grammar, op4_best_two_fit_packing, op5_shared_prefix_pieces, op6_media_columns, op7_anisotropic_neighbours, op8_token_counts, op10_simhash_near_duplicates)
+    own = (
+        op1_language_id,
+        op2_quality_classifier,
+        op3_toxicity_grammar,
+        op4_best_two_fit_packing,
+        op5_shared_prefix_pieces,
+        op6_media_columns,
+        op7_anisotropic_neighbours,
+        op8_token_counts,
+        op9_personal_data,
+        op10_simhash_near_duplicates,
+    )
     return {f.__name__: f for f in own}
 
 

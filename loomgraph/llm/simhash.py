@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import cuts, materialize, small_batches
@@ -260,5 +260,24 @@ def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", te
     )
 
 
+def one_of_each(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, of the document with the smallest id of each group.
+
+    Rows that repeat an id are one document: the row whose text sorts first stays. A document
+    without an id stands behind all that have one.
+    """
+    key = "key_of_document"
+    while key in docs.columns:
+        key += "_"
+    text = docs[text_col].cast("string")
+    behind = F.lit(1 << 62) + F.shiftright(F.abs(F.xxhash64(text)), 2)
+    keyed = docs.withColumn(key, F.coalesce(docs[id_col].cast("long"), behind))
+    groups = near_duplicates(keyed, radius, key, text_col)
+    chosen = groups.filter(F.col(key) == F.col("component_id")).select(key).distinct()
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.col(text_col).asc_nulls_first()))
+    nth = key + "_nth"
+    return keyed.join(chosen, key).withColumn(nth, first).filter(F.col(nth) == 1).select(*docs.columns)
+
+
 def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), BITS // 4, "0")
