@@ -1,13 +1,15 @@
-"""What a session needs before it runs this library's Python functions on executors."""
+"""What a session needs: the library on its executors, and tables in the folder that all of them share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -27,3 +29,44 @@ def ship_library(spark: SparkSession) -> None:
             out.write(path, path.relative_to(package.parent))
     context.addPyFile(archive)
     _SHIPPED.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local runs."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where is None:
+        where = f"file://{os.path.join(tempfile.gettempdir(), 'loomgraph-checkpoints')}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a frame as a table in the shared folder and read it again.
+
+    This cuts the lineage, and what a lost executor had computed is not computed anew.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/loomgraph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dense_ids(df: DataFrame, order: list[str], name: str, first: int) -> DataFrame:
+    """Number rows first, first + 1, ... in the given order, without gaps and without one task that sees all rows.
+
+    Rows are sorted by range, so a row's id is the number of rows in the partitions before
+    its own plus its place there; only one count per partition reaches the driver.
+    """
+    place = "place_in_partition"
+    low = (1 << 33) - 1  # monotonically_increasing_id keeps the row's place in its lower 33 bits
+    placed = materialize(df.orderBy(*order).withColumn(place, F.monotonically_increasing_id()))
+    part = F.shiftright(place, 33)
+    counts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+    starts, at = {}, first
+    for row in counts:
+        starts[row["part"]] = at
+        at += row["n"]
+    spark = df.sparkSession
+    offsets = spark.createDataFrame(list(starts.items()) or [(0, first)], "part long, start long")
+    numbered = placed.withColumn("part", part).join(F.broadcast(offsets), "part")
+    return numbered.withColumn(name, F.col("start") + F.col(place).bitwiseAND(F.lit(low))).drop("part", "start", place)
