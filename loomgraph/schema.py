@@ -37,34 +37,53 @@ CLASS_KINDS = ("class", "interface", "enum")
 FIELD_KINDS = ("field", "variable")
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+ANNOTATION = T.StructType(
+    [
+        T.StructField("name", T.StringType()),
+        T.StructField("args", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("line", T.IntegerType()),
+    ]
+)
+_TYPES = {
+    "long": T.LongType(),
+    "int": T.IntegerType(),
+    "string": T.StringType(),
+    "boolean": T.BooleanType(),
+    "longs": T.ArrayType(T.LongType()),
+    "strings": T.ArrayType(T.StringType()),
+    "floats": T.ArrayType(T.FloatType()),
+    "annotations": T.ArrayType(ANNOTATION),
+}
+
+
+def _struct(fields: str) -> T.StructType:
+    """A schema from `name type` pairs; unlike Spark's own parser this needs no session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in map(str.split, fields.split(", "))])
 
 
-ANNOTATION = "struct<name:string,args:map<string,string>,line:int>"
 SYMBOLS = _struct(
     "id long, name string, kind string, scope string, scope_id long, type_ref long, type_name string, file string, "
-    f"line int, end_line int, signature string, doc string, annotations array<{ANNOTATION}>, language string"
+    "line int, end_line int, signature string, doc string, annotations annotations, language string"
 )
-CHAINS = _struct("func_id long, chain array<long>")
+CHAINS = _struct("func_id long, chain longs")
 CALL_RECORDS = _struct(
-    "caller_id long, call_name string, position int, arg_exprs array<string>, line int, condition string, "
+    "caller_id long, call_name string, position int, arg_exprs strings, line int, condition string, "
     "is_loop_body boolean, effect string, effect_desc string, target_class string, target_method string"
 )
 CALL_SITES = _struct(
     "name_key string, caller_id long, call_name string, line int, condition string, is_loop_body boolean, "
-    "arg_exprs array<string>"
+    "arg_exprs strings"
 )
 EDGES = _struct(
     "caller_id long, callee_id long, position int, condition string, effect string, effect_desc string, "
-    "arg_ids array<long>, is_loop_body boolean, is_recursive boolean"
+    "arg_ids longs, is_loop_body boolean, is_recursive boolean"
 )
 FILES = _struct("path string, language string, bytes long, lines int")
-EMBEDDINGS = _struct("symbol_id long, vector array<float>")
+EMBEDDINGS = _struct("symbol_id long, vector floats")
 META = _struct("version long, next_id long")
 STATS = _struct("symbols long, chains long, edges long, files long, next_id long")
 
 #: What a parser gives for each file; ids inside are local to the file.
 PARSED_SYMBOLS = T.StructType([T.StructField("path", T.StringType()), *SYMBOLS.fields])
-PARSED_CHAINS = _struct("path string, func_id long, chain array<long>")
+PARSED_CHAINS = _struct("path string, func_id long, chain longs")
 PARSED_CALLS = T.StructType([T.StructField("path", T.StringType()), *CALL_RECORDS.fields])

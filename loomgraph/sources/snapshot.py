@@ -7,6 +7,8 @@ ask for; Parquet's statistics then skip most of a table.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,13 +51,18 @@ def write(graph: Graph, root: str, partitions: int | None = None) -> int:
     spark = graph.spark
     before = current(spark, root)
     version = before[0] + 1 if before else 1
-    for name, (kind, key) in TABLES.items():
+
+    def save(name: str) -> None:
+        kind, key = TABLES[name]
         df = getattr(graph, name)
         if df is None:
             df = spark.createDataFrame([], kind)
         columns = [key] if partitions is None else [partitions, key]
         ranged = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in kind.fields)).repartitionByRange(*columns)
         ranged.sortWithinPartitions(key).write.mode("overwrite").parquet(f"{root}/v{version}/{name}")
+
+    with ThreadPoolExecutor(4) as pool:  # the tables don't depend on each other
+        list(pool.map(save, TABLES))
     # What was written is counted, not computed again.
     found = read(spark, root, version)
     counted = stats(found)

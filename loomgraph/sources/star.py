@@ -17,6 +17,8 @@ from loomgraph.schema import EMBEDDINGS, FILES, MARKERS, SYMBOLS
 
 REGION, NATION, EVENT_TYPE = 100, 1_000, 500
 SUPPLIER, CUSTOMER, PART, ORDER, USER = 1_000_000, 2_000_000, 10_000_000, 20_000_000, 40_000_000
+#: Each order has a variable `v`, typed by the supplier of its first line, and a parameter `q`.
+VARIABLE, PARAMETER = 60_000_000, 80_000_000
 #: The order of an order's lines; line numbers alone are not unique.
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_returnflag")
 
@@ -72,6 +74,14 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
             t("orders"), ORDER, "o_orderkey", F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")), "method", scope=own,
             file=F.col("o_orderpriority"), scope_id=F.col("o_custkey") + CUSTOMER, annotations=_annotations("o_orderstatus"),
         ),
+        _symbol(
+            t("orders").join(_first_suppliers(spark, sf_dir), "o_orderkey", "left"), VARIABLE, "o_orderkey", F.lit("v"), "variable",
+            scope=F.lit("local"), scope_id=F.col("o_orderkey") + ORDER, file=F.col("o_orderpriority"), type_name=F.col("type_name"),
+        ),
+        _symbol(
+            t("orders"), PARAMETER, "o_orderkey", F.lit("q"), "parameter", scope=F.lit("parameter"), scope_id=F.col("o_orderkey") + ORDER,
+            file=F.col("o_orderpriority"), type_name=F.lit("Integer"),
+        ),
         _symbol(event_types(spark, sf_dir), 0, "type_id", F.col("event_type"), "function", file=F.lit("events")),
         _symbol(t("events").select("user_id").distinct(), USER, "user_id", F.concat(F.lit("user_"), F.col("user_id").cast("string")), "function", file=F.lit("events")),
     ]
@@ -81,6 +91,13 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def _first_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_orderkey, type_name): the supplier's name of each order's first line."""
+    first = F.min_by("l_suppkey", F.struct(*LINE_ORDER)).alias("s_suppkey")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(first)
+    return lines.join(table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("type_name")), "s_suppkey").drop("s_suppkey")
+
+
 def _ordered(df: DataFrame, owner: Column, order: list[Column], elements: Column) -> DataFrame:
     """(func_id, chain): the owner, then the elements of its rows in order."""
     keys = [o.alias(f"k{i}") for i, o in enumerate(order)]
@@ -136,14 +153,16 @@ def call_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     position = F.coalesce(F.sum(nested * 2 + 1).over(before), F.lit(0)) + nested + 1
     placed = lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus", "l_returnflag", "l_quantity", position.cast("int").alias("position"))
     named = placed.join(parts, placed.l_partkey == parts.p_partkey).join(suppliers, placed.l_suppkey == suppliers.s_suppkey)
-    call_name = F.concat(F.when(F.col("l_linestatus") == "O", F.col("s_name")).otherwise(F.col("p_brand")), F.lit("."), F.col("p_name"))
+    receiver = F.when(F.col("l_returnflag") == "A", F.lit("v")).when(F.col("l_linestatus") == "O", F.col("s_name")).otherwise(F.col("p_brand"))
+    call_name = F.concat(receiver, F.lit("."), F.col("p_name"))
+    quantity = F.col("l_quantity").cast("int").cast("string")
     named = named.withColumn("call_name", call_name).withColumn("found", classify(F.col("call_name")))
     text = F.lit(None).cast("string")
     return named.select(
         (F.col("l_orderkey") + ORDER).alias("caller_id"),
         "call_name",
         "position",
-        F.array(F.col("l_quantity").cast("int").cast("string")).alias("arg_exprs"),
+        F.when(F.col("l_returnflag") == "A", F.array(F.lit("v"), F.lit("q"), quantity)).otherwise(F.array(quantity)).alias("arg_exprs"),
         F.col("l_linenumber").cast("int").alias("line"),
         F.when(F.col("l_returnflag") == "R", F.lit("returned")).alias("condition"),
         (F.col("l_returnflag") == "A").alias("is_loop_body"),
