@@ -11,15 +11,14 @@ Conventions that hold for all operators here:
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.session import ship_library
+from loomgraph.session import materialize, ship_library
+
+__all__ = ["by_bytes", "cuts", "held_out", "labelled_sample", "materialize", "public_vocabulary", "read", "small_batches"]
 
 #: The fold that no model may learn from.
 HELD_OUT_FOLD = 2
@@ -43,26 +42,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold == HELD_OUT_FOLD, F.lit(True))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local runs."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        where = f"file://{os.path.join(tempfile.gettempdir(), 'loomgraph-checkpoints')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a frame as a table in the shared folder and read it again.
-
-    This cuts the lineage, and what a lost executor had computed is not computed anew.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/loomgraph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Ready the session for Arrow functions: executors get the library, batches at most `rows` rows."""
     ship_library(spark)

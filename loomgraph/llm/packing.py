@@ -6,10 +6,13 @@ length, a table of at most `size` rows whatever the corpus holds, so the bins ar
 planned on the driver from that histogram and the pieces then find their places by
 rank: one pass over the text, one shuffle of short rows, no group that grows.
 
-A bin is filled greedily (the longest piece that still fits, again and again); then
-its smallest piece is replaced by the two unpacked pieces that fill the widened gap
-best, as long as that leaves less room. The same choice is made again as long as the
-same pieces remain, so a plan is a short list of (contents, how many times).
+A bin is filled greedily (the longest piece that still fits, again and again); then, if
+more room is left than is worth wasting, its smallest piece is replaced by the two
+unpacked pieces that fill the widened gap best (the most even two of equal sums), as
+long as that leaves less room. Replacing for a few tokens would use up the short pieces
+that later bins need: measured, bins with up to 1/128 of room are best left alone. The
+same choice is made again as long as the same pieces remain, so a plan is a short list
+of (contents, how many times).
 
 Defined results: null text is an empty text, one piece holding only the end id;
 repeated rows are packed as often as they occur; an empty table gives no rows.
@@ -79,8 +82,12 @@ def piece_bounds(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, size) for at in range(first, n, size))]
 
 
-def plan_bins(counts: np.ndarray, size: int) -> list[tuple[list[int], int]]:
-    """Best-two-fit over counts[length]: (lengths in a bin, longest first; number of such bins)."""
+def plan_bins(counts: np.ndarray, size: int, waste: int | None = None) -> list[tuple[list[int], int]]:
+    """Best-two-fit over counts[length]: (lengths in a bin, longest first; number of such bins).
+
+    waste: the room up to which a bin is left as it is, by default 1/128 of a bin.
+    """
+    waste = size // 128 if waste is None else waste
     left = counts.astype(np.int64).copy()
     plan = []
     while True:
@@ -96,7 +103,7 @@ def plan_bins(counts: np.ndarray, size: int) -> list[tuple[list[int], int]]:
                 break
             used[pick] += 1
             gap -= pick
-        while gap and (better := _two_for(min(used), gap + min(used), left, used)):
+        while gap > waste and (better := _two_for(min(used), gap + min(used), left, used)):
             smallest = min(used)
             used[smallest] -= 1
             used += Counter(better)  # also drops what is no longer used
@@ -108,7 +115,7 @@ def plan_bins(counts: np.ndarray, size: int) -> list[tuple[list[int], int]]:
 
 
 def _two_for(smallest: int, gap: int, left: np.ndarray, used: Counter[int]) -> tuple[int, int] | None:
-    """The two unpacked lengths with the largest sum over `smallest` and within `gap`, if there are any."""
+    """The two unpacked lengths with the largest sum over `smallest` and within `gap`, the most even ones of equals."""
     free = [int(n) for n in np.flatnonzero(left[:gap]) if left[n] > used[int(n)]]
     low, high, most, best = 0, len(free) - 1, smallest, None
     while low <= high:
@@ -117,7 +124,7 @@ def _two_for(smallest: int, gap: int, left: np.ndarray, used: Counter[int]) -> t
             high -= 1
             continue
         alone = low == high and left[free[low]] - used[free[low]] < 2
-        if both > most and not alone:
+        if not alone and (both > most or (best and both == most)):
             most, best = both, (free[low], free[high])
         low += 1
     return best

@@ -221,16 +221,7 @@ class Tagger:
         e, (both, fm, bm) = self.emissions(codes, mask, keep=True)
         e = e.astype(np.float64)
         trans, start = self.p["trans"].astype(np.float64), self.p["start"].astype(np.float64)
-        alpha = np.zeros((steps, rows, TAGS))
-        alpha[0] = start + e[0]
-        for t in range(1, steps):
-            step = _log_sum(alpha[t - 1][:, :, None] + trans, 1) + e[t]
-            alpha[t] = np.where(mask[:, t, None], step, alpha[t - 1])
-        beta = np.zeros((steps, rows, TAGS))
-        for t in range(steps - 2, -1, -1):
-            step = _log_sum(trans + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-            beta[t] = np.where(mask[:, t + 1, None], step, beta[t + 1])
-        log_z = _log_sum(alpha[-1], 1)
+        alpha, beta, log_z = self._sums(e, mask)
         marginal = np.exp(alpha + beta - log_z[None, :, None]) * mask.T[:, :, None]
         grads = {k: np.zeros_like(v) for k, v in self.p.items()}
         row = np.arange(rows)
@@ -257,8 +248,26 @@ class Tagger:
         self._lstm_gradient("b", codes, mask, bm, d_both[:, :, n:], grads)
         return float((log_z - gold).mean()), grads
 
+    def _sums(self, e: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward and backward log-sums over all tag sequences, and their total for each row."""
+        steps, rows, _ = e.shape
+        trans, start = self.p["trans"].astype(np.float64), self.p["start"].astype(np.float64)
+        alpha, beta = np.zeros((steps, rows, TAGS)), np.zeros((steps, rows, TAGS))
+        alpha[0] = start + e[0]
+        for t in range(1, steps):
+            step = _log_sum(alpha[t - 1][:, :, None] + trans, 1) + e[t]
+            alpha[t] = np.where(mask[:, t, None], step, alpha[t - 1])
+        for t in range(steps - 2, -1, -1):
+            step = _log_sum(trans + (e[t + 1] + beta[t + 1])[:, None, :], 2)
+            beta[t] = np.where(mask[:, t + 1, None], step, beta[t + 1])
+        return alpha, beta, _log_sum(alpha[-1], 1)
+
+    def _posterior(self, e: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        alpha, beta, log_z = self._sums(e, mask)
+        return np.exp(alpha + beta - log_z[None, :, None])
+
     def decode(self, texts: list[str], group: int = 2048) -> list[list[tuple[int, int, int, float]]]:
-        """Viterbi spans (kind, start, end, least probability of their tags by emission) of each window."""
+        """Viterbi spans (kind, start, end, least posterior probability of their tags) of each window."""
         found: list = [[] for _ in texts]
         order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
         for at in range(0, len(order), group):
@@ -269,10 +278,13 @@ class Tagger:
             mask = np.arange(codes.shape[1]) < lengths[:, None]
             e, _ = self.emissions(codes, mask)
             tags = self._viterbi(e, mask)
-            odds = np.exp(e - e.max(2, keepdims=True))
-            sure = np.take_along_axis(odds / odds.sum(2, keepdims=True), tags.T[:, :, None], 2)[:, :, 0].T
-            for r in np.flatnonzero((tags * mask).any(1)):
-                found[part[r]] = _spans_of(tags[r, : lengths[r]].tolist(), sure[r])
+            hits = np.flatnonzero((tags * mask).any(1))
+            if not len(hits):
+                continue
+            posterior = self._posterior(e[:, hits].astype(np.float64), mask[hits])
+            sure = np.take_along_axis(posterior, tags[hits].T[:, :, None], 2)[:, :, 0].T
+            for r, probabilities in zip(hits, sure, strict=True):
+                found[part[r]] = _spans_of(tags[r, : lengths[r]].tolist(), probabilities)
         return found
 
     def _viterbi(self, e: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -449,7 +461,7 @@ def _plausible(kind: int, text: str, span: tuple[int, int]) -> bool:
     return passes(kind, value) and (kind == 2 or re.search(r"[^0-9]", value) is not None)
 
 
-def find_spans(texts: list[str], tagger: Tagger, least: float = 0.9) -> list[tuple[list[Span], list[Span]]]:
+def find_spans(texts: list[str], tagger: Tagger, least: float = 0.5) -> list[tuple[list[Span], list[Span]]]:
     """For each text, its base spans and the spans that the model adds."""
     base = [base_spans(t) for t in texts]
     cut = [(i, a, b) for i, t in enumerate(texts) for a, b in windows(t)]
