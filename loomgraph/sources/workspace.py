@@ -37,6 +37,25 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return found.select(bare.alias("path"), relative.alias("relative"), F.col("length").alias("bytes"), "content")
 
 
+def ignore_lists(spark: SparkSession, root: str) -> dict[str, list[str]]:
+    """Lines of the ignore files below the root, by folder. Spark's readers pass over such files, so Hadoop's do it."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    prefix, found, listed = system.makeQualified(top).toString().rstrip("/"), {}, system.listFiles(top, True)
+    while listed.hasNext():
+        path = listed.next().getPath()
+        if path.getName() in IGNORE_FILES:
+            stream = system.open(path)
+            try:
+                text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            folder = path.getParent().toString().removeprefix(prefix).strip("/")
+            found.setdefault(folder, []).extend(text.splitlines())
+    return found
+
+
 def is_hidden(relative: Column) -> Column:
     return relative.rlike(r"(^|/)\.")
 
@@ -84,11 +103,7 @@ def files(spark: SparkSession, root: str, headers: str | None = None, languages:
     status is `ok`, or `skipped` for files of 4 MiB and more or that are not UTF-8.
     """
     rows = scan(spark, root)
-    names = F.regexp_extract("relative", r"([^/]*)$", 1)
-    lists = rows.filter(names.isin(*IGNORE_FILES)).select("relative", F.col("content").cast("string").alias("text")).collect()  # the ignore files
-    patterns: dict[str, list[str]] = {}
-    for r in lists:
-        patterns.setdefault(r["relative"].rpartition("/")[0], []).extend(r["text"].splitlines())
+    patterns = ignore_lists(spark, root)
     ignored = ignore_test(patterns)
 
     @F.pandas_udf("boolean")
