@@ -10,7 +10,7 @@ from __future__ import annotations
 import ast
 import json
 import re
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 from loomgraph.functions.effects import classify_text
 from loomgraph.schema import CLASS_KINDS, FIRST_SYMBOL_ID, MARKERS
@@ -126,23 +126,26 @@ class Emitter:
             self.nodes(body, chain, condition, loop, depth)
 
     def _if(self, node: Node, chain, condition, loop, depth) -> None:
+        """An else gets a marker; an elif is an if of its own instead, and so is what follows it."""
+        test = node.text or condition
         self._mark(chain, "IF_TRUE")
-        self.nodes(node.head, chain, None, loop, depth)
-        self.nodes(node.bodies[0], chain, node.text or None, loop, depth)
+        self.nodes(node.head, chain, test, loop, depth)
+        self.nodes(node.bodies[0], chain, test, loop, depth)
         if len(node.bodies) > 1:
             chained = len(node.bodies[1]) == 1 and node.bodies[1][0].kind == "if" and node.bodies[1][0].chained
-            if not chained:
+            if not (chained or node.chained):
                 self._mark(chain, "IF_FALSE")
-            self.nodes(node.bodies[1], chain, f"!{node.text}" if node.text else None, loop, depth)
+            self.nodes(node.bodies[1], chain, f"!{test}" if test else None, loop, depth)
         self._mark(chain, "BRANCH_END")
 
     def _loop(self, node: Node, chain, condition, loop, depth) -> None:
+        test = node.text or condition
         self._mark(chain, "LOOP")
         if not node.test_last:
-            self.nodes(node.head, chain, None, True, depth)
-        self.nodes(node.bodies[0], chain, None, True, depth)
+            self.nodes(node.head, chain, test, True, depth)
+        self.nodes(node.bodies[0], chain, test, True, depth)
         if node.test_last:
-            self.nodes(node.head, chain, None, True, depth)
+            self.nodes(node.head, chain, test, True, depth)
         self._mark(chain, "LOOP_BACK")
 
     def _switch(self, node: Node, chain, condition, loop, depth) -> None:
@@ -281,7 +284,8 @@ class _Python:
             return [Node("if", line=s.lineno, text=self.source(s.test), head=self.calls(s.test), bodies=bodies)]
         if isinstance(s, ast.For | ast.AsyncFor | ast.While):
             head = self.calls(s.test if isinstance(s, ast.While) else s.iter)
-            return [Node("loop", line=s.lineno, head=head, bodies=[self.statements(s.body)]), *self.statements(s.orelse)]
+            text = self.source(s.test) if isinstance(s, ast.While) else ""
+            return [Node("loop", line=s.lineno, text=text, head=head, bodies=[self.statements(s.body)]), *self.statements(s.orelse)]
         if isinstance(s, ast.Return):
             return [Node("return", line=s.lineno, head=self.calls(s.value))]
         if isinstance(s, ast.Raise):
@@ -316,7 +320,7 @@ def parse(path: str, language: str, text: str) -> dict | None:
                 return None
             emitter.scopes(found)
         return emitter.result()
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, IndexError, RecursionError):
         return None
 
 
@@ -324,6 +328,3 @@ def parse_json(path: str, language: str, text: str) -> str | None:
     found = parse(path, language, text)
     return json.dumps(found) if found is not None else None
 
-
-def as_dict(scope: Scope) -> dict:
-    return asdict(scope)

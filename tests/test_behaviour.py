@@ -255,7 +255,7 @@ def chain_text(result, name):
 def test_python_parser():
     found = parsers.parse("m.py", "python", PYTHON)
     assert chain_text(found, "process") == [
-        "[LOOP]", "[IF_TRUE]", "save", "load", "[IF_TRUE]", "skip", "[IF_FALSE]", "other", "[BRANCH_END]", "[BRANCH_END]", "[LOOP_BACK]",
+        "[LOOP]", "[IF_TRUE]", "save", "load", "[IF_TRUE]", "skip", "other", "[BRANCH_END]", "[BRANCH_END]", "[LOOP_BACK]",
         "risky", "[IF_TRUE]", "handle", "[BRANCH_END]", "ok", "cleanup", "[RETURN]",
     ]
     assert chain_text(found, "area") == ["[SWITCH_CASE]", "one", "[SWITCH_END]", "[SWITCH_CASE]", "[THROW]", "other", "[SWITCH_END]", "[LOOP]", "test", "[BREAK]", "[LOOP_BACK]"]
