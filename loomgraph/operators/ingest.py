@@ -9,7 +9,7 @@ from loomgraph.functions.markers import is_symbol
 from loomgraph.functions.text import after_first_dot, first_name, short_name
 from loomgraph.plans.tables import Graph
 from loomgraph.schema import CALL_RECORDS, CALL_SITES, CALLABLE_KINDS, EDGES, FILES, FIRST_SYMBOL_ID, SYMBOLS
-from loomgraph.session import dense_ids
+from loomgraph.session import dense_ids, materialize
 
 #: What speaks for one of several symbols of the called name.
 OVERRIDE_SCORE, CHAIN_SCORE, CALLABLE_SCORE, SAME_FILE_SCORE = 10, 5, 4, 3
@@ -95,7 +95,8 @@ def resolve_calls(symbols: DataFrame, chains: DataFrame, calls: DataFrame) -> Da
     wanted = alias_names(symbols, calls.select("caller_id", "position", "call_name", "target_class", "target_method"))
     caller_file = symbols.select(F.col("id").alias("caller_id"), F.col("file").alias("caller_file"))
     wanted = wanted.join(caller_file, "caller_id", "left").withColumn("full", F.lower("call_name"))
-    wanted = wanted.withColumn("short", F.lower(short_name(F.col("call_name"))))
+    # Read by each step below: computed once.
+    wanted = materialize(wanted.withColumn("short", F.lower(short_name(F.col("call_name")))))
 
     overrides = F.exists("annotations", lambda a: a["name"] == "Override")
     owners = chains.select(F.col("func_id").alias("id"), F.lit(CHAIN_SCORE).alias("chain_score"))
@@ -212,10 +213,10 @@ def call_sites(symbols: DataFrame, records: DataFrame) -> DataFrame:
 
 def build(parsed_symbols: DataFrame, parsed_chains: DataFrame, parsed_calls: DataFrame, files: DataFrame) -> Graph:
     """The graph of parsed files, whose ids are local to their file."""
-    ids = global_ids(parsed_symbols)
-    symbols = remap_symbols(parsed_symbols, ids)
-    chains, calls = remap_chains(parsed_chains, ids), remap_calls(parsed_calls, ids)
-    chains = fill_placeholders(chains, resolve_calls(symbols, chains, calls))
+    ids = materialize(global_ids(parsed_symbols))
+    symbols = materialize(remap_symbols(parsed_symbols, ids))
+    chains, calls = remap_chains(parsed_chains, ids), materialize(remap_calls(parsed_calls, ids))
+    chains = materialize(fill_placeholders(chains, resolve_calls(symbols, chains, calls)))
     return Graph(
         symbols=symbols,
         chains=chains,

@@ -12,6 +12,7 @@ from loomgraph.functions.vectors import hashed
 from loomgraph.operators import context, diff, flow, ingest, lookup, reports, sandbox, search, traversal, vectors
 from loomgraph.plans import fixtures as fx
 from loomgraph.schema import MARKERS
+from loomgraph.session import materialize
 from loomgraph.sinks import render
 from loomgraph.sources import snapshot, star
 
@@ -191,8 +192,8 @@ def x8_distinct_chains(spark, sf_dir):
 
 def _parsed(spark: SparkSession, sf_dir: str):
     """The graph taken apart again: ids local to each file, calls not resolved."""
-    symbols = star.symbols(spark, sf_dir).withColumn("path", F.col("file"))
-    return symbols, star.chains(spark, sf_dir, placeholders=True), star.call_records(spark, sf_dir)
+    symbols = materialize(star.symbols(spark, sf_dir).withColumn("path", F.col("file")))
+    return symbols, star.chains(spark, sf_dir, placeholders=True), materialize(star.call_records(spark, sf_dir))
 
 
 @query

@@ -7,6 +7,8 @@ event types, with a cyclic graph of the types' transitions.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from loomgraph.functions.effects import classify
 from loomgraph.operators import ingest
 from loomgraph.plans.tables import Graph
 from loomgraph.schema import EMBEDDINGS, FILES, MARKERS, SYMBOLS
+from loomgraph.session import materialize
 
 REGION, NATION, EVENT_TYPE = 100, 1_000, 500
 SUPPLIER, CUSTOMER, PART, ORDER, USER = 1_000_000, 2_000_000, 10_000_000, 20_000_000, 40_000_000
@@ -192,7 +195,9 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The whole graph, with resolved chains."""
-    syms, chained, records = symbols(spark, sf_dir), chains(spark, sf_dir), call_records(spark, sf_dir)
+    with ThreadPoolExecutor(3) as pool:  # edges and call sites are made of these: computed once
+        made = pool.map(lambda f: materialize(f(spark, sf_dir)), (symbols, chains, call_records))
+        syms, chained, records = made
     return Graph(
         symbols=syms,
         chains=chained,
