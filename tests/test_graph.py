@@ -194,3 +194,23 @@ def test_many_ids_are_dense(spark):
     parsed = spark.range(1000).select(F.concat(F.lit("f"), (F.col("id") % 7).cast("string")).alias("path"), (F.col("id") + 100).alias("id"))
     ids = ingest.global_ids(parsed.repartition(5)).orderBy("path", "local_id").collect()
     assert [r.id for r in ids] == list(range(100, 1100))
+
+
+def test_routes(spark, basic, tmp_path):
+    from loomgraph.sources import stores
+
+    route = stores.Route(str(tmp_path / "kept"))
+    assert stores.write(basic, route) == 1
+    assert stores.read(spark, route).symbols.count() == 3
+    for name, (schema, _) in snapshot.TABLES.items():
+        df = getattr(basic, name)
+        if df is not None:
+            kept = stores.flat(df, schema)
+            assert all("<" not in t for _, t in kept.dtypes)
+            back = stores.restored(kept, schema)
+            assert sorted(map(str, back.collect())) == sorted(map(str, df.select(*schema.names).collect()))
+    database = stores.Route("jdbc:postgresql://db/x", 7)
+    assert database.is_database and database.table("edges") == "graph_7_edges"
+    assert [stores.shard_of(i, ["a", "b"]) for i in range(3)] == ["a", "b", "a"]
+    with pytest.raises(ValueError):
+        stores.shard_of(1, [])
