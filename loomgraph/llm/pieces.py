@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by shared-prefix Viterbi.
 
-A text's blanks become marks and the text is cut before each run of marks; no piece of
-the vocabulary crosses such a cut. The distinct marked words of a batch are sorted, which
+A text's blanks become marks and the text is cut before each run of marks, around line
+ends, and between letters and the punctuation behind them; no piece of the vocabulary
+crosses such a cut, which is checked when it is loaded. The distinct marked words of a batch are sorted, which
 orders them as a depth-first walk of their trie, and the forward scores of a prefix are
 kept while words share it, so each trie node is scored once.
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from loomgraph.llm.common import by_bytes, cuts, public_vocabulary, small_batches
 
 MARK = "▁"
-_WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_PUNCTUATION = ".,;:!?|*%&#$)\"'"
 
 
 class Pieces:
@@ -56,14 +57,28 @@ class Pieces:
             else:
                 self.ids[piece] = i
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
-        #: Length of the longest piece by its last two characters.
+        #: Length of the longest piece by its last three characters.
         self.longest: dict[str, int] = {}
         for piece in self.ids:
-            self.longest[piece[-2:]] = max(len(piece), self.longest.get(piece[-2:], 1))
+            if len(piece) >= 3:
+                self.longest[piece[-3:]] = max(len(piece), self.longest.get(piece[-3:], 3))
         #: By the piece before, what may follow it.
         self.allowed: dict[str, dict[str, bool]] = {}
         self.compared = 0
         self.whole: dict[str, bool] = {}
+        self.words = self._word_pattern()
+
+    def _word_pattern(self) -> re.Pattern:
+        """Words as runs of characters between places that no piece crosses."""
+        pairs = {piece[i : i + 2] for piece in self.ids for i in range(len(piece) - 1)}
+        if any(a != MARK and b == MARK for a, b in pairs):
+            raise ValueError("a piece holds a mark behind another character")
+        behind_letters = {b for a, b in pairs if a.isalpha()}
+        safe = "".join(c for c in _PUNCTUATION if c not in behind_letters)
+        alone = "" if any("\n" in pair for pair in pairs) else "\n"
+        cut = re.escape(safe + alone)
+        first = f"{MARK}*[^\\W\\d_]+(?=[{cut}])|" if cut else ""
+        return re.compile(f"{first}{MARK}*[^{MARK}{alone}]+" + (f"|{MARK}*{alone}+" if alone else "") + f"|{MARK}+")
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging: the best-scored pair first, the leftmost of equals."""
@@ -122,7 +137,7 @@ class Lattice:
         for end in range(shared + 1, len(word) + 1):
             # Of the pieces that end here just one continues an allowed path; try the longest first.
             best, piece = -np.inf, word[end - 1]
-            for start in range(max(0, end - longest.get(word[max(0, end - 2) : end], 1)), end):
+            for start in range(max(0, end - longest.get(word[max(0, end - 3) : end], 2)), end):
                 part = word[start:end]
                 found = ids_of.get(part)
                 if found is None and start < end - 1:
@@ -157,7 +172,7 @@ class Encoder:
         for group in by_bytes(parts, 1 << 21):
             if len(self.known) > self.remembered:
                 self.known, self.older = {}, self.known
-            split = [(i, _WORDS.findall(part)) for i, part in group]
+            split = [(i, self.pieces.words.findall(part)) for i, part in group]
             new = set().union(*(words for _, words in split)).difference(self.known)
             self.known.update((w, self.older[w]) for w in new.intersection(self.older))
             lattice = Lattice(self.pieces)
