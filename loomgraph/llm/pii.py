@@ -461,7 +461,11 @@ def _plausible(kind: int, text: str, span: tuple[int, int]) -> bool:
     return passes(kind, value) and (kind == 2 or re.search(r"[^0-9]", value) is not None)
 
 
-def find_spans(texts: list[str], tagger: Tagger, least: float = 0.5) -> list[tuple[list[Span], list[Span]]]:
+#: How sure the model must be, by kind: less where a check of the value (Luhn, ranges) speaks for it too.
+LEAST = (0.5, 0.3, 0.1, 0.5)
+
+
+def find_spans(texts: list[str], tagger: Tagger, least: tuple[float, ...] = LEAST) -> list[tuple[list[Span], list[Span]]]:
     """For each text, its base spans and the spans that the model adds."""
     base = [base_spans(t) for t in texts]
     cut = [(i, a, b) for i, t in enumerate(texts) for a, b in windows(t)]
@@ -481,7 +485,7 @@ def find_spans(texts: list[str], tagger: Tagger, least: float = 0.5) -> list[tup
         taken, added = [(s[1], s[2]) for s in own], []
         for span, (_, sure) in sorted(more.items(), key=lambda x: (-x[1][0], -x[1][1], x[0])):
             kind, start, end = span
-            if sure >= least and not any(a < end and b > start for a, b in taken) and _plausible(kind, text, (start, end)):
+            if sure >= least[kind] and not any(a < end and b > start for a, b in taken) and _plausible(kind, text, (start, end)):
                 taken.append((start, end))
                 added.append(span)
         found.append((own, added))

@@ -276,6 +276,9 @@ def test_tagger_on_held_out_examples(tagger):
 
 
 def test_model_adds_and_base_stays(tagger):
+    beside = "to +1 (269) 555-3296 4532015112830366 today"  # the phone's pattern takes the card's digits too
+    ((own, added),) = pii.find_spans([beside], tagger)
+    assert own == [] and sorted(added) == [(2, 21, 37), (3, 3, 20)]
     texts = ["Call (017) 555-7713 now", "mail to bob@mail.example.com or 10.1.2.3", "version 4.0. of 2024-01-15", ""]
     (_, added), (own, _), (none, clean), (nothing, _) = pii.find_spans(texts, tagger)
     assert added == [(3, 5, 19)]
