@@ -17,8 +17,10 @@ def norm(a: Column) -> Column:
 
 def normalised(a: Column) -> Column:
     """The vector at unit length; a zero vector stays as it is."""
-    size = norm(a)
-    return F.when(size > 0, F.transform(a, lambda x: x.cast("double") / size)).otherwise(a.cast("array<double>"))
+    # Lambda variables are computed once; a column used in a lambda would be, for each element.
+    sized = F.transform(F.array(a.cast("array<double>")), lambda v: F.struct(v.alias("v"), norm(v).alias("size")))
+    scaled = lambda s: F.when(s["size"] > 0, F.transform(s["v"], lambda x: x / s["size"])).otherwise(s["v"])
+    return F.transform(sized, scaled)[0]
 
 
 def literal(vector: list[float]) -> Column:
@@ -43,5 +45,6 @@ def hashed(text: Column, dimension: int = 384) -> Column:
         F.transform(words, lambda t: F.struct(bin_of(t).alias("bin"), F.lit(1.0).alias("weight"))),
         F.transform(trigrams, lambda t: F.struct(bin_of(t).alias("bin"), F.lit(0.5).alias("weight"))),
     )
-    value = lambda i: F.aggregate(F.filter(added, lambda x: x["bin"] == i), F.lit(0.0), lambda s, x: s + x["weight"])
-    return normalised(F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), value))
+    zeros = F.array_repeat(F.lit(0.0), dimension)
+    add = lambda total, x: F.transform(total, lambda v, i: F.when(i == x["bin"], v + x["weight"]).otherwise(v))
+    return normalised(F.aggregate(added, zeros, add))

@@ -232,6 +232,20 @@ _SQL = {
         f"SELECT name, {_classified('name')[0]} AS effect, {_classified('name')[1]} AS rule FROM names"
     ),
     "text_functions": "SELECT DISTINCT call_name, split_part(call_name, '.', 2) AS short, split_part(call_name, '.', 1) AS first, substr(call_name, instr(call_name, '.') + 1) AS rest, '!' || call_name AS negated, call_name AS path, call_name AS below, ' ''' || call_name AS label FROM recs",
+    "s6_type_references": "SELECT s.id, min(c.id) AS class_id FROM sym s JOIN sym c ON c.name = s.type_name WHERE s.kind = 'variable' AND c.kind = 'class' GROUP BY s.id",
+    "d5_guard_markers": (
+        "SELECT e.func_id, CAST(e.position AS INTEGER) AS position, CASE WHEN b.element = 3 AND coalesce(c.element, 99) NOT IN (5, 7) THEN 'IF_TRUE' "
+        f"ELSE coalesce((SELECT string_agg({_MARKER.format(e='g.element')}, ',' ORDER BY g.position) FROM elems g WHERE g.func_id = e.func_id AND g.position >= x.start AND g.position < e.position AND g.element < 100), '') END AS guards "
+        f"FROM elems e JOIN ({_GUARDS}) x ON x.func_id = e.func_id AND x.position = e.position JOIN elems b ON b.func_id = e.func_id AND b.position = e.position - 1 "
+        "LEFT JOIN elems c ON c.func_id = e.func_id AND c.position = e.position - 2 WHERE e.func_id BETWEEN 20000000 AND 20000499 AND e.position > 0 AND e.element >= 100"
+    ),
+    "p12_symbols_on_lines": f"SELECT s.id, count(*) AS lines FROM sym s JOIN {_DIFF_LINES} d ON d.path = s.file AND d.new_line >= s.line AND d.new_line <= s.end_line GROUP BY s.id",
+    "v6_incremental_embedding": "SELECT kind, count(*) AS n, CAST(64 AS INTEGER) AS dimension FROM sym WHERE kind IN ('module', 'function') GROUP BY kind",
+    "a10_reciprocal_ranks": "SELECT id, round(1.0 / (61 + id % 97) + CASE WHEN id % 2 = 0 THEN 1.0 / (61 + id % 31) ELSE 0 END, 6) AS score FROM sym WHERE kind = 'class'",
+    "b8_policy_delta": (
+        "SELECT DISTINCT 20000000 + l.l_orderkey AS func_id, p.p_name AS name FROM lines l JOIN part p ON l.l_partkey = p.p_partkey WHERE l.l_orderkey <= 499 AND l.l_returnflag = 'R' "
+        "AND NOT EXISTS (SELECT 1 FROM lineitem o JOIN part q ON o.l_partkey = q.p_partkey WHERE o.l_orderkey = l.l_orderkey AND q.p_name = p.p_name AND o.l_returnflag <> 'R')"
+    ),
     "g2_direct_callers": f"SELECT DISTINCT func_id AS id FROM elems WHERE element = {fx.SUPPLIER_ID} AND func_id <> {fx.SUPPLIER_ID} AND position > 0",
     "g3_callers": f"SELECT * FROM ({_walk(str(fx.SUPPLIER_ID), 2)}) WHERE hop > 0",
     "g4_impact": f"SELECT id FROM ({_walk(str(fx.NATION_ID), 4)}) WHERE hop > 0",

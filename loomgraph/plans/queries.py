@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.functions import effects, markers, text
+from loomgraph.functions import arrays, effects, markers, text
 from loomgraph.functions.vectors import hashed
 from loomgraph.operators import context, diff, flow, ingest, lookup, reports, sandbox, search, traversal, vectors
 from loomgraph.plans import fixtures as fx
@@ -264,6 +264,69 @@ def text_functions(spark, sf_dir):
     )
 
 
+@query
+def s6_type_references(spark, sf_dir):
+    """Variables whose type names a symbol of kind class, by name."""
+    symbols = fx.graph(spark, sf_dir).symbols
+    classes = symbols.filter("kind = 'class'").groupBy(text.base_type(F.col("name")).alias("base")).agg(F.min("id").alias("class_id"))
+    typed = symbols.filter("kind = 'variable' and type_name is not null").select("id", text.base_type(F.col("type_name")).alias("base"))
+    return typed.join(classes, "base").select("id", "class_id")
+
+
+@query
+def d5_guard_markers(spark, sf_dir):
+    g = fx.graph(spark, sf_dir)
+    orders = g.chains.filter(F.col("func_id").between(star.ORDER, star.ORDER + 499))
+    calls = orders.select("func_id", "chain", F.posexplode("chain").alias("position", "element")).filter("position > 0 and element >= 100")
+    return calls.select("func_id", "position", _joined(arrays.guard_markers(F.col("chain"), F.col("position"))).alias("guards"))
+
+
+@query
+def p12_symbols_on_lines(spark, sf_dir):
+    lines = fx.diff_tables(spark)[1]
+    symbols = fx.graph(spark, sf_dir).symbols
+    on = (symbols.file == lines.path) & lines.new_line.between(symbols.line, symbols.end_line)
+    return symbols.join(lines, on).groupBy("id").agg(F.count("*").alias("lines"))
+
+
+@query
+def v6_incremental_embedding(spark, sf_dir):
+    g = fx.graph(spark, sf_dir)
+    modules = g.symbols.filter("kind in ('module', 'function')")
+    found = vectors.embed(modules, lambda t: hashed(t, 64), g.embeddings, 64)
+    return found.join(g.symbols, found.symbol_id == g.symbols.id).groupBy("kind").agg(F.count("*").alias("n"), F.min(F.size("vector")).alias("dimension"))
+
+
+@query
+def a10_reciprocal_ranks(spark, sf_dir):
+    symbols = fx.graph(spark, sf_dir).symbols.filter("kind = 'class'")
+    one = symbols.select("id", (F.col("id") % 97).alias("rank"))
+    two = symbols.filter("id % 2 = 0").select("id", (F.col("id") % 31).alias("rank"))
+    return search.fused([one, two]).select("id", F.round("score", 6).alias("score"))
+
+
+@query
+def b8_policy_delta(spark, sf_dir):
+    """Mocks that one policy calls and the other doesn't."""
+    g = fx.graph(spark, sf_dir)
+    orders = g.chains.filter(F.col("func_id").between(star.ORDER, star.ORDER + 499))
+    true, false = (sandbox.event_counts(sandbox.simulate_each(g, orders, 2, p)).select("func_id", "name") for p in sandbox.POLICIES)
+    return true.join(false, ["func_id", "name"], "left_anti")
+
+
+@query
+def r9_watched_files(spark, sf_dir):
+    """Names of the files that a watcher of the folder sees at first."""
+    from uuid import uuid4
+
+    from loomgraph.session import shared_folder
+    from loomgraph.streaming.watch import watch
+
+    seen: list[str] = []
+    watch(spark, sf_dir, seen.extend, f"{shared_folder(spark)}/watch-{uuid4().hex}", once=True).awaitTermination()
+    return spark.createDataFrame([(p.rsplit("/", 1)[-1],) for p in seen], "name string")
+
+
 # ---- traversal and flow
 
 
