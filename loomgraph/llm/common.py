@@ -11,14 +11,17 @@ Conventions that hold for all operators here:
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.session import materialize, ship_library
 
-__all__ = ["by_bytes", "cuts", "held_out", "labelled_sample", "materialize", "public_vocabulary", "read", "small_batches"]
+__all__ = ["by_bytes", "cuts", "held_out", "labelled_sample", "materialize", "nothing", "public_vocabulary", "read", "settle", "small_batches"]
 
 #: The fold that no model may learn from.
 HELD_OUT_FOLD = 2
@@ -50,6 +53,28 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set(key, str(rows))
 
 
+_FORGET: list[Callable[[], object]] = []
+
+
+def settle(forget: Callable[[], object]) -> None:
+    """Called by an operator's function as it starts in a worker, with what lets go of its own tables.
+
+    What another operator has remembered there is let go of first, so that a worker that serves
+    one stage after the other holds the tables of one.
+    """
+    if _FORGET and _FORGET[0] != forget:
+        _FORGET.pop()()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # give the memory back, where the C library can
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    if not _FORGET:
+        _FORGET.append(forget)
+
+
+def nothing() -> None:
+    """What operators that remember nothing let go of."""
+
+
 def cuts(text: str, size: int) -> Iterator[str]:
     """Cut a text into parts of about `size` characters, each ending before a blank or line end.
 

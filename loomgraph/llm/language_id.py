@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import by_bytes, cuts, held_out, public_vocabulary, small_batches
+from loomgraph.llm.common import by_bytes, cuts, held_out, public_vocabulary, settle, small_batches
 
 UNDETERMINED = "und"
 MARK = "▁"
@@ -322,6 +322,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     )
 
     def run(batches):
+        settle(_SCORERS.clear)
         scorer = _scorer(key, shared.value)
         for batch in batches:
             names, score = scorer.predict(batch.column(2).to_pylist())
@@ -340,6 +341,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, t
     key, shared, at = _key(model), docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
+        settle(_SCORERS.clear)
         scorer = _scorer(key, shared.value)
         for batch in batches:
             names, score = scorer.predict(batch.column(at).to_pylist())

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomgraph.llm.common import small_batches
+from loomgraph.llm.common import nothing, settle, small_batches
 
 BLOCK = 576
 HOP = BLOCK // 2
@@ -104,6 +104,7 @@ def media_columns(
     kinds += [pa.list_(pa.int64()), *[pa.binary()] * keep_media]
 
     def run(batches):
+        settle(nothing)
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():

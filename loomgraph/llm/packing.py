@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialize, public_vocabulary, small_batches
+from loomgraph.llm.common import materialize, public_vocabulary, settle, small_batches
 from loomgraph.llm.token_counts import load_tokenizer
 
 #: Characters on which both libraries split alike; texts with others take the reference library.
@@ -76,6 +76,11 @@ def _encoder(path: str, ranks_path: str) -> Encoder:
     return Encoder(path, ranks_path, public_tokenizers.PATTERN, 50256)
 
 
+def _forget() -> None:
+    _encoder.cache_clear()
+    load_tokenizer.cache_clear()
+
+
 def piece_bounds(n: int, size: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n ids: the first takes what doesn't fill a sequence."""
     first = n if n <= size else n % size or size
@@ -173,6 +178,7 @@ def pack(
     kind = picked.schema["id"].dataType.simpleString()
 
     def encode(batches):
+        settle(_forget)
         encoder, part, seen = _encoder(path, ranks_path), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows, columns = [], [[] for _ in range(6)]

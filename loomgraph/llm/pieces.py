@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomgraph.llm.common import by_bytes, cuts, public_vocabulary, small_batches
+from loomgraph.llm.common import by_bytes, cuts, public_vocabulary, settle, small_batches
 
 MARK = "▁"
 _PUNCTUATION = ".,;:!?|*%&#$)\"'"
@@ -218,6 +218,7 @@ def encode(
     names = [id_col, "n_bytes", "n_tokens", "ids_crc32", "round_trip", *["ids"] * keep_ids]
 
     def run(batches):
+        settle(_encoder.cache_clear)
         encoder = _encoder(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -242,6 +243,7 @@ def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id",
     picked = encoded.select(encoded[id_col].alias("id"), encoded[ids_col].cast("array<int>").alias("ids"))
 
     def run(batches):
+        settle(_encoder.cache_clear)
         encoder = _encoder(path)
         for batch in batches:
             rows = batch.column(1).to_pylist()

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import small_batches
+from loomgraph.llm.common import nothing, settle, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind, start, end
@@ -504,6 +504,7 @@ def personal_data(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_
     names = [id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
 
     def run(batches):
+        settle(nothing)
         for batch in batches:
             found = find_spans([t or "" for t in batch.column(1).to_pylist()], shared.value)
             counts = [pa.array([sum(s[0] == k for s in own) for own, _ in found], pa.int64()) for k in range(len(KINDS))]
@@ -545,6 +546,7 @@ def hidden(docs: DataFrame, tagger: Tagger, text_col: str = "text", chars_col: s
     chars_at = docs.columns.index(chars_col) if chars_col in docs.columns else None
 
     def run(batches):
+        settle(nothing)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             found = find_spans([t or "" for t in texts], shared.value)

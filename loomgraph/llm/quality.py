@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cuts, held_out, labelled_sample, small_batches
+from loomgraph.llm.common import cuts, held_out, labelled_sample, nothing, settle, small_batches
 
 #: Bytes of ASCII punctuation that prose is not made of; bars and exclamation marks have their own statistics.
 _SYMBOLS = np.frombuffer(b"#$%&*+<=>@[\\]^_`{}~/", np.uint8)
@@ -144,6 +144,7 @@ def score(
     )
 
     def run(batches):
+        settle(nothing)
         for batch in batches:
             found = _scores(model, batch.column(2))
             yield pa.RecordBatch.from_arrays(
@@ -161,6 +162,7 @@ def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.7, text_col
     at = docs.columns.index(text_col)
 
     def run(batches):
+        settle(nothing)
         for batch in batches:
             yield batch.filter(pa.array(_scores(model, batch.column(at)) >= least))
 

@@ -18,7 +18,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomgraph.llm.common import by_bytes, cuts, public_vocabulary, small_batches
+from loomgraph.llm.common import by_bytes, cuts, public_vocabulary, settle, small_batches
 
 #: Separators that Python's split() takes for blanks but the tokenizers' pattern doesn't.
 _ODD_SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -70,6 +70,11 @@ def _lengths(path: str) -> WordLengths:
     return WordLengths(path)
 
 
+def _forget() -> None:
+    _lengths.cache_clear()
+    load_tokenizer.cache_clear()
+
+
 def token_counts(
     docs: DataFrame,
     path: str | None = None,
@@ -89,6 +94,7 @@ def token_counts(
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
 
     def run(batches):
+        settle(_forget)
         lengths = _lengths(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]

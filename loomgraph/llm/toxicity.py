@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cuts, held_out, labelled_sample, small_batches
+from loomgraph.llm.common import cuts, held_out, labelled_sample, settle, small_batches
 
 # Fixed word lists.
 INSULTS = (
@@ -366,6 +366,7 @@ def score(
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        settle(_READERS.clear)
         model = shared.value
         reader = _reader(model)
         for batch in batches:
