@@ -275,9 +275,8 @@ def s6_type_references(spark, sf_dir):
 
 @query
 def d5_guard_markers(spark, sf_dir):
-    g = fx.graph(spark, sf_dir)
-    orders = g.chains.filter(F.col("func_id").between(star.ORDER, star.ORDER + 499))
-    calls = orders.select("func_id", "chain", F.posexplode("chain").alias("position", "element")).filter("position > 0 and element >= 100")
+    chains = fx.graph(spark, sf_dir).chains
+    calls = chains.select("func_id", "chain", F.posexplode("chain").alias("position", "element")).filter("position > 0 and element >= 100")
     return calls.select("func_id", "position", _joined(arrays.guard_markers(F.col("chain"), F.col("position"))).alias("guards"))
 
 
@@ -309,8 +308,7 @@ def a10_reciprocal_ranks(spark, sf_dir):
 def b8_policy_delta(spark, sf_dir):
     """Mocks that one policy calls and the other doesn't."""
     g = fx.graph(spark, sf_dir)
-    orders = g.chains.filter(F.col("func_id").between(star.ORDER, star.ORDER + 499))
-    true, false = (sandbox.event_counts(sandbox.simulate_each(g, orders, 2, p)).select("func_id", "name") for p in sandbox.POLICIES)
+    true, false = (sandbox.event_counts(sandbox.simulate_each(g, None, 2, p)).select("func_id", "name") for p in sandbox.POLICIES)
     return true.join(false, ["func_id", "name"], "left_anti")
 
 
@@ -368,8 +366,7 @@ def g6_flow(spark, sf_dir):
 @query
 def g6_flow_calls(spark, sf_dir):
     g = fx.graph(spark, sf_dir)
-    orders = g.chains.filter(F.col("func_id").between(star.ORDER, star.ORDER + 499))
-    return flow.calls(g, orders).select("func_id", "position", "to_id", "to_name", "condition", "effect", "line", _joined("args").alias("args"), "is_loop_body")
+    return flow.calls(g).select("func_id", "position", "to_id", "to_name", "condition", "effect", "line", _joined("args").alias("args"), "is_loop_body")
 
 
 @query
@@ -399,9 +396,7 @@ def g10_context(spark, sf_dir):
 
 @query
 def k8_flow_diagram(spark, sf_dir):
-    g = fx.graph(spark, sf_dir)
-    own = g.chains.filter(F.col("func_id").between(star.ORDER, star.ORDER + 199))
-    return render.flow_diagram(flow.described(g, own))
+    return render.flow_diagram(flow.described(fx.graph(spark, sf_dir)))
 
 
 @query
@@ -523,17 +518,13 @@ def a8_diff_summary(spark, sf_dir):
 
 @query
 def b4_simulated_sequences(spark, sf_dir):
-    g = fx.graph(spark, sf_dir)
-    orders = g.chains.filter(F.col("func_id").between(star.ORDER, star.ORDER + 999))
-    traces = sandbox.simulate_each(g, orders)
+    traces = sandbox.simulate_each(fx.graph(spark, sf_dir))
     return sandbox.sequences(traces).select("func_id", _joined("sequence").alias("sequence"))
 
 
 @query
 def a11_mock_counts(spark, sf_dir):
-    g = fx.graph(spark, sf_dir)
-    orders = g.chains.filter(F.col("func_id").between(star.ORDER, star.ORDER + 999))
-    return sandbox.event_counts(sandbox.simulate_each(g, orders, loop_cap=3, policy="if_false"))
+    return sandbox.event_counts(sandbox.simulate_each(fx.graph(spark, sf_dir), loop_cap=3, policy="if_false"))
 
 
 @query
