@@ -476,7 +476,7 @@ def j13_without_vector(spark, sf_dir):
 
 @query
 def v7_k_means(spark, sf_dir):
-    assigned, _ = vectors.k_means(fx.graph(spark, sf_dir).embeddings.filter(F.col("symbol_id") < star.PART + 300), 4, 10)
+    assigned, _ = vectors.k_means(fx.graph(spark, sf_dir).embeddings, 4, 10)
     return assigned.groupBy("cluster").agg(F.count("*").alias("n"))
 
 

@@ -136,3 +136,26 @@ def test_orders_that_the_sql_covers_agree_with_it(spark, small, name, width):
     sql = con.sql(f"select {', '.join(columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall()
     got = [tuple(r[c] for c in columns) for r in run(spark, small, name) if 20_000_000 <= r["func_id"] < 20_000_000 + width]
     assert sorted(map(str, got)) == sorted(map(str, sql)) and got
+
+
+def test_k_means_of_all_vectors(spark, small):
+    import numpy as np
+
+    rows = sorted(spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding").collect())
+    x = np.array([r.embedding for r in rows], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    centroids = [x[0]]
+    while len(centroids) < 4:
+        centroids.append(x[np.max(x @ np.array(centroids).T, axis=1).argmin()])
+    centroids, before = np.array(centroids), None
+    for _ in range(10):
+        cluster = (x @ centroids.T).argmax(1)
+        if before is not None and (cluster == before).all():
+            break
+        before = cluster
+        for k in set(cluster):
+            mean = x[cluster == k].mean(0)
+            centroids[k] = mean / np.linalg.norm(mean)
+    want = Counter((x @ centroids.T).argmax(1).tolist())
+    got = {r["cluster"]: r["n"] for r in run(spark, small, "v7_k_means")}
+    assert got == want and sum(got.values()) == len(rows) == 500
