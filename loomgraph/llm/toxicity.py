@@ -22,7 +22,7 @@ apart when it is repeated becomes an insult of the lowest grade.
 Defined results: null text is an empty text; a text without a match gets the model's
 lowest score; with no labelled rows the fixed list and default weights apply; repeated
 rows give repeated results. The fit uses at most `per_class` labelled documents of each
-class, and near copies among them count once.
+class, and equal texts among them count once.
 """
 
 from __future__ import annotations
@@ -136,10 +136,14 @@ def bare(token: str) -> str:
 
 @dataclass
 class ToxicityModel:
-    """insults: grade by word ("=word") or word beginning; weights of the evidence, the last one the intercept."""
+    """insults: grade by word ("=word") or word beginning; weights of the evidence, the last one the intercept.
+
+    trained_on: how many distinct clean and toxic texts both were learned from.
+    """
 
     insults: dict[str, str]
     weights: np.ndarray
+    trained_on: tuple[int, int] = (0, 0)
 
     def key(self) -> str:
         return hashlib.sha256(repr(sorted(self.insults.items())).encode() + self.weights.tobytes()).hexdigest()
@@ -214,11 +218,6 @@ def word_features(text: str | None) -> set[str]:
     return {f"={w}" for w in words if w} | again | starts.keys()
 
 
-def _sketch(text: str | None) -> int:
-    """The least hash of the words: near copies mostly share it."""
-    return min((int.from_bytes(hashlib.blake2b(w.encode(), digest_size=7).digest()) for w in set((text or "").split())), default=-1)
-
-
 def _significance(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
     """Minus the log of a bound on the chance of as many toxic documents (Chernoff)."""
     n = toxic + clean
@@ -241,14 +240,8 @@ def fit(
     small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, per_class, id_col, text_col).select("label", "text")
 
-    def sketches(batches):
-        for batch in batches:
-            found = pa.array([_sketch(t) for t in batch.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["label", "text", "sketch"])
-
-    # At most 2 * per_class texts; each is read again several times below.
-    sample = sample.mapInArrow(sketches, "label int, text string, sketch long")
-    sample = sample.groupBy("label", "sketch").agg(F.min("text").alias("text")).select("label", "text").persist()
+    # At most 2 * per_class texts, equal ones once; each is read again several times below.
+    sample = sample.distinct().persist()
     try:
         return _fit(sample, most_candidates)
     finally:
@@ -260,7 +253,7 @@ def _fit(sample: DataFrame, most_candidates: int) -> ToxicityModel:
     n_clean, n_toxic = totals.get(0, 0), totals.get(1, 0)
     insults = {f"={w}": "2" for w in INSULTS}
     if not (n_clean and n_toxic):
-        return ToxicityModel(insults, default_weights())
+        return ToxicityModel(insults, default_weights(), (n_clean, n_toxic))
 
     def count(batches):
         found: dict[str, list[int]] = defaultdict(lambda: [0, 0])
@@ -327,7 +320,7 @@ def _fit(sample: DataFrame, most_candidates: int) -> ToxicityModel:
     rows = sample.mapInArrow(evidence, "label int, x array<double>").collect()  # at most 2 * per_class short rows
     x, y = np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows], float)
     order = np.lexsort((*x.T, y))
-    return ToxicityModel(insults, logistic(x[order], y[order]))
+    return ToxicityModel(insults, logistic(x[order], y[order]), (n_clean, n_toxic))
 
 
 def _beginnings(feature: str) -> list[str]:

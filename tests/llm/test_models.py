@@ -172,6 +172,15 @@ def test_toxicity_accuracy(spark):
     assert rows.score.between(0, 1).all()
 
 
+def test_toxicity_learns_from_all_distinct_texts(spark):
+    rows = [(i, f"shared words everywhere and one own {'insult' if i % 4 == 0 else 'word'} w{i // 2 * 2}", i % 4 == 0) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(x)) for i, _, x in rows], "doc_id long, quality int, toxic int")
+    sample = toxicity.labelled_sample(docs, labels, "toxic", 4000, "doc_id", "text")
+    want = {(r.label, r.text) for r in sample.collect()}
+    assert toxicity.fit(docs, labels).trained_on == tuple(sum(x == label for x, _ in want) for label in (0, 1))
+
+
 def test_toxicity_edges(spark):
     docs = table(spark)
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (9, None, 1)], "doc_id long, quality int, toxic int")
