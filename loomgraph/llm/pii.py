@@ -88,29 +88,44 @@ def base_spans(text: str) -> list[Span]:
 
 # ---- windows
 
-WINDOW, STRIDE, CONTEXT = 64, 40, 12
+#: An address has at most 254 characters: windows overlap by that many, with context on both sides.
+LONGEST, CONTEXT, WINDOW = 254, 12, 640
+STRIDE = WINDOW - LONGEST - 2 * CONTEXT
+#: Examples for training are shorter.
+SAMPLE_WINDOW, SAMPLE_STRIDE = 64, 40
+_BLANK, _RUN_BEFORE = re.compile(r"\s"), re.compile(r"\S*\Z")
 _ANCHORS = re.compile("[0-9@]+")
 
 
-def windows(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of the windows that cover the surroundings of all digits and at signs."""
+def windows(text: str, width: int = WINDOW, stride: int = STRIDE) -> Iterator[tuple[int, int]]:
+    """(start, end) of the windows that cover the surroundings of all digits and at signs.
+
+    Those of an at sign reach over the whole run without blanks, as far as an address can.
+    """
     low = high = None
     for m in _ANCHORS.finditer(text):
-        a, b = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
+        start, end = m.span()
+        first, last = text.find("@", start, end), text.rfind("@", start, end)
+        if first >= 0:
+            left, right = max(0, first - LONGEST), min(len(text), last + 1 + LONGEST)
+            start = min(start, left + _RUN_BEFORE.search(text[left:first]).start())
+            blank = _BLANK.search(text, last, right)
+            end = max(end, blank.start() if blank else right)
+        a, b = max(0, start - CONTEXT), min(len(text), end + CONTEXT)
         if high is not None and a <= high:
-            high = max(high, b)
+            low, high = min(low, a), max(high, b)
             continue
         if high is not None:
-            yield from _cut(low, high)
+            yield from _cut(low, high, width, stride)
         low, high = a, b
     if high is not None:
-        yield from _cut(low, high)
+        yield from _cut(low, high, width, stride)
 
 
-def _cut(low: int, high: int) -> Iterator[tuple[int, int]]:
-    while high - low > WINDOW:
-        yield low, low + WINDOW
-        low += STRIDE
+def _cut(low: int, high: int, width: int, stride: int) -> Iterator[tuple[int, int]]:
+    while high - low > width:
+        yield low, low + width
+        low += stride
     yield low, high
 
 
@@ -270,8 +285,7 @@ class Tagger:
         """Viterbi spans (kind, start, end, least posterior probability of their tags) of each window."""
         found: list = [[] for _ in texts]
         order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-        for at in range(0, len(order), group):
-            part = order[at : at + group]
+        for part in _alike(order, texts, group * SAMPLE_WINDOW):
             codes, lengths = symbols([texts[i] for i in part])
             if not codes.shape[1]:
                 continue
@@ -313,6 +327,18 @@ for _k in range(len(KINDS)):
     _FORBIDDEN[[1 + 2 * _k, 2 + 2 * _k], 2 + 2 * _k] = 0
 
 
+def _alike(order: list[int], texts: list[str], most: int) -> Iterator[list[int]]:
+    """Parts of the order, which is by length, with at most so many characters when padded, or one text."""
+    part: list[int] = []
+    for i in order:
+        if part and (len(part) + 1) * len(texts[i]) > most:
+            yield part
+            part = []
+        part.append(i)
+    if part:
+        yield part
+
+
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
@@ -378,8 +404,8 @@ def made_examples(n: int = 1200, seed: int = 11) -> list[tuple[str, list[Span]]]
                 value = negative()
             text += value + r.choice(("", "", ".", ",", ")", "!!", "***", ";"))
         text += " " + word() if r.random() < 0.8 else ""
-        kept = [s for s in spans if s[2] <= WINDOW]
-        examples.append((text[:WINDOW] if len(kept) == len(spans) else text[: min(s[1] for s in spans if s[2] > WINDOW)], kept))
+        kept = [s for s in spans if s[2] <= SAMPLE_WINDOW]
+        examples.append((text[:SAMPLE_WINDOW] if len(kept) == len(spans) else text[: min(s[1] for s in spans if s[2] > SAMPLE_WINDOW)], kept))
     return [(t, s) for t, s in examples if t]
 
 
@@ -419,7 +445,7 @@ def fit(docs: DataFrame, sample_docs: int = 2000, sample_windows: int = 1200, te
             found = []
             for text in batch.column(0).to_pylist():
                 spans = shapes(text)
-                for a, b in windows(text):
+                for a, b in windows(text, SAMPLE_WINDOW, SAMPLE_STRIDE):
                     inside = [s for s in spans if s[1] >= a and s[2] <= b]
                     if not any(s[1] < b and s[2] > a for s in spans if s not in inside):
                         found.append((text[a:b], [x - a if i else x for s in inside for i, x in enumerate(s)]))

@@ -308,6 +308,21 @@ def test_personal_data_edges(spark, tagger):
     assert pii.personal_data(empty(spark), tagger).count() == 0
 
 
+@pytest.mark.parametrize("before", ["", "see ", "1 2 3 4 5 6 7 8 9 " * 60, "x" * 30 + " "])
+@pytest.mark.parametrize("address", ["johannsen.mueller@müller-bau.de", "a@" + "müller" * 20 + ".de", "l" * 64 + "@" + "ü" * 186 + ".de"])
+def test_long_addresses_lie_whole_in_a_window(before, address):
+    text = f"{before}{address} and more"
+    start, end = len(before), len(before) + len(address)
+    found = [(a, b) for a, b in pii.windows(text) if a <= max(0, start - pii.CONTEXT) and b >= min(len(text), end + pii.CONTEXT)]
+    assert found and all(b - a <= pii.WINDOW for a, b in pii.windows(text))
+
+
+def test_long_address_that_only_the_model_finds(tagger):
+    for address in ("johannsen.mueller@müller.com", "johannsen.mueller@müller-bau.de"):
+        ((_, added),) = pii.find_spans([f"mail to {address} now"], tagger)
+        assert added == [(0, 8, 8 + len(address))]
+
+
 def test_personal_data_query(spark, small):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     rows = queries.op9_personal_data(spark, small).collect()
