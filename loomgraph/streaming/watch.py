@@ -29,11 +29,11 @@ def changes(spark: SparkSession, folder: str) -> DataFrame:
 def watch(spark: SparkSession, folder: str, rebuild: Callable[[list[str]], None], checkpoint: str, once: bool = False) -> StreamingQuery:
     """Call rebuild once for each batch of changes, however many files it has.
 
-    It gets the first hundred changed paths. With `once`, the stream ends when all that is there has been seen.
+    It gets all changed paths, in order; the file source's own list of a batch is on the driver too. With `once`, the stream ends when all that is there has been seen.
     """
 
     def each(batch: DataFrame, _: int) -> None:
-        paths = [r["path"] for r in batch.select("path").orderBy("path").limit(100).collect()]
+        paths = [r["path"] for r in batch.select("path").orderBy("path").collect()]
         if paths:
             rebuild(paths)
 

@@ -159,3 +159,13 @@ def test_k_means_of_all_vectors(spark, small):
     want = Counter((x @ centroids.T).argmax(1).tolist())
     got = {r["cluster"]: r["n"] for r in run(spark, small, "v7_k_means")}
     assert got == want and sum(got.values()) == len(rows) == 500
+
+
+def test_all_files_of_a_batch_are_seen(spark, tmp_path):
+    folder = tmp_path / "tables"
+    (folder / "t.parquet").mkdir(parents=True)
+    names = {f"part-{i:04d}.parquet" for i in range(130)}
+    for name in names:
+        (folder / "t.parquet" / name).write_bytes(b"x")
+    got = [r["name"] for r in run(spark, str(folder), "r9_watched_files")]
+    assert len(got) == 130 and set(got) == names
