@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,25 +34,81 @@ def ship_library(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local runs."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local runs.
+
+    Raises RuntimeError on a cluster whose session does not name one.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{os.path.join(tempfile.gettempdir(), 'loomgraph-checkpoints')}"
         spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+_WRITTEN = threading.local()  # the tables that each thread has written and not deleted
+_SCRATCH: set[str] = set()
+
+
+def _scratch_folder(spark: SparkSession) -> str:
+    """This application's folder of intermediate tables; it is deleted when the application ends."""
+    where = f"{shared_folder(spark)}/loomgraph-{spark.sparkContext.applicationId}"
+    if where not in _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _SCRATCH.add(where)
     return where
 
 
+def _written() -> list[str]:
+    if not hasattr(_WRITTEN, "paths"):
+        _WRITTEN.paths = []
+    return _WRITTEN.paths
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a frame as a table in the shared folder and read it again.
 
     This cuts the lineage, and what a lost executor had computed is not computed anew.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/loomgraph-{uuid.uuid4().hex}"
+    path = f"{_scratch_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], replaces: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """What `make` returns, written as a table; and its place, for a later call to name in `replaces`.
+
+    The tables that this thread wrote on the way, and those that are replaced, are deleted:
+    nothing reads them any more. All others go when the application ends.
+    """
+    before = len(_written())
+    found = materialize(make())
+    *passing, place = _written()[before:]
+    for where in passing + (replaces or []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _written().remove(where)
+    return found, [place]
+
+
+def join_uneven(rows: DataFrame, table: DataFrame, key: str, times: str, total: int) -> DataFrame:
+    """Rows joined to a table with one row for each key; `times` holds at least how many rows have the key, `total` all of them.
+
+    At most a thousand keys can have more than a thousandth of all rows each: these meet the rows by
+    broadcast, so that no key's rows gather in one task. The others are joined as usual.
+    """
+    many = total // 1000
+    hot = table.filter(F.col(times) > many)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(F.col(times) <= many), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def dense_ids(df: DataFrame, order: list[str], name: str, first: int) -> DataFrame:
     """Number rows first, first + 1, ... in the given order, without gaps and without one task that sees all rows.
 
