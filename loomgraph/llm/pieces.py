@@ -2,9 +2,11 @@
 
 A text's blanks become marks and the text is cut before each run of marks, around line
 ends, and between letters and the punctuation behind them; no piece of the vocabulary
-crosses such a cut, which is checked when it is loaded. The distinct marked words of a batch are sorted, which
+crosses such a cut, which is checked when it is loaded, by the same definition of a letter
+that cuts. Very long texts are cut before runs of blanks only. The distinct marked words of a batch are sorted, which
 orders them as a depth-first walk of their trie, and the forward scores of a prefix are
-kept while words share it, so each trie node is scored once.
+kept while words share it, so each trie node is scored once: a node keeps the best of all
+pieces that may end there, and following these back from a word's node gives its pieces.
 
 The model is one of merges: a piece's score is the rank of the merge that makes it. The
 path score of a prefix adds piece scores over the transitions that the merge order
@@ -29,10 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomgraph.llm.common import by_bytes, cuts, public_vocabulary, settle, small_batches
+from loomgraph.llm.common import by_bytes, cuts, public_vocabulary, settle, slices, weight
+from loomgraph.session import ship_library
 
 MARK = "▁"
 _PUNCTUATION = ".,;:!?|*%&#$)\"'"
+#: What counts as a letter, in patterns and outside of them; it includes characters such as "²" that are letters to neither Unicode nor isalpha().
+_LETTER = r"[^\W\d_]"
 
 
 class Pieces:
@@ -73,11 +78,12 @@ class Pieces:
         pairs = {piece[i : i + 2] for piece in self.ids for i in range(len(piece) - 1)}
         if any(a != MARK and b == MARK for a, b in pairs):
             raise ValueError("a piece holds a mark behind another character")
-        behind_letters = {b for a, b in pairs if a.isalpha()}
+        letter = re.compile(_LETTER)
+        behind_letters = {b for a, b in pairs if letter.match(a)}
         safe = "".join(c for c in _PUNCTUATION if c not in behind_letters)
         alone = "" if any("\n" in pair for pair in pairs) else "\n"
         cut = re.escape(safe + alone)
-        first = f"{MARK}*[^\\W\\d_]+(?=[{cut}])|" if cut else ""
+        first = f"{MARK}*{_LETTER}+(?=[{cut}])|" if cut else ""
         return re.compile(f"{first}{MARK}*[^{MARK}{alone}]+" + (f"|{MARK}*{alone}+" if alone else "") + f"|{MARK}+")
 
     def merged(self, text: str) -> list[str]:
@@ -135,16 +141,15 @@ class Lattice:
         del score[shared + 1 :], last[shared + 1 :]
         ids_of, scores, longest, follows = pieces.ids, pieces.scores, pieces.longest, pieces.follows
         for end in range(shared + 1, len(word) + 1):
-            # Of the pieces that end here just one continues an allowed path; try the longest first.
             best, piece = -np.inf, word[end - 1]
             for start in range(max(0, end - longest.get(word[max(0, end - 3) : end], 2)), end):
                 part = word[start:end]
                 found = ids_of.get(part)
                 if found is None and start < end - 1:
                     continue
-                if follows(last[start], part) if start else end == 1 or pieces.stands(part):
-                    best, piece = score[start] + (scores[found] if found is not None else 0.0), part
-                    break
+                path = score[start] + (scores[found] if found is not None else 0.0)
+                if path > best and (follows(last[start], part) if start else end == 1 or pieces.stands(part)):
+                    best, piece = path, part
             score.append(best)
             last.append(piece)
         self.word = word
@@ -158,11 +163,11 @@ class Lattice:
 
 
 class Encoder:
-    """Encodes batches of texts; ids of words seen before are remembered up to a bound."""
+    """Encodes batches of texts; ids of words seen before are remembered up to a bound in bytes."""
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 48 << 20):
         self.pieces = Pieces(path)
-        self.remembered = remembered
+        self.remembered, self.held = remembered, 0
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -170,11 +175,12 @@ class Encoder:
         found: list[list[bytes]] = [[] for _ in texts]
         parts = ((i, part) for i, t in enumerate(texts) for part in _marked(t))
         for group in by_bytes(parts, 1 << 21):
-            if len(self.known) > self.remembered:
-                self.known, self.older = {}, self.known
+            if self.held > self.remembered:
+                self.known, self.older, self.held = {}, self.known, 0
             split = [(i, self.pieces.words.findall(part)) for i, part in group]
             new = set().union(*(words for _, words in split)).difference(self.known)
             self.known.update((w, self.older[w]) for w in new.intersection(self.older))
+            self.held += 2 * weight(new)
             lattice = Lattice(self.pieces)
             for word in sorted(new.difference(self.older)):
                 self.known[word] = array("I", lattice.encode(word)).tobytes()
@@ -187,16 +193,11 @@ class Encoder:
         return out.decode("utf-8", errors="replace").removeprefix(" ")
 
 
-def _marked(text: str):
-    """The marked text in parts that end before a mark."""
+def _marked(text: str, size: int = 1 << 18):
+    """The marked text in parts that end before a run of marks."""
     if text:
-        for i, part in enumerate(cuts(text, 1 << 18)):
-            whole = part.replace(" ", MARK)
-            if i and not whole.startswith(MARK):  # cut at a line end: it belongs to the word before
-                head, mark, rest = whole.partition(MARK)
-                yield head
-                whole = mark + rest
-            yield whole if i else MARK + whole
+        for i, part in enumerate(cuts(text.replace(" ", MARK), size, MARK)):
+            yield part if i else MARK + part
 
 
 @functools.lru_cache(maxsize=2)
@@ -212,7 +213,7 @@ def encode(
     round_trip: whether decoding the ids gives the text again.
     """
     path = path or public_vocabulary("piece_bpe_32k.model")
-    small_batches(docs.sparkSession)
+    ship_library(docs.sparkSession)
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
     names = [id_col, "n_bytes", "n_tokens", "ids_crc32", "round_trip", *["ids"] * keep_ids]
@@ -220,7 +221,7 @@ def encode(
     def run(batches):
         settle(_encoder.cache_clear)
         encoder = _encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             found = encoder.encode(texts)
             arrays = [
@@ -239,13 +240,13 @@ def encode(
 def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Return (id, text) for rows of ids; null ids give null text."""
     path = path or public_vocabulary("piece_bpe_32k.model")
-    small_batches(encoded.sparkSession)
+    ship_library(encoded.sparkSession)
     picked = encoded.select(encoded[id_col].alias("id"), encoded[ids_col].cast("array<int>").alias("ids"))
 
     def run(batches):
         settle(_encoder.cache_clear)
         encoder = _encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             rows = batch.column(1).to_pylist()
             top = len(encoder.pieces.bytes_of)
             texts = [None if r is None else encoder.decode(np.array([i for i in r if i is not None and 0 <= i < top], np.int64)) for r in rows]

@@ -24,9 +24,11 @@ PIECE = public_tokenizers.path("piece_bpe_32k.model")
 ODD = st.text(st.sampled_from("aäbcdeinrst ' 'sdll1.,!|<>endoftx\n\t\x1c\x85\xa0é日½ﬁ́") | st.characters(exclude_categories=["Cs"]), max_size=60)
 
 
-@given(st.text(st.sampled_from("ab \n"), max_size=200), st.integers(1, 50))
+@given(st.text(st.sampled_from("ab \n\t"), max_size=200), st.integers(1, 50))
 def test_cuts_join_to_the_text(text, size):
-    assert "".join(cuts(text, size)) == text
+    parts = list(cuts(text, size))
+    assert "".join(parts) == text
+    assert all(a[-1] not in " \n\t\r" and b[0] in " \n\t\r" for a, b in zip(parts, parts[1:], strict=False))
 
 
 def plain_counts(texts):
@@ -148,6 +150,58 @@ def test_pieces_are_the_librarys(text):
     assert encoder.decode(ids) == model.decode(model.encode(text)) == text.replace("▁", " ")
 
 
+def test_every_piece_alone_and_beside_others():
+    import sentencepiece
+
+    encoder = pieces._encoder(PIECE)
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    own = [p.replace("▁", " ") for p in encoder.pieces.ids]
+    texts = [f"{before}{p}{after}" for p in own for before, after in (("", ""), ("a", "."), ("m", "x"), ("7", ","), ("é", "1"), (".", "²."), ("²", ")"))]
+    got = encoder.encode(texts)
+    wrong = [t for t, ids in zip(texts, got, strict=True) if ids.tolist() != model.encode(t)]
+    assert wrong == []
+
+
+def test_odd_letters_before_punctuation():
+    import sentencepiece
+
+    encoder, r = pieces._encoder(PIECE), random.Random(11)
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    texts = ["".join(r.choice("abm²³½¼①ªº߁٣ⅷ日.,;:!?)'\"|*%&#$ _-\n") for _ in range(r.randint(1, 25))) for _ in range(20_000)]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids.tolist() == model.encode(text), text
+
+
+def test_the_best_path_is_the_only_one_allowed():
+    found, r = pieces._encoder(PIECE).pieces, random.Random(12)
+    for _ in range(300):
+        word = "▁" * r.randint(0, 2) + "".join(r.choice("aeinorstlchdué²日.19") for _ in range(r.randint(1, 14)))
+        lattice = pieces.Lattice(found)
+        lattice.encode(word)
+        for end in range(1, len(word) + 1):
+            ends = []
+            for start in range(end):
+                part = word[start:end]
+                if part in found.ids or start == end - 1:
+                    if found.follows(lattice.last[start], part) if start else end == 1 or found.stands(part):
+                        ends.append((lattice.score[start] + (found.scores[found.ids[part]] if part in found.ids else 0.0), part))
+            assert max(ends) == (lattice.score[end], lattice.last[end]) and len(ends) == 1
+
+
+def test_runs_of_blanks_across_a_cut():
+    import sentencepiece
+
+    encoder, r = pieces._encoder(PIECE), random.Random(13)
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    for _ in range(300):
+        text = "".join(r.choice(("a", "be", ".", "\n", " ", "  ", " " * 9, " " * 20)) for _ in range(r.randint(1, 60)))
+        for size in (1, 5, 16):
+            words = [w for part in pieces._marked(text, size) for w in encoder.pieces.words.findall(part)]
+            assert [i for w in words for i in pieces.Lattice(encoder.pieces).encode(w)] == model.encode(text)
+    text = "a" * ((1 << 18) - 4) + " " * 9 + "b"
+    assert encoder.encode([text])[0].tolist() == model.encode(text)
+
+
 def test_pieces_of_table(spark):
     import sentencepiece
 
