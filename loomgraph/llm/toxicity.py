@@ -21,13 +21,15 @@ apart when it is repeated becomes an insult of the lowest grade.
 
 Defined results: null text is an empty text; a text without a match gets the model's
 lowest score; with no labelled rows the fixed list and default weights apply; repeated
-rows give repeated results. The fit uses at most `per_class` labelled documents of each
-class, and equal texts among them count once.
+rows give repeated results; very long texts are read in parts, and a clause that one part
+leaves open goes on in the next, so the size of parts changes nothing. The fit uses at most
+`per_class` labelled documents of each class, and equal texts among them count once.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
@@ -35,10 +37,11 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cuts, held_out, labelled_sample, settle, small_batches
+from loomgraph.llm.common import ENTRY_BYTES, cuts, held_out, labelled_sample, materialize, settle, slices
+from loomgraph.session import ship_library
 
 # Fixed word lists.
 INSULTS = (
@@ -152,28 +155,35 @@ class ToxicityModel:
 class Reader(dict):
     """Symbols by token (";" follows where a clause ends), worked out once for each distinct token."""
 
-    def __init__(self, insults: dict[str, str], remembered: int = 400_000):
-        self.insults, self.remembered, self.machine = insults, remembered, grammar()
+    def __init__(self, insults: dict[str, str], remembered: int = 64 << 20):
+        self.insults, self.remembered, self.held, self.machine = insults, remembered, 0, grammar()
         self.fixed = {w: s for words, s in ((REPORTS, "r"), (NEGATIONS, "n"), (TARGETS, "t"), (THREATS, "h")) for w in words}
 
     def __missing__(self, token: str) -> str:
         word = bare(token)
         found = self.insults.get(f"={word}") or max((self.insults.get(word[:k], "") for k in _PREFIXES if len(word) >= k), default="")
         symbol = found or self.fixed.get(word, "o")
+        self.held += len(token) + ENTRY_BYTES
         self[token] = symbol = symbol + ";" if token[-1] in _CLAUSE_ENDS else symbol
         return symbol
 
-    def evidence(self, text: str | None) -> np.ndarray:
+    def evidence(self, text: str | None, part_chars: int = 1 << 20) -> np.ndarray:
         """Logarithms of each event's count, the added weights and the matched clauses; repeats and densities."""
-        events, added, clauses, words = Counter(), 0.0, 0, 0
-        for part in cuts(text or "", 1 << 20):
-            if len(self) > self.remembered:
+        events, added, clauses, words, still_open = Counter(), 0.0, 0, 0, ""
+        for part in itertools.chain(cuts(text or "", part_chars), (None,)):
+            if self.held > self.remembered:
                 self.clear()
-            tokens = part.split()
+                self.held = 0
+            tokens = [] if part is None else part.split()
             words += len(tokens)
-            symbols = "".join(map(self.__getitem__, tokens))
-            if any(s in symbols for s in "123h"):
-                for clause in symbols.split(";"):
+            symbols = ";" if part is None else "".join(map(self.__getitem__, tokens))
+            whole, end, rest = symbols.rpartition(";")
+            if not end:
+                still_open += rest
+                continue
+            whole, still_open = still_open + whole, rest
+            if any(s in whole for s in "123h"):
+                for clause in whole.split(";"):
                     if any(s in clause for s in "123h"):
                         written, weight = self.machine.run(clause)
                         events.update(c for c in written if c in EVENTS)
@@ -218,37 +228,28 @@ def word_features(text: str | None) -> set[str]:
     return {f"={w}" for w in words if w} | again | starts.keys()
 
 
-def _significance(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+def _significance(toxic: Column, clean: Column, share: float) -> Column:
     """Minus the log of a bound on the chance of as many toxic documents (Chernoff)."""
-    n = toxic + clean
-    q = toxic / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rest = np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - share)), 0.0)
-    return np.where(q > share, n * (q * np.log(q / share) + rest), 0.0)
+    n, q = toxic + clean, toxic / (toxic + clean)
+    rest = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - share))).otherwise(0.0)
+    return F.when(q > share, n * (q * F.log(q / share) + rest)).otherwise(0.0)
 
 
 def fit(
     docs: DataFrame,
     labels: DataFrame,
     per_class: int = 4000,
-    most_candidates: int = 6000,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
 ) -> ToxicityModel:
     """Learn the lexicon and the weights from labelled rows outside the held-out fold."""
-    small_batches(docs.sparkSession)
+    ship_library(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, per_class, id_col, text_col).select("label", "text")
+    return _fit(materialize(sample))  # at most 2 * per_class texts; each is read again several times
 
-    # At most 2 * per_class texts, equal ones once; each is read again several times below.
-    sample = sample.distinct().persist()
-    try:
-        return _fit(sample, most_candidates)
-    finally:
-        sample.unpersist()
 
-
-def _fit(sample: DataFrame, most_candidates: int) -> ToxicityModel:
+def _fit(sample: DataFrame) -> ToxicityModel:
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_clean, n_toxic = totals.get(0, 0), totals.get(1, 0)
     insults = {f"={w}": "2" for w in INSULTS}
@@ -257,7 +258,7 @@ def _fit(sample: DataFrame, most_candidates: int) -> ToxicityModel:
 
     def count(batches):
         found: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        for batch in batches:
+        for batch in slices(batches):
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for feature in word_features(text):
                     found[feature][label] += 1
@@ -269,51 +270,49 @@ def _fit(sample: DataFrame, most_candidates: int) -> ToxicityModel:
     counted = sample.mapInArrow(count, "feature string, clean long, toxic long")
     counted = counted.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     rare = F.col("clean") * n_toxic <= F.lit(0.03) * F.col("toxic") * n_clean
-    best = counted.filter((F.col("toxic") >= 3) & rare).orderBy(F.desc("toxic"), "clean", "feature").limit(most_candidates)
-    candidates = best.collect()  # at most most_candidates
-    known = {r["feature"] for r in candidates}
-
-    def match(batches):
-        for batch in batches:
-            rows = [sorted(known & word_features(t)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["features"])
-
-    # At most per_class rows of candidates.
-    toxic = sample.filter("label = 1").select("text").mapInArrow(match, "features array<string>").collect()
-    has = defaultdict(set)
-    for i, row in enumerate(toxic):
-        for feature in row["features"]:
-            has[feature].add(i)
-    share = n_toxic / (n_toxic + n_clean)
-    open_docs = set(range(len(toxic)))
-    for word in INSULTS:
-        open_docs -= has.get(f"={word}", set())
-    strength = _significance(np.array([r["toxic"] for r in candidates], float), np.array([r["clean"] for r in candidates], float), share) if candidates else []
-    chosen = {r["feature"] for r, s in zip(candidates, strength, strict=True) if s > log(1e10)}
-    for feature in chosen:
-        open_docs -= has[feature]
-    clean = {r["feature"]: r["clean"] for r in candidates}
-    left = {f: docs & open_docs for f, docs in has.items() if f not in chosen}
+    strength = _significance(F.col("toxic"), F.col("clean"), n_toxic / (n_toxic + n_clean))
+    candidates = materialize(counted.filter((F.col("toxic") >= 3) & rare).withColumn("strength", strength))
+    # What is too telling to be chance, and the fixed words: this is the lexicon itself.
+    telling = F.col("strength") > log(1e10)
+    strong = candidates.filter(telling | F.col("feature").isin(*insults)).withColumn("telling", telling).collect()
+    chosen = {r["feature"] for r in strong if r["telling"]}
+    counts = {r["feature"]: (r["toxic"], r["clean"]) for r in strong}
+    explained = frozenset(counts)
+
+    def unexplained(batches):
+        for batch in slices(batches):
+            own = [(t, word_features(t)) for t in batch.column(0).to_pylist()]
+            own = [(hashlib.md5((t or "").encode()).hexdigest(), sorted(features)) for t, features in own if explained.isdisjoint(features)]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in own], pa.string()), pa.array([x for _, x in own], pa.list_(pa.string()))], names=["doc", "features"])
+
+    # What three or more of the toxic documents that these leave unexplained have in common.
+    left_open = sample.filter("label = 1").select("text").mapInArrow(unexplained, "doc string, features array<string>")
+    pairs = left_open.select("doc", F.explode("features").alias("feature")).join(candidates.select("feature", "toxic", "clean"), "feature")
+    pairs = materialize(pairs)
+    often = pairs.groupBy("feature").agg(F.count("*").alias("n")).filter("n >= 3").select("feature")
+    left: dict[str, set[str]] = defaultdict(set)
+    for r in pairs.join(often, "feature", "left_semi").collect():
+        left[r["feature"]].add(r["doc"])
+        counts[r["feature"]] = (r["toxic"], r["clean"])
     while left:
-        feature = max(left, key=lambda f: (len(left[f]), -clean[f], len(f), f))
+        feature = max(left, key=lambda f: (len(left[f]), -counts[f][1], len(f), f))
         if len(left[feature]) < 3:
             break
         chosen.add(feature)
         met = left.pop(feature)
         left = {f: rest for f, docs in left.items() if (rest := docs - met)}
-    toxic_docs = {r["feature"]: r["toxic"] for r in candidates}
-    chosen -= {p for f in chosen for p in _beginnings(f) if toxic_docs[f] >= 0.95 * toxic_docs.get(p, 0)}
-    for r in candidates:
-        odds = log((r["toxic"] + 0.5) / (n_toxic + 1)) - log((r["clean"] + 0.5) / (n_clean + 1))
-        if r["feature"] in chosen or r["feature"] in insults:
-            word, again = r["feature"].rstrip("+"), r["feature"].endswith("+")
+    chosen -= {p for f in chosen for p in _beginnings(f) if p in chosen and counts[f][0] >= 0.95 * counts[p][0]}
+    for feature, (toxic, clean) in counts.items():
+        odds = log((toxic + 0.5) / (n_toxic + 1)) - log((clean + 0.5) / (n_clean + 1))
+        if feature in chosen or feature in insults:
+            word, again = feature.rstrip("+"), feature.endswith("+")
             grade = "1" if again else "3" if odds > 4 else "2"
             insults[word] = max(grade, insults.get(word, ""))
     reader_model = ToxicityModel(insults, default_weights())
 
     def evidence(batches):
         reader = Reader(reader_model.insults)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [reader.evidence(t).tolist() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
 
@@ -352,7 +351,7 @@ def score(
     docs: DataFrame, model: ToxicityModel, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Return (id, held_out, score, predicted, matched_clauses) for each row."""
-    small_batches(docs.sparkSession)
+    ship_library(docs.sparkSession)
     picked = docs.select(
         docs[id_col].alias("id"), held_out(docs[id_col]).alias("held_out"), docs[text_col].cast("string").alias("text")
     )
@@ -362,7 +361,7 @@ def score(
         settle(_READERS.clear)
         model = shared.value
         reader = _reader(model)
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([reader.evidence(t) for t in batch.column(2).to_pylist()]).reshape(-1, len(model.weights) - 1)
             found = 1 / (1 + np.exp(-np.clip(x @ model.weights[:-1] + model.weights[-1], -30, 30)))
             clauses = np.rint(np.expm1(x[:, len(EVENTS) + 1])).astype(np.int64)
