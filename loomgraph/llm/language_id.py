@@ -7,21 +7,24 @@ without listing them. Probabilities come from expectation maximisation: expected
 counts over all segmentations of the training words.
 
 Texts are scored whole: lower-cased, cut into runs of letters, each marked as a word
-start. The forward algorithm runs over distinct words of one length at once, with the
-vocabulary looked up by rolling hashes; words a worker has scored are remembered in a
-table of bounded size.
+start, however long. The forward algorithm runs over distinct words of one length at once,
+with the vocabulary looked up by rolling hashes; it keeps as many prefixes as a piece is
+long and scales them up now and then, so no word is too long for it. Words a worker has
+scored are remembered in a table of bounded size.
 
 Defined results: a null text, or one without letters, is `und` with score 0; ties go to
 the language that sorts first; with no training rows every text is `und`; repeated rows
-give repeated results. Learning uses about `per_language` documents of each language
-(those whose ids hash below that share of the range) and their `most_words` commonest words.
+give repeated results. Learning uses all words of at most `per_language` distinct texts of
+each language, those that hash smallest. More than `most_languages` different values of the
+language column are an error: a model has a column for each.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import by_bytes, cuts, held_out, public_vocabulary, settle, small_batches
+from loomgraph.llm.common import bounded_sample, by_bytes, cuts, held_out, public_vocabulary, settle, slices, weight
+from loomgraph.session import ship_library
 
 UNDETERMINED = "und"
 MARK = "▁"
-LONGEST_WORD = 40
 LONGEST_PIECE = 16
+#: Letters of a word that are looked up at once, and letters of words that are scored side by side.
+AT_ONCE, SIDE_BY_SIDE = 4096, 1 << 17
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
@@ -86,9 +91,9 @@ class Vocabulary:
             found[miss] = np.where(self.keys[at] == hashes[miss], self.ids[at], np.int32(self.size))
         return found
 
-    def lattice(self, words: list[str]) -> list[np.ndarray]:
+    def lattice(self, codes: np.ndarray) -> list[np.ndarray]:
         """For equally long words: ids[l - 1][w, i], the piece that is l characters of word w from i on."""
-        return [self.find(h) for h in _hashes(_codes(words))]
+        return [self.find(h) for h in _hashes(codes)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -102,22 +107,40 @@ def load_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(sorted(p for p in usable if p == p.lower() and len(p) <= LONGEST_PIECE))
 
 
-def _forward(lattice: list[np.ndarray], prob: np.ndarray, floor: float) -> list[np.ndarray]:
-    """alpha[j][w, k]: probability of the first j characters of word w in language k, over all segmentations."""
-    words, length = lattice[0].shape[0], lattice[0].shape[1]
-    alpha = [np.ones((words, prob.shape[1]))]
-    for j in range(1, length + 1):
-        total = np.zeros_like(alpha[0])
-        for size in range(1, min(j, len(lattice)) + 1):
-            piece = lattice[size - 1][:, j - size]
-            if size == 1:  # a character that is no piece costs the same in every language
-                total += alpha[j - 1] * np.maximum(prob[piece], floor)
-            else:
-                there = np.flatnonzero(piece < len(prob) - 1)
-                if len(there):
-                    total[there] += alpha[j - size][there] * prob[piece[there]]
-        alpha.append(total)
-    return alpha
+def _forward(vocabulary: Vocabulary, codes: np.ndarray, prob: np.ndarray, floor: float, at_once: int = AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For j = 0, 1, ...: (alpha, scale), both (words, languages).
+
+    alpha * exp(scale) is the probability of the first j characters of each of the equally long words,
+    over all segmentations.
+    """
+    words, length = codes.shape
+    alpha, scale = np.ones((words, prob.shape[1])), np.zeros((words, prob.shape[1]))
+    yield alpha, scale
+    before = deque([alpha], maxlen=LONGEST_PIECE)
+    for at in range(0, length, at_once):
+        low = max(0, at - LONGEST_PIECE + 1)
+        lattice = vocabulary.lattice(codes[:, low : at + at_once])
+        some = [(ids < vocabulary.size).any(axis=0) for ids in lattice]
+        for j in range(at + 1, min(at + at_once, length) + 1):
+            # A character that is no piece costs the same in every language.
+            alpha = before[-1] * np.maximum(prob[lattice[0][:, j - 1 - low]], floor)
+            for size in range(2, min(len(before), len(lattice)) + 1):
+                if some[size - 1][j - size - low]:
+                    piece = lattice[size - 1][:, j - size - low]
+                    there = np.flatnonzero(piece < vocabulary.size)
+                    alpha[there] += before[-size][there] * prob[piece[there]]
+            before.append(alpha)
+            yield alpha, scale
+            if j % LONGEST_PIECE == 0:
+                scale = scale + np.log(alpha)
+                before = deque((a / alpha for a in before), maxlen=LONGEST_PIECE)
+
+
+def _side_by_side(words: list[str]) -> Iterator[list[str]]:
+    """Parts of equally long words, so that a part's letters are not too many."""
+    step = max(1, SIDE_BY_SIDE // len(words[0]))
+    for at in range(0, len(words), step):
+        yield words[at : at + step]
 
 
 def by_length(words) -> dict[int, list[str]]:
@@ -128,12 +151,9 @@ def by_length(words) -> dict[int, list[str]]:
 
 
 def words_of(token: str) -> list[str]:
-    """The marked lower-case words of a token: runs of letters, cut where they are very long."""
-    found = []
-    for run in _LETTERS.findall(token.lower()):
-        letters = run if run.isalpha() else "".join(c for c in run if c.isalpha())
-        found += [MARK + letters[i : i + LONGEST_WORD] for i in range(0, len(letters), LONGEST_WORD)]
-    return found
+    """The marked lower-case words of a token: its runs of letters."""
+    runs = _LETTERS.findall(token.lower())
+    return [MARK + (run if run.isalpha() else "".join(c for c in run if c.isalpha())) for run in runs if any(map(str.isalpha, run))]
 
 
 @dataclass
@@ -150,9 +170,9 @@ class LanguageModel:
         """Log-probability of marked words in each language."""
         vocabulary, scores = load_vocabulary(self.path), {}
         for group in by_length(words).values():
-            for at in range(0, len(group), 8192):
-                part = group[at : at + 8192]
-                scores.update(zip(part, np.log(_forward(vocabulary.lattice(part), self.prob, self.floor)[-1]), strict=True))
+            for part in _side_by_side(group):
+                ((alpha, scale),) = deque(_forward(vocabulary, _codes(part), self.prob, self.floor), maxlen=1)
+                scores.update(zip(part, np.log(alpha) + scale, strict=True))
         return scores
 
 
@@ -166,8 +186,9 @@ def train(path: str, counts: dict[str, Counter[str]], prior: dict[str, float], r
         expected = np.zeros_like(prob)
         for k, language in enumerate(languages):
             for group in by_length(counts[language]).values():
-                weight = np.array([counts[language][w] for w in group], dtype=float)
-                _expect(vocabulary.lattice(group), model.prob[:, k : k + 1], model.floor, weight, expected[:, k])
+                for part in _side_by_side(group):
+                    times = np.array([counts[language][w] for w in part], dtype=float)
+                    _expect(vocabulary, _codes(part), model.prob[:, k : k + 1], model.floor, times, expected[:, k])
         expected[-1] = 0
         smooth = expected + 0.1
         smooth[-1] = 0
@@ -175,48 +196,56 @@ def train(path: str, counts: dict[str, Counter[str]], prior: dict[str, float], r
     return model
 
 
-def _expect(lattice: list[np.ndarray], prob: np.ndarray, floor: float, weight: np.ndarray, into: np.ndarray) -> None:
-    """Add the expected uses of each piece over all segmentations of weighted words."""
-    length = lattice[0].shape[1]
-    alpha = [a[:, 0] for a in _forward(lattice, prob, floor)]
-    beta = [np.zeros_like(alpha[0]) for _ in range(length)] + [np.ones_like(alpha[0])]
-    share = weight / alpha[length]
+def _expect(vocabulary: Vocabulary, codes: np.ndarray, prob: np.ndarray, floor: float, times: np.ndarray, into: np.ndarray) -> None:
+    """Add the expected uses of each piece over all segmentations of words that occur so many times."""
+    length = codes.shape[1]
+    forward = [(alpha[:, 0], scale[:, 0]) for alpha, scale in _forward(vocabulary, codes, prob, floor, length)]
+    lattice = vocabulary.lattice(codes)
+    whole, whole_scale = forward[length]
+    share, scale = times / whole, np.zeros_like(whole)
+    after = deque([np.ones_like(whole)], maxlen=LONGEST_PIECE)  # beta of the positions behind this one, the nearest first
     for i in range(length - 1, -1, -1):
-        for size in range(1, min(length - i, len(lattice)) + 1):
+        alpha, own_scale = forward[i]
+        reach = alpha * share * np.exp(own_scale + scale - whole_scale)
+        beta = np.zeros_like(whole)
+        for size in range(1, min(len(after), len(lattice)) + 1):
             piece = lattice[size - 1][:, i]
             p = prob[piece, 0]
             if size == 1:
                 p = np.maximum(p, floor)
-            flow = p * beta[i + size]
-            beta[i] += flow
-            np.add.at(into, piece, alpha[i] * flow * share)
+            flow = p * after[size - 1]
+            beta += flow
+            np.add.at(into, piece, reach * flow)
+        after.appendleft(beta)
+        if i % LONGEST_PIECE == 0:
+            scale = scale + np.log(beta)
+            after = deque((b / beta for b in after), maxlen=LONGEST_PIECE)
 
 
 def fit(
     docs: DataFrame,
     path: str | None = None,
     per_language: int = 300,
-    most_words: int = 160_000,
+    most_languages: int = 500,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> LanguageModel:
     """Learn from the text and language of rows outside the held-out fold."""
     path = path or public_vocabulary("piece_bpe_32k.model")
-    small_batches(docs.sparkSession)
+    ship_library(docs.sparkSession)
     rows = docs.select(
         docs[id_col].alias("id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text")
     ).filter(F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    known = rows.select("id", "lang")
-    prior = {r["lang"]: float(r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    # The ids that hash below a share of the range: `per_language` rows on average, however many there are.
-    shares = F.create_map(*(F.lit(x) for k, n in sorted(prior.items()) for x in (k, per_language / n)))
-    drawn = (F.xxhash64("id") / F.lit(2.0**64) + 0.5) < shares[F.col("lang")]
-    sample = rows.filter(drawn) if prior else rows.limit(0)
+    rows = rows.select("lang", "text")
+    prior = {r["lang"]: float(r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    if len(prior) > most_languages:
+        raise ValueError(f"{lang_col} has more than {most_languages} values")
+    sample = bounded_sample(rows, per_language, ["text"], "lang", most_languages)
 
     def count(batches):
         tokens: dict[str, Counter] = defaultdict(Counter)
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for part in cuts(text or "", 1 << 20):
                     tokens[lang].update(part.split())
@@ -237,25 +266,27 @@ def fit(
     found = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long")
     found = found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, Counter[str]] = defaultdict(Counter)
-    for r in found.orderBy(F.desc("n"), "lang", "word").limit(most_words).collect():
-        counts[r["lang"]][r["word"]] = r["n"]
+    for language, word, n in sorted(zip(*found.toArrow().to_pydict().values(), strict=True)):  # the sample's words
+        counts[language][word] = n
     total = sum(prior.values())
     return train(path, counts, {k: v / total for k, v in prior.items()})
 
 
 class Scorer:
-    """Scores texts with a model; tokens seen before are remembered up to a bound."""
+    """Scores texts with a model; tokens seen before are remembered up to a bound in bytes."""
 
-    def __init__(self, model: LanguageModel, remembered: int = 300_000):
+    def __init__(self, model: LanguageModel, remembered: int = 64 << 20):
         self.model, self.remembered = model, remembered
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
+        self.held = 0
         self.scores = np.zeros((0, len(self.model.languages)))
         self.letters = np.zeros(0, bool)
 
     def _learn(self, tokens: list[str]) -> None:
+        self.held += weight(tokens) + 8 * len(tokens) * len(self.model.languages)
         words = [words_of(t) for t in tokens]
         scores = self.model.word_scores(list({w for ws in words for w in ws}))
         new = np.zeros((len(tokens), len(self.model.languages)))
@@ -268,7 +299,7 @@ class Scorer:
 
     def add(self, totals: np.ndarray, lettered: np.ndarray, group: list[tuple[int, str]]) -> None:
         """Add the scores of (row, part of its text) items to the rows' totals."""
-        if len(self.at) > self.remembered:
+        if self.held > self.remembered:
             self.clear()
         split = [(row, part.split()) for row, part in group]
         new = list(set().union(*(tokens for _, tokens in split)).difference(self.at))
@@ -315,7 +346,7 @@ def _key(model: LanguageModel) -> str:
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return (id, held_out, lang_pred, score) for each row; the score is the language's posterior probability."""
-    small_batches(docs.sparkSession)
+    ship_library(docs.sparkSession)
     key, shared = _key(model), docs.sparkSession.sparkContext.broadcast(model)
     picked = docs.select(
         docs[id_col].alias("id"), held_out(docs[id_col]).alias("held_out"), docs[text_col].cast("string").alias("text")
@@ -324,7 +355,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     def run(batches):
         settle(_SCORERS.clear)
         scorer = _scorer(key, shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             names, score = scorer.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score)],
@@ -337,13 +368,13 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose language is determined with at least this probability."""
-    small_batches(docs.sparkSession)
+    ship_library(docs.sparkSession)
     key, shared, at = _key(model), docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
         settle(_SCORERS.clear)
         scorer = _scorer(key, shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             names, score = scorer.predict(batch.column(at).to_pylist())
             keep = [n != UNDETERMINED and s >= least for n, s in zip(names, score, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
