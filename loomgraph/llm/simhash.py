@@ -1,12 +1,13 @@
 """SimHash near-duplicates: tiled exact comparison, then connected components.
 
 Each text gives a 64-bit fingerprint; distinct fingerprints link when at most `radius`
-bits differ. Fingerprints within the radius agree in at least one of radius + 1 equal
-blocks of bits, so each is compared only with those that share a block with it; this
-loses no pair. Within such a bucket fingerprints are ordered by population count and cut
-into tiles; a pair of tiles is compared by exclusive-or and bit counts in numpy unless
-their population counts differ by more than the radius. Buckets that outgrow a tile are
-spread over tasks as pairs of tiles, so a hot bucket never meets in one task.
+bits differ. Of `radius + k` blocks of bits, fingerprints within the radius agree in at
+least k, so each is compared only with those that share some k blocks with it; this loses
+no pair. k grows with the number of fingerprints, so that buckets stay small. Within a
+bucket fingerprints are ordered by population count and cut into tiles; a pair of tiles is
+compared by exclusive-or and bit counts in numpy unless their population counts differ by
+more than the radius. Buckets that outgrow a tile are spread over tasks as pairs of tiles,
+so a hot bucket never meets in one task.
 
 A tile pair reports links as stars onto the smallest fingerprint it connects, never as
 all pairs of a group. Stars are joined into components by alternating large-star and
@@ -14,19 +15,24 @@ small-star steps, each written to the shared folder; nothing is collected.
 
 Defined results: null and blank texts have fingerprint zero, which links like any other;
 equal texts share a class before anything is compared; repeated ids and rows give a row
-each; a component's id is the smallest id in it (null if it has none).
+each; a component's id is the smallest id in it (null if it has none). Where one document
+of each group is kept, that is the row with the smallest id (rows without one come last;
+of rows with equal ids the one whose content hashes smallest), and of rows that are equal
+in all columns one; ids can be of any type that has an order.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cuts, materialize, nothing, settle, small_batches
+from loomgraph.llm.common import cuts, materialize, nothing, settle, slices
+from loomgraph.session import join_uneven, settled, ship_library
 
 BITS = 64
 SEED = 42
@@ -34,6 +40,8 @@ WORDS = 3
 #: Buckets up to this size are compared side by side with others in one pass of numpy.
 SMALL = 48
 TILE = 4096
+#: Rows of a bucket that evenly spread fingerprints should not exceed, and shares that rows of a hot one are dealt into.
+PER_BUCKET, SHARES = 64, 32
 
 
 def simhash(text: str | None, part_chars: int = 1 << 20) -> int:
@@ -63,16 +71,22 @@ def _bit_sums(hashes: list[int]) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the fingerprint of each row's whole text as a signed long."""
-    small_batches(docs.sparkSession)
-    picked = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    return _fingerprinted(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")))
+
+
+def _fingerprinted(picked: DataFrame) -> DataFrame:
+    """The rows with fp instead of text, their last column."""
+    ship_library(picked.sparkSession)
+    names = [*picked.columns[:-1], "fp"]
 
     def run(batches):
         settle(nothing)
-        for batch in batches:
-            fps = np.array([simhash(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+        for batch in slices(batches):
+            *kept, text = batch.columns
+            fps = np.array([simhash(t) for t in text.to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(fps.view(np.int64))], names=names)
 
-    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, fp long")
+    return picked.mapInArrow(run, picked.drop("text").schema.add("fp", "long"))
 
 
 def _stars(values: np.ndarray, rows: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int]]:
@@ -120,23 +134,36 @@ def _compare_small(bucket: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[
         yield fp[near + k], fp[near]
 
 
-def links(distinct: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
+def blocks_for(n: int, radius: int) -> int:
+    """The fewest blocks for which buckets of n evenly spread fingerprints stay small."""
+    blocks = radius + 1
+    while blocks < radius + 4 and n >> BITS * (blocks - radius) // blocks > PER_BUCKET:
+        blocks += 1
+    return blocks
+
+
+def bucket_keys(fp: Column, radius: int, blocks: int) -> Column:
+    """A number for each choice of blocks - radius blocks, which holds their bits."""
+    ends = [BITS * i // blocks for i in range(blocks + 1)]
+    part = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << b - a) - 1)) if b - a < BITS else fp for a, b in itertools.pairwise(ends)]
+    choices = list(itertools.combinations(range(blocks), blocks - radius))
+    keys = []
+    for nth, chosen in enumerate(choices):
+        key = part[chosen[0]]
+        for i in chosen[1:]:
+            key = F.shiftleft(key, ends[i + 1] - ends[i]).bitwiseOR(part[i])
+        keys.append(key * len(choices) + nth)
+    return F.array(*keys)
+
+
+def links(distinct: DataFrame, radius: int = 3, tile: int = TILE, blocks: int | None = None) -> DataFrame:
     """(u, v) between distinct fingerprints, v < u: stars that connect all that are within the radius.
 
     distinct: one column fp of distinct signed longs.
     """
-    blocks = radius + 1
-    width = BITS // blocks
-    mask = F.lit((1 << width) - 1)
-    keys = F.array(
-        *(
-            F.shiftrightunsigned("fp", i * width).bitwiseAND(mask) * blocks + i
-            if i < blocks - 1
-            else F.shiftrightunsigned("fp", i * width) * blocks + i
-            for i in range(blocks)
-        )
-    )
-    keyed = distinct.select("fp", F.bit_count("fp").alias("pop"), F.explode(keys).alias("bucket"))
+    blocks = blocks or blocks_for(distinct.count(), radius)
+    share, every_share = F.pmod(F.xxhash64("fp"), F.lit(SHARES)).alias("share"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)).cast("array<bigint>")).alias("share")
+    keyed = distinct.select("fp", F.bit_count("fp").alias("pop"), share, F.explode(bucket_keys(F.col("fp"), radius, blocks)).alias("bucket"))
     # A tile holds one population count of a bucket that is too large for one tile.
     counts = keyed.groupBy("bucket", "pop").agg(F.count("*").alias("n"))
     large = counts.groupBy("bucket").agg(F.sum("n").alias("total")).filter(F.col("total") > tile).select("bucket")
@@ -165,14 +192,16 @@ def links(distinct: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
             ))
         ).alias("x"),
     ).select("bucket", "pair", "x.*")
-    parts = tiles.groupBy("bucket", "pop").agg(F.first("parts").alias("parts"))
+    # Each share of a bucket's rows meets a copy of the few rows about its tiles.
+    parts = tiles.groupBy("bucket", "pop").agg(F.first("parts").alias("parts")).select("*", every_share)
     spread = (
-        keyed.join(parts, ["bucket", "pop"])
+        keyed.join(parts, ["bucket", "pop", "share"])
         .withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
         .join(sides, ["bucket", "pop", "part"])
         .select("pair", "side", "fp")
     )
-    few = keyed.join(large, "bucket", "left_anti").select("bucket", "pop", "fp")
+    outgrown = tiles.select("bucket").distinct().select("*", every_share)
+    few = keyed.join(outgrown, ["bucket", "share"], "left_anti").select("bucket", "pop", "fp")
 
     def in_buckets(batches):
         for bucket, fp in _whole_groups(batches, 0, 2):
@@ -230,54 +259,83 @@ def connect(edges: DataFrame) -> DataFrame:
 
     edges: (u, v) longs, v < u. Alternates large-star and small-star until nothing changes.
     """
-    edges, before = materialize(edges.distinct()), None
+    spark, before = edges.sparkSession, None
+    edges, place = settled(spark, edges.distinct)
     while True:
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 20)))).head()
         if now == before or not now[0]:
             return edges
-        before = now
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-        wide = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        least = wide.groupBy("u").agg(F.min("v").alias("low"))
-        narrow = wide.join(least, "u").select(
-            F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e")
-        )
-        edges = materialize(narrow.select("e.*").filter("u <> v").distinct())
+        before, met = now, 2 * now[0]
+        edges, place = settled(spark, lambda: _stars_of_stars(edges, met), place)  # noqa: B023 it is called at once
+
+
+def _stars_of_stars(edges: DataFrame, met: int) -> DataFrame:
+    """One large-star and one small-star step; met: twice the number of edges, more than any step has rows."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"), F.count("*").alias("n"))
+    wide = join_uneven(both, least, "u", "n", met).filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+    least = wide.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n"))
+    pairs = F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))
+    return join_uneven(wide, least, "u", "n", met).select(F.explode(pairs).alias("e")).select("e.*").filter("u <> v").distinct()
+
+
+def _groups(rows: DataFrame, first: Column, radius: int) -> tuple[DataFrame, int]:
+    """(fp, n, first) for each fingerprint: its rows, and the least `first` of its component; and the number of rows."""
+    classes = materialize(rows.groupBy("fp").agg(F.min(first).alias("own"), F.count("*").alias("n")))
+    stars = connect(links(classes.select("fp"), radius))
+    rooted = classes.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "n", "own", F.coalesce("v", "fp").alias("root"))
+    rooted = materialize(rooted)
+    least = rooted.groupBy("root").agg(F.min("own").alias("first"), F.count("*").alias("members"))
+    distinct, total = rooted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
+    return materialize(join_uneven(rooted, least, "root", "members", distinct).select("fp", "n", "first")), total
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return (id, fingerprint, component_id) for each row."""
     rows = materialize(fingerprints(docs, id_col, text_col))
-    classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("low_id")))
-    stars = connect(links(classes.select("fp"), radius))
-    rooted = classes.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select(
-        "fp", "low_id", F.coalesce("v", "fp").alias("root")
-    )
-    smallest = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    found = rooted.join(smallest, "root").select("fp", "component_id")
-    return rows.join(found, "fp").select(
-        F.col("id").alias(id_col), hexadecimal(F.col("fp")).alias("fingerprint"), "component_id"
+    groups, total = _groups(rows, F.struct(F.col("id").isNull().alias("none"), "id"), radius)
+    return join_uneven(rows, groups, "fp", "n", total).select(
+        F.col("id").alias(id_col), hexadecimal(F.col("fp")).alias("fingerprint"), F.col("first.id").alias("component_id")
     )
 
 
 def one_of_each(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, of the document with the smallest id of each group.
+    """One row, with all its columns, of each group: that with the smallest id.
 
-    Rows that repeat an id are one document: the row whose text sorts first stays. A document
-    without an id stands behind all that have one.
+    Rows are told apart by two hashes of all their columns, so what is decided about them is short,
+    and texts move only if the hashes of the rows that go outgrow a broadcast.
     """
-    key = "key_of_document"
-    while key in docs.columns:
-        key += "_"
-    text = docs[text_col].cast("string")
-    behind = F.lit(1 << 62) + F.shiftright(F.abs(F.xxhash64(text)), 2)
-    keyed = docs.withColumn(key, F.coalesce(docs[id_col].cast("long"), behind))
-    groups = near_duplicates(keyed, radius, key, text_col)
-    chosen = groups.filter(F.col(key) == F.col("component_id")).select(key).distinct()
-    first = F.row_number().over(Window.partitionBy(key).orderBy(F.col(text_col).asc_nulls_first()))
-    nth = key + "_nth"
-    return keyed.join(chosen, key).withColumn(nth, first).filter(F.col(nth) == 1).select(*docs.columns)
+    keys = [_unused("row_hash", docs), _unused("other_row_hash", docs)]
+    columns = [_plain(docs, c) for c in docs.columns]
+    keyed = docs.select("*", F.xxhash64(*columns).alias(keys[0]), F.xxhash64(F.lit(SEED), *columns[::-1]).alias(keys[1]))
+    a, b = (keyed[k].alias(n) for k, n in zip(keys, "ab", strict=True))
+    rows = materialize(_fingerprinted(keyed.select(docs[id_col].alias("id"), a, b, docs[text_col].cast("string").alias("text"))))
+    groups, total = _groups(rows, F.struct(F.col("id").isNull().alias("none"), "id", "a", "b"), radius)
+    is_first = (F.col("a") == F.col("first.a")) & (F.col("b") == F.col("first.b"))
+    found = join_uneven(rows, groups, "fp", "n", total).select("a", "b", is_first.alias("is_first"))
+    found = found.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("is_first").alias("stays")).filter("n > 1 or not stays")
+    # Rows that go, and rows that stay but are there more than once: all are taken out, and of the latter one comes back.
+    out = materialize(found.select(F.col("a").alias(keys[0]), F.col("b").alias(keys[1]), F.col("n").alias("times_there"), "stays"))
+    many, again = total // 1000, out.filter("stays")
+    hot, rest = (out.filter(test).select(*keys) for test in (F.col("times_there") > many, F.col("times_there") <= many))
+    kept = keyed.join(F.broadcast(hot), keys, "left_anti").join(rest, keys, "left_anti")  # at most a thousand are hot
+    if not again.isEmpty():
+        back = keyed.join(F.broadcast(again.join(F.broadcast(hot), keys, "left_semi")), keys, "left_semi")
+        more = keyed.join(again.join(F.broadcast(hot), keys, "left_anti"), keys, "left_semi")
+        kept = kept.unionByName(back.unionByName(more).dropDuplicates(keys))
+    return kept.select(*(f"`{c}`" for c in docs.columns))
+
+
+def _unused(name: str, docs: DataFrame) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _plain(docs: DataFrame, name: str) -> Column:
+    """A column as something that can be hashed."""
+    column = docs[f"`{name}`"]
+    return F.to_json(column) if "map<" in docs.schema[name].dataType.simpleString() else column
 
 
 def hexadecimal(fp: Column) -> Column:
