@@ -6,16 +6,18 @@ byte. Codebooks and codes minimise a loss in which the part of the residual that
 parallel to the vector weighs more than the rest, because that part is what shifts the
 scores of near neighbours.
 
-Every row is indexed. A search meets tiles of queries with tiles of the index: for each
-query, tables of partial products are added up over a tile's codes, and all rows whose
-estimate comes within the measured error of the fifth best are scored exactly, in
-doubles on the original vectors. There is no cap on how many these are. Each tile gives
-its best rows, and a query's results are the best of those.
+Every row is indexed; equal vectors share an entry, which holds the smallest of their ids.
+A search meets tiles of queries with tiles of codes: for each query, tables of partial
+products are added up over a tile's codes, and the entries whose estimate comes within the
+measured error of the best ones go on. What is still within the error of the best of all
+tiles is scored exactly, in doubles on the original vectors. There is no cap on how many
+these are. Vectors themselves only move for the entries that are scored.
 
 Defined results: rows with a null id, a null or zero vector, null or non-finite
 components, or another dimension than most take no part; a query whose id repeats is
-asked once, and a repeated row is a candidate each time it occurs; ties go to the
-smaller id; an empty table gives no rows.
+asked once, with its least vector, and a repeated row is a candidate each time it occurs;
+ties go to the smaller id; an empty table gives no rows. Codebooks are fitted on at most
+`sample_rows` distinct vectors, those that hash smallest.
 """
 
 from __future__ import annotations
@@ -28,20 +30,26 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialize, small_batches
+from loomgraph.llm.common import bounded_sample, materialize, slices
+from loomgraph.session import ship_library
 
 WIDTH = 2
 ENTRIES = 16
-RESULT = "query_id long, rank int, vec_id long, score double"
+#: Most rows and queries of a tile, the fewest rows, and queries whose tables are in memory at once.
+TILE_ROWS, TILE_QUERIES, LEAST_ROWS, TABLES = 1 << 20, 1 << 14, 1 << 13, 256
 
 
 @dataclass
 class Quantiser:
-    """codebooks: (dimension pairs, entries, width); weight: what parallel residual error costs beside the rest."""
+    """codebooks: (dimension pairs, entries, width); weight: what parallel residual error costs beside the rest.
+
+    error: the root mean square error of estimates near the top.
+    """
 
     codebooks: np.ndarray
     weight: float
     dimension: int
+    error: float = 0.0
 
     def _parts(self, unit: np.ndarray) -> np.ndarray:
         padded = np.zeros((len(unit), self.codebooks.shape[0] * WIDTH))
@@ -79,6 +87,18 @@ class Quantiser:
         both = products[:, 0::2, :, None] + products[:, 1::2, None, :]
         return both.reshape(len(unit), -1, ENTRIES * ENTRIES).astype(np.float32)
 
+    def measure_error(self, unit: np.ndarray, queries: int = 64, top: int = 128) -> None:
+        """Measure the error of estimates on vectors, some of which are asked for."""
+        if len(unit):
+            asked = unit[:: -(-len(unit) // queries)]
+            columns = np.ascontiguousarray(self.pack(self.codes(unit)).T)
+            errors = []
+            for table, query in zip(self.tables(asked), asked, strict=True):
+                scores = estimates(table, columns)
+                best = np.argpartition(-scores, min(top, len(scores) - 1))[:top]
+                errors.append(scores[best] - unit[best] @ query)
+            self.error = float(np.sqrt(np.mean(np.concatenate(errors) ** 2)))
+
 
 def fit_quantiser(unit: np.ndarray, dimension: int, threshold: float = 0.2, rounds: int = 6) -> Quantiser:
     """Codebooks from unit vectors; parallel error weighs as for scores of at least `threshold`."""
@@ -126,118 +146,134 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dimension: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dimension)
 
 
-def build_index(
-    vectors: DataFrame, sample_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding"
-) -> tuple[DataFrame, Quantiser]:
-    """Index every usable row as (id, vector, codes); codebooks are fitted on about `sample_rows` rows.
+def estimates(table: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """A query's estimates for all rows of a tile: what each byte of their codes adds, column by column."""
+    total = table[0][columns[0]]
+    for part, column in zip(table[1:], columns[1:], strict=True):
+        total += part[column]
+    return total
 
-    The sample is the rows whose ids hash below that share of the range.
-    """
-    spark = vectors.sparkSession
-    small_batches(spark, 4096)
+
+def cosines(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Row by row, in doubles; scaled first, so that squares neither overflow nor vanish."""
+    a, b = (x / np.abs(x).max(axis=1, keepdims=True) for x in (queries, vectors))
+    return (a * b).sum(axis=1) / (np.sqrt((b * b).sum(axis=1)) * np.sqrt((a * a).sum(axis=1)))
+
+
+@dataclass
+class Index:
+    """rows: (id, vector) of all that take part; entries: (entry, vector, ids, codes), one for each distinct vector."""
+
+    rows: DataFrame
+    entries: DataFrame
+    quantiser: Quantiser
+
+
+def build_index(
+    vectors: DataFrame, k: int = 5, sample_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding"
+) -> Index:
+    """Index every usable row. ids: of an entry's rows, the k + 1 smallest ids and how often each occurs (k at most)."""
+    ship_library(vectors.sparkSession)
     picked = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("vector"))
     picked = picked.filter(F.col("id").isNotNull() & usable(F.col("vector")))
     sizes = picked.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"))
     most = sizes.orderBy(F.desc("n"), "d").head()
-    dimension, rows = (most["d"], most["n"]) if most else (2, 0)
+    dimension = most["d"] if most else 2
     picked = picked.filter(F.size("vector") == dimension)
-    drawn = (F.xxhash64("id") / F.lit(2.0**64) + 0.5) < sample_rows / max(rows, 1)
-    sample = picked.filter(drawn).toPandas().sort_values("id", kind="stable") if rows else None
-    seen = np.array(sample["vector"].tolist(), dtype=float).reshape(-1, dimension) if rows else np.zeros((0, dimension))
-    quantiser = fit_quantiser(unit_rows(seen) if len(seen) else seen, dimension)
+    sample = bounded_sample(picked, sample_rows, ["vector"]).toPandas()
+    seen = np.array(sample["vector"].tolist(), dtype=float).reshape(-1, dimension)
+    unit = unit_rows(seen) if len(seen) else seen
+    quantiser = fit_quantiser(unit, dimension)
+    quantiser.measure_error(unit)
 
     def encode(batches):
-        for batch in batches:
+        for batch in slices(batches, 4096):
             packed = quantiser.pack(quantiser.codes(unit_rows(_matrix(batch.column(1), dimension))))
             codes = pa.array([row.tobytes() for row in packed], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), codes], names=["id", "vector", "codes"])
-
-    kind = picked.schema["vector"].dataType.simpleString()
-    return materialize(picked.mapInArrow(encode, f"id long, vector {kind}, codes binary")), quantiser
-
-
-def search_tile(
-    quantiser: Quantiser, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, k: int
-) -> list[tuple[int, int, float]]:
-    """(query, id, score) of each query's k best rows of a tile, by table scan and exact rescoring."""
-    tables = quantiser.tables(unit_rows(queries))
-    columns = [np.ascontiguousarray(c) for c in codes.T]
-    largest = np.abs(vectors).max(axis=1, keepdims=True)
-    scaled = vectors / largest
-    norms = np.sqrt((scaled * scaled).sum(axis=1))
-
-    def exact(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        q = q / np.abs(q).max()
-        return (scaled[rows] * q).sum(axis=1) / (norms[rows] * np.sqrt((q * q).sum()))
-
-    def estimate(i: int) -> np.ndarray:
-        total = tables[i, 0][columns[0]]
-        for table, column in zip(tables[i, 1:], columns[1:], strict=True):
-            total += table[column]
-        return total
-
-    # The error of estimates near the top, from some of the queries.
-    errors = [np.zeros(1)]
-    for i in range(0, len(queries), max(1, len(queries) // 16)):
-        scores = estimate(i)
-        top = np.argpartition(-scores, min(128, len(scores) - 1))[:128]
-        errors.append(scores[top] - exact(queries[i], top))
-    margin = 3 * float(np.sqrt(np.mean(np.concatenate(errors) ** 2)))
-    found = []
-    for i, query in enumerate(query_ids):
-        scores = estimate(i)
-        scores[ids == query] = -np.inf
-        kth = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else -np.inf
-        rows = np.flatnonzero((scores >= kth - margin) & (scores > -np.inf))
-        score = exact(queries[i], rows)
-        best = np.lexsort((ids[rows], -score))[:k]
-        found += [(int(query), int(ids[rows[b]]), float(score[b])) for b in best]
-    return found
+            yield pa.RecordBatch.from_arrays([*batch.columns, codes], names=["entry", "vector", "ids", "codes"])
+
+    # Of a vector's ids only the smallest count, so what repeats is cut down before it meets in one task.
+    each = picked.groupBy("vector", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
+    nth = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
+    few = each.withColumn("nth", nth).filter(F.col("nth") <= k + 1)
+    distinct = few.groupBy("vector").agg(F.sort_array(F.collect_list(F.struct("id", "times"))).alias("ids"))
+    distinct = materialize(distinct.select(F.monotonically_increasing_id().alias("entry"), "vector", "ids"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in distinct.schema.fields)
+    return Index(picked, materialize(distinct.mapInArrow(encode, f"{kinds}, codes binary")), quantiser)
+
+
+def scan_tile(quantiser: Quantiser, query_ids: np.ndarray, queries: np.ndarray, codes: np.ndarray, only: np.ndarray, k: int):
+    """Yield (query id, rows, estimates): of each query, the rows of a tile that may be among its k best.
+
+    only: the id of rows whose entry has no other; a query's own are passed over.
+    """
+    columns, margin = np.ascontiguousarray(codes.T), 3 * quantiser.error
+    for at in range(0, len(queries), TABLES):
+        tables = quantiser.tables(unit_rows(queries[at : at + TABLES]))
+        for query, table in zip(query_ids[at : at + TABLES], tables, strict=True):
+            scores = estimates(table, columns)
+            scores[only == query] = -np.inf
+            least = np.partition(scores, len(scores) - k)[len(scores) - k] - margin if len(scores) > k else -np.inf
+            rows = np.flatnonzero((scores >= least) & (scores > -np.inf))
+            yield int(query), rows, scores[rows]
 
 
 def nearest(
     vectors: DataFrame,
     is_query: Column,
     k: int = 5,
-    tile: int = 8192,
-    query_tile: int = 4096,
+    tile: int | None = None,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
     """Return (query_id, rank, vec_id, score): the k nearest other rows of each row for which is_query holds.
 
-    is_query: a condition on a column `id`.
+    is_query: a condition on a column `id`. tile: rows of a tile, by default a share for each core.
     """
-    index, quantiser = build_index(vectors, id_col=id_col, vector_col=vector_col)
-    asked = index.filter(is_query).groupBy("id").agg(F.min("vector").alias("vector"))
-    tiles = max(1, -(-index.count() // tile))
-    query_tiles = max(1, -(-asked.count() // query_tile))
+    index = build_index(vectors, k, id_col=id_col, vector_col=vector_col)
+    quantiser, cores = index.quantiser, vectors.sparkSession.sparkContext.defaultParallelism
     width, dimension = quantiser.codebooks.shape[0] // 2, quantiser.dimension
-    mine = F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")
-    asked_in = F.pmod(F.xxhash64("id"), F.lit(query_tiles)).cast("int")
+    asked = index.rows.filter(is_query).groupBy("id").agg(F.min("vector").alias("vector"))
+    asked = materialize(asked.select(F.col("id").alias("query_id"), "vector"))
+    entries = index.entries.count()
+    tile = tile or min(TILE_ROWS, max(LEAST_ROWS, -(-entries // (2 * cores))))
+    tiles, query_tiles = max(1, -(-entries // tile)), max(1, -(-asked.count() // TILE_QUERIES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = index.select(mine.alias("tile"), every(query_tiles).alias("query_tile"), "id", "vector", "codes")
-    queries = asked.select(every(tiles).alias("tile"), asked_in.alias("query_tile"), "id", "vector", F.lit(None).cast("binary").alias("codes"))
-    grid = rows.unionByName(queries).groupBy("tile", "query_tile")
-
-    def search(table: pa.Table) -> pa.Table:
+    share = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    only = F.when(F.size("ids") == 1, F.col("ids")[0]["id"])
+    # Codes go to each tile of queries, and queries to each tile of codes; entries are distinct, so tiles are even.
+    rows = index.entries.select(share("entry", tiles).alias("tile"), every(query_tiles).alias("query_tile"), "entry", only.alias("only"), "codes", F.lit(None).cast(asked.schema["vector"].dataType).alias("vector"))
+    queries = asked.select(every(tiles).alias("tile"), share("query_id", query_tiles).alias("query_tile"), F.col("query_id").alias("entry"), F.lit(None).cast("long").alias("only"), F.lit(None).cast("binary").alias("codes"), "vector")
+    cells = min(tiles * query_tiles, 1 << 14)
+    grid = rows.unionByName(queries).repartition(cells, "tile", "query_tile").groupBy("tile", "query_tile")
+
+    def scan(table: pa.Table) -> pa.Table:
         is_row = table["codes"].is_valid()
         kept, wanted = table.filter(is_row), table.filter(pc.invert(is_row))
-        found = []
+        query, entry, estimate = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
         if kept.num_rows and wanted.num_rows:
             codes = np.frombuffer(b"".join(kept["codes"].to_pylist()), np.uint8).reshape(-1, width)
-            found = search_tile(
-                quantiser,
-                wanted["id"].to_numpy(),
-                _matrix(wanted["vector"], dimension),
-                kept["id"].to_numpy(),
-                _matrix(kept["vector"], dimension),
-                codes,
-                k,
-            )
-        query, row, score = zip(*found, strict=True) if found else ([], [], [])
-        return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(row, pa.int64()), "score": pa.array(score, pa.float64())})
-
-    found = grid.applyInArrow(search, "query_id long, vec_id long, score double")
+            ids, alone = kept["entry"].to_numpy(), kept["only"].to_pandas().to_numpy()
+            for one, found, scores in scan_tile(quantiser, wanted["entry"].to_numpy(), _matrix(wanted["vector"], dimension), codes, alone, k):
+                query.append(np.full(len(found), one))
+                entry.append(ids[found])
+                estimate.append(scores)
+        return pa.table({"query_id": np.concatenate(query), "entry": np.concatenate(entry), "estimate": np.concatenate(estimate)})
+
+    found = grid.applyInArrow(scan, "query_id long, entry long, estimate float")
+    # The k-th best estimate of all tiles says how good the k best are, give or take the error.
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("estimate"), "entry"))
+    least = F.max(F.when(F.col("nth") == k, F.col("estimate"))).over(Window.partitionBy("query_id"))
+    close = found.withColumn("nth", nth).withColumn("least", least).filter(F.col("least").isNull() | (F.col("estimate") >= F.col("least") - F.lit(3 * quantiser.error)))
+    pairs = close.select("query_id", "entry").join(index.entries.select("entry", "ids", F.col("vector").alias("other")), "entry").join(asked, "query_id")
+
+    def score(batches):
+        for batch in slices(batches, 4096):
+            exact = cosines(_matrix(batch.column(1), dimension), _matrix(batch.column(2), dimension)) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(exact, pa.float64())], names=["query_id", "ids", "score"])
+
+    scored = pairs.select("query_id", "vector", "other", "ids").mapInArrow(score, f"query_id long, ids {index.entries.schema['ids'].dataType.simpleString()}, score double")
+    others = scored.select("query_id", "score", F.explode("ids").alias("x")).filter(F.col("x.id") != F.col("query_id"))
+    others = others.select("query_id", "score", F.col("x.id").alias("vec_id"), F.explode(F.array_repeat(F.lit(0), F.col("x.times"))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return others.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

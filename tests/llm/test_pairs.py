@@ -81,12 +81,26 @@ def clouds(seed, n):
     return sorted(found)
 
 
-@pytest.mark.parametrize(("tile", "small"), [(4096, 48), (4, 48), (16, 2)])
-def test_links_lose_nothing(spark, monkeypatch, tile, small):
+def test_keys_hold_the_chosen_blocks(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(20)
+    for radius, blocks in ((3, 4), (3, 5), (3, 6), (3, 7), (1, 2), (0, 1)):
+        values = [r.getrandbits(64) for _ in range(50)]
+        values += [v ^ sum(1 << b for b in r.sample(range(64), radius)) for v in values]
+        signed = [v - (1 << 64) if v >> 63 else v for v in values]
+        rows = spark.createDataFrame([(v,) for v in signed], "fp long").select("fp", simhash.bucket_keys(F.col("fp"), radius, blocks).alias("k")).collect()
+        keys = {x.fp: set(x.k) for x in rows}
+        assert all(keys[a] & keys[b] for a, b in zip(signed[:50], signed[50:], strict=True))
+    assert [simhash.blocks_for(n, 3) for n in (0, 1 << 20, 1 << 27, 1 << 33, 1 << 50)] == [4, 4, 5, 6, 7]
+
+
+@pytest.mark.parametrize(("tile", "small", "blocks"), [(4096, 48, None), (4, 48, 4), (16, 2, 5), (4, 48, 6), (4096, 2, 7)])
+def test_links_lose_nothing(spark, monkeypatch, tile, small, blocks):
     monkeypatch.setattr(simhash, "SMALL", small)
     values = clouds(tile, 600) + [0, (1 << 64) - 1]
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    found = simhash.connect(simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), tile=tile)).collect()
+    found = simhash.connect(simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), tile=tile, blocks=blocks)).collect()
     parent = {r.u: r.v for r in found}
     groups = {}
     for v, root in zip(signed, components(values, 3), strict=True):
@@ -111,6 +125,27 @@ def test_one_of_each(spark):
     assert Counter(r.doc_id for r in rows) == Counter([1, 2, None, 6, 8, 9, 10])
 
 
+def test_one_of_each_with_ids_of_any_type(spark):
+    schema = "doc_id string, text string, lang string, n_chars map<string, int>, row_hash int"
+    words = [f"w{i}" for i in range(60)]
+    one, near, other = " ".join(words), " ".join([*words[:-1], "last"]), " ".join(reversed(words))
+    assert components([plain_fingerprint(t) for t in (one, near, other)], 3)[2] == 2
+    linked = components([plain_fingerprint(t) for t in (one, near)], 3) == [0, 0]
+    rows = [("b", one, "x", None, 1), ("a", near, "x", {"k": 1}, 2), ("a", other, "y", None, 3), ("a", other, "y", None, 3), ("a", other, "z", None, 3), (None, "alone here", "x", None, 4)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, schema))
+    assert kept.columns == ["doc_id", "text", "lang", "n_chars", "row_hash"]
+    found = kept.collect()
+    texts = Counter(r.text for r in found)
+    assert texts[other] == 1 and texts["alone here"] == 1 and texts[near] == 1 and texts[one] == (0 if linked else 1)
+
+
+def test_one_of_each_under_a_hot_row(spark):
+    rows = [(7, "the same row " * 20)] * 3000 + [(i, f"text number {i} " * 3 + str(i * i)) for i in range(100, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter(t for _, t in {min((i, t) for (i, t), root in zip(set(rows), components([plain_fingerprint(t) for _, t in set(rows)], 3), strict=True) if root == k) for k in set(components([plain_fingerprint(t) for _, t in set(rows)], 3))})
+    assert Counter(r.text for r in simhash.one_of_each(docs).collect()) == want
+
+
 def plain_nearest(rows, k=5):
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
     out = {}
@@ -168,3 +203,24 @@ def test_hot_vector_keeps_ties_whole(spark):
     for q in (50, 100, 1000):
         mine = sorted((x.rank, x.vec_id) for x in got if x.query_id == q)
         assert [i for _, i in mine] == [1, 2, 4, 5, 7]
+
+
+def test_repeated_ids(spark):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(3)
+    own = r.normal(size=16)
+    rows = [(50, (own + r.normal(size=16) * 0.01).tolist()) for _ in range(20_000)]
+    rows += [(1, own.tolist())] * 3 + [(7, own.tolist())] * 20 + [(i, r.normal(size=16).tolist()) for i in range(1000, 1300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = ann.nearest(df, F.col("id") % 50 == 0).collect()
+    assert sorted((x.rank, x.vec_id) for x in got if x.query_id == 50) == [(1, 1), (2, 1), (3, 1), (4, 7), (5, 7)]
+
+
+def test_the_grid_has_codes_of_rows_and_no_vectors(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, np.random.default_rng(i).normal(size=8).tolist()) for i in range(200)], "vec_id long, embedding array<double>")
+    plan = ann.nearest(df, F.col("id") % 50 == 0)._jdf.queryExecution().optimizedPlan().toString()
+    grid = [line for line in plan.splitlines() if "Project" in line and "AS query_tile" in line or "query_tile" in line and "codes" in line and "Project" in line]
+    assert any("codes" in line and "null AS vector" in line for line in grid)
