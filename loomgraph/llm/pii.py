@@ -7,7 +7,10 @@ All kinds hold a digit or an at sign, so only characters near one can be in a sp
 text around them is cut into overlapping windows, every window is decoded, and the
 windows' spans are reconciled over the whole text. Where two windows overlap, a span
 counts if the window that holds it farther from its edges has it. A model's span must also pass its
-kind's check, be sure enough and touch no base span and no letter or digit.
+kind's check, be sure enough and touch no base span and no letter or digit. A span that can
+pass has at most LONGEST characters, and at most CONTEXT between its digits; every such span
+of a text lies whole in a window, with CONTEXT characters on both sides, so nothing that could
+be found lies outside of what is decoded.
 
 The network is trained in numpy from labelled spans: windows of a bounded sample of the
 corpus, labelled by the base patterns, and windows made by a fixed rule with the same
@@ -32,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import nothing, settle, small_batches
+from loomgraph.llm.common import bounded_sample, nothing, settle, slices
+from loomgraph.session import ship_library
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind, start, end
@@ -434,14 +438,13 @@ def train(examples: list[tuple[str, list[Span]]], rounds: int = 260, batch: int
 
 
 def fit(docs: DataFrame, sample_docs: int = 2000, sample_windows: int = 1200, text_col: str = "text") -> Tagger:
-    """Train on windows of about `sample_docs` documents (at most `sample_windows`) and on made ones."""
-    small_batches(docs.sparkSession)
+    """Train on windows of at most `sample_docs` distinct texts (at most `sample_windows`) and on made ones."""
+    ship_library(docs.sparkSession)
     texts = docs.select(docs[text_col].cast("string").alias("text")).filter(F.col("text").isNotNull())
-    rows = docs.count()
-    drawn = texts.filter((F.xxhash64("text") / F.lit(2.0**64) + 0.5) < sample_docs / max(rows, 1)).distinct()
+    drawn = bounded_sample(texts, sample_docs, ["text"])
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for text in batch.column(0).to_pylist():
                 spans = shapes(text)
@@ -472,17 +475,22 @@ def shapes(text: str) -> list[Span]:
 # ---- finding and hiding
 
 
+_DIGITS = re.compile(rf"[+(]?[0-9](?:[\x20()./-]{{0,{CONTEXT}}}[0-9])+")
+
+
 def _plausible(kind: int, text: str, span: tuple[int, int]) -> bool:
     """The check on a model's span: as for base spans, in more notations, and not part of a longer word."""
     start, end = span
     value = text[start:end]
+    if end - start > LONGEST:
+        return False
     if (start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum()):
         return False
     if kind == 0:
         return re.fullmatch(r"[^\s@]+@[^\s@]+\.[^\s@]*\w", value) is not None
     if kind == 1:
         return re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", value) is not None and passes(1, value)
-    if not re.fullmatch(r"[+(]?[0-9][0-9\x20()./-]*[0-9]", value):
+    if not _DIGITS.fullmatch(value):
         return False
     return passes(kind, value) and (kind == 2 or re.search(r"[^0-9]", value) is not None)
 
@@ -524,14 +532,14 @@ def joined(spans: list[Span]) -> str:
 
 def personal_data(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return (id, counts of base spans by kind, base_sha256, spans, n_added) for each row."""
-    small_batches(docs.sparkSession)
+    ship_library(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     names = [id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
 
     def run(batches):
         settle(nothing)
-        for batch in batches:
+        for batch in slices(batches):
             found = find_spans([t or "" for t in batch.column(1).to_pylist()], shared.value)
             counts = [pa.array([sum(s[0] == k for s in own) for own, _ in found], pa.int64()) for k in range(len(KINDS))]
             digests = [hashlib.sha256(joined(own).encode()).hexdigest() for own, _ in found]
@@ -567,13 +575,13 @@ def hidden(docs: DataFrame, tagger: Tagger, text_col: str = "text", chars_col: s
 
     If there is a column `chars_col`, it gets the new text's length.
     """
-    small_batches(docs.sparkSession)
+    ship_library(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(tagger), docs.columns.index(text_col)
     chars_at = docs.columns.index(chars_col) if chars_col in docs.columns else None
 
     def run(batches):
         settle(nothing)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(at).to_pylist()
             found = find_spans([t or "" for t in texts], shared.value)
             new = [None if t is None else hide(t, own + added) for t, (own, added) in zip(texts, found, strict=True)]

@@ -6,6 +6,7 @@ import math
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.llm import language_id, pii, quality, queries, toxicity
+from loomgraph.llm.common import bounded_sample, labelled_sample
 from tests.llm.cases import ROWS, empty, table
 
 MEDIUM = "/root/testdata/sf0.01"
@@ -49,7 +51,7 @@ def test_forward_sums_all_segmentations():
     got = model.word_scores(words)
 
     def probability(part):
-        (piece,) = [int(x[0, 0]) for x in [vocabulary.lattice([part])[-1]]] if len(part) <= language_id.LONGEST_PIECE else [vocabulary.size]
+        (piece,) = [int(x[0, 0]) for x in [vocabulary.lattice(language_id._codes([part]))[-1]]] if len(part) <= language_id.LONGEST_PIECE else [vocabulary.size]
         if len(part) == 1:
             return np.maximum(prob[piece], model.floor)
         return prob[piece]
@@ -59,6 +61,107 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(np.exp(got[word]), total)
 
 
+def exact_log_probability(word, prob_of):
+    """By fractions, prefix by prefix."""
+    alpha = [Fraction(1)]
+    for j in range(1, len(word) + 1):
+        alpha.append(sum(alpha[i] * prob_of(word[i:j]) for i in range(max(0, j - language_id.LONGEST_PIECE), j)))
+    return math.log(alpha[-1].numerator) - math.log(alpha[-1].denominator)
+
+
+def test_long_words_are_scored_whole():
+    vocabulary = language_id.load_vocabulary(PIECE)
+    r = np.random.default_rng(2)
+    prob = r.random((vocabulary.size + 1, 2)) * 0.001
+    prob[-1] = 0
+    model = language_id.LanguageModel(PIECE, ["a", "b"], np.zeros(2), prob)
+    letters = random.Random(3)
+    words = ["▁" + "".join(letters.choice("aeinorstlñ日") for _ in range(n)) for n in (15, 16, 17, 39, 60, 200)] + ["▁" + "q" * 90]
+    got = model.word_scores(words)
+    for word in words:
+        for k in (0, 1):
+
+            def prob_of(part, k=k):
+                piece = int(vocabulary.lattice(language_id._codes([part]))[-1][0, 0])
+                p = float(prob[piece, k])
+                return Fraction(max(p, model.floor) if len(part) == 1 else p)
+
+            assert got[word][k] == pytest.approx(exact_log_probability(word, prob_of), rel=1e-9)
+        ((alpha, scale),) = list(language_id._forward(vocabulary, language_id._codes([word]), prob, model.floor, at_once=5))[-1:]
+        assert np.allclose(np.log(alpha[0]) + scale[0], got[word])
+    assert language_id.words_of("x" * 500) == ["▁" + "x" * 500]
+
+
+def test_expected_uses_are_those_over_all_segmentations():
+    vocabulary = language_id.load_vocabulary(PIECE)
+    prob = np.random.default_rng(4).random((vocabulary.size + 1, 1)) * 0.01
+    prob[-1] = 0
+    word, floor = "▁international日s", 1e-7
+    found = np.zeros(vocabulary.size + 1)
+    language_id._expect(vocabulary, language_id._codes([word]), prob, floor, np.array([3.0]), found)
+    uses, total = Counter(), 0.0
+    pieces = {(i, j): int(vocabulary.lattice(language_id._codes([word[i:j]]))[-1][0, 0]) for i in range(len(word)) for j in range(i + 1, min(i + 16, len(word)) + 1)}
+    for parts in segmentations(word):
+        at, p, met = 0, 1.0, []
+        for part in parts:
+            piece = pieces.get((at, at + len(part)), vocabulary.size)
+            p *= max(prob[piece, 0], floor) if len(part) == 1 else prob[piece, 0]
+            met.append(piece)
+            at += len(part)
+            if not p:
+                break
+        if p:
+            total += p
+            for piece in met:
+                uses[piece] += p
+    for piece, p in uses.items():
+        assert found[piece] == pytest.approx(3 * p / total)
+
+
+@pytest.mark.parametrize("hot", [7, 8, 9])
+def test_a_language_whose_rows_share_an_id_is_learned(spark, hot):
+    rows = [(i, f"the quick brown fox number {'a' * (i % 7)}", "en") for i in range(300)] + [(hot, f"der schnelle Fuchs und {'b' * (i % 9)}", "de") for i in range(4000)]
+    rows += [(9, None, "fr")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.languages == (["de", "en"] if hot != language_id_held_out(spark) else ["en"])
+    if "de" in model.languages:
+        got = language_id.identify(spark.createDataFrame([(1, "und der Fuchs")], "doc_id long, text string"), model).head()
+        assert got.lang_pred == "de"
+
+
+def language_id_held_out(spark):
+    """Of the ids 7, 8 and 9 the one, if any, that is held out."""
+    import zlib
+
+    return next((i for i in (7, 8, 9) if zlib.crc32(str(i).encode()) % 4 == 2), None)
+
+
+def test_too_many_languages_are_an_error(spark):
+    docs = spark.createDataFrame([(i, "word", f"l{i}") for i in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 20 values"):
+        language_id.fit(docs, most_languages=20)
+
+
+def test_samples_are_bounded_and_never_empty(spark):
+    rows = [(1, "hot")] * 3000 + [(i, f"text {i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert {tuple(r) for r in bounded_sample(df, 1000, ["text"]).collect()} == set(rows)
+    few = bounded_sample(df, 20, ["text"]).collect()
+    assert len(few) == 20 == len(set(few)) and set(map(tuple, few)) <= set(rows)
+    assert [tuple(r) for r in bounded_sample(df.filter("text = 'hot'"), 20, ["text"]).collect()] == [(1, "hot")]
+    by = bounded_sample(df.withColumn("odd", F.col("id") % 2), 30, ["text"], "odd").groupBy("odd").count().collect()
+    assert {r["odd"]: r["count"] for r in by} == {0: 30, 1: 30}
+    assert bounded_sample(df.limit(0), 20, ["text"]).count() == bounded_sample(df.limit(0), 20, ["text"], "id").count() == 0
+
+
+def test_a_labelled_id_on_many_rows_stays_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 2000}") for i in range(6000)] + [(8, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in (1, 8)], "doc_id long, quality int, toxic int")
+    found = labelled_sample(docs, labels, "quality", 100).collect()
+    assert Counter(r.label for r in found) == {1: 100, 0: 1} and len({r.text for r in found}) == 101
+
+
 def test_vocabulary_finds_pieces_and_nothing_else():
     import sentencepiece
 
@@ -67,8 +170,8 @@ def test_vocabulary_finds_pieces_and_nothing_else():
     pieces = sorted(p for p in usable if p == p.lower() and len(p) <= language_id.LONGEST_PIECE)
     vocabulary = language_id.load_vocabulary(PIECE)
     for i in range(0, len(pieces), 97):
-        assert vocabulary.lattice([pieces[i]])[-1][0, 0] == i
-    assert vocabulary.lattice(["qqxzj"])[-1][0, 0] == vocabulary.size
+        assert vocabulary.lattice(language_id._codes([pieces[i]]))[-1][0, 0] == i
+    assert vocabulary.lattice(language_id._codes(["qqxzj"]))[-1][0, 0] == vocabulary.size
 
 
 def test_language_accuracy(spark):
@@ -181,6 +284,90 @@ def test_toxicity_learns_from_all_distinct_texts(spark):
     assert toxicity.fit(docs, labels).trained_on == tuple(sum(x == label for x, _ in want) for label in (0, 1))
 
 
+def plain_evidence(text, insults):
+    """Clause by clause, through the five machines one after the other."""
+    fixed = {w: s for words, s in ((toxicity.THREATS, "h"), (toxicity.TARGETS, "t"), (toxicity.NEGATIONS, "n"), (toxicity.REPORTS, "r")) for w in words}
+    clauses, words = [[]], (text or "").split()
+    for token in words:
+        word = re.sub(r"^\W+|\W+$", "", token.lower())
+        grades = [insults[f"={word}"]] if insults.get(f"={word}") else [insults[word[:k]] for k in range(3, min(len(word), 8) + 1) if word[:k] in insults]
+        clauses[-1].append(max(grades) if grades else fixed.get(word, "o"))
+        if token[-1] in ".,;:!?|":
+            clauses.append([])
+    events, added, matched = Counter(), 0.0, 0
+    for clause in clauses:
+        if not {"1", "2", "3", "h"} & set(clause):
+            continue
+        matched += 1
+        out, negated, reported = [], 0, False
+        for s in clause:  # negations reach three symbols, reported speech to the clause's end
+            if s == "n":
+                negated = 4
+            now = {"1": "4", "2": "5", "3": "6", "h": "k"}.get(s, s) if negated else s
+            negated = max(0, negated - 1)
+            if reported:
+                now = {**dict(zip("123456", "789789", strict=True)), "h": "p", "k": "p"}.get(now, now)
+            reported = reported or now == "r"
+            out.append(now)
+        threat, final = 0, []
+        for s in out:  # a threat and, up to four symbols later, its target
+            if s == "h":
+                threat, weight = 5, 1.0
+            elif s == "t" and threat:
+                s, threat, weight = "H", 0, 2.0
+            else:
+                weight = 0.0
+            added += weight
+            threat = max(0, threat - 1)
+            final.append(s)
+        aimed = 0
+        for s in final:  # an insult up to four symbols behind a target
+            if s == "t":
+                aimed = 5
+            elif aimed and s in "123":
+                s = "abc"["123".index(s)]
+            aimed = max(0, aimed - 1)
+            for marks, share in (("123", 1.0), ("456", 0.25), ("789", 0.25), ("abc", 1.5)):
+                if s in marks:
+                    added += (1.0, 2.0, 4.0)[marks.index(s)] * share
+            if s in "123456789abchkpH":
+                events[s] += 1
+    weak, strong = sum(events[e] for e in "147a"), sum(events[e] for e in "235689bcH")
+    counts = [math.log1p(x) for x in (*(events[e] for e in "123456789abchkpH"), added, matched)]
+    return [*counts, float(weak >= 2), float(weak >= 3), *(math.log1p(1000 * x / max(len(words), 1)) for x in (weak, strong))]
+
+
+def rude(r, n):
+    words = ["you", "idiot", "scum", "not", "said", "kill", "them", "fine", "tree", "u", "moron!", "so,", "no", "hurt", "ok.", "your\n", "fool\t", "nasty"]
+    return " ".join(r.choice(words) for _ in range(n))
+
+
+def test_evidence_matches_a_plain_scorer_for_any_size_of_parts():
+    insults = {f"={w}": "2" for w in toxicity.INSULTS} | {"nas": "1", "scu": "3"}
+    reader, r = toxicity.Reader(insults), random.Random(6)
+    texts = [rude(r, r.randint(0, 60)) for _ in range(400)] + [None, "", "you " * 50 + "idiot", "idiot"]
+    for text in texts:
+        want = plain_evidence(text, insults)
+        for part_chars in (1, 7, 50, 1 << 20):
+            assert reader.evidence(text, part_chars).tolist() == pytest.approx(want)
+
+
+def test_a_clause_is_not_lost_where_a_very_long_text_is_cut():
+    reader = toxicity.Reader({f"={w}": "2" for w in toxicity.INSULTS})
+    for size in range((1 << 20) - 12, (1 << 20) + 4):
+        text = "x" * (size - 1) + " you idiot"
+        assert reader.evidence(text)[toxicity.EVENTS.index("b")] > 0
+
+
+def test_scores_of_a_table_match_the_plain_scorer(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.score(docs, model).collect():
+        x = np.array(plain_evidence(texts[r.doc_id], model.insults), float) @ model.weights[:-1] + model.weights[-1]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(min(x, 30), -30))))
+
+
 def test_toxicity_edges(spark):
     docs = table(spark)
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (9, None, 1)], "doc_id long, quality int, toxic int")
@@ -317,6 +504,52 @@ def test_long_addresses_lie_whole_in_a_window(before, address):
     assert found and all(b - a <= pii.WINDOW for a, b in pii.windows(text))
 
 
+def test_every_admissible_span_lies_whole_in_a_window():
+    """All spans that could pass, found by trying all starts and ends."""
+    r, met = random.Random(8), Counter()
+    for _ in range(300):
+        text = "".join(r.choice(("1", "12", "555", "a", "ü", ".", "-", "(", " ", "     ", "@", "x" * 40, "+", "@m.de", "9.9")) for _ in range(r.randint(1, 40)))
+        cut = list(pii.windows(text))
+        for start in range(len(text)):
+            for end in range(start + 3, min(len(text), start + 90) + 1):
+                for kind in range(4):
+                    if pii._plausible(kind, text, (start, end)):
+                        met[kind] += 1
+                        low, high = max(0, start - pii.CONTEXT), min(len(text), end + pii.CONTEXT)
+                        assert any(a <= low and high <= b for a, b in cut)
+    assert all(met[k] for k in (0, 1, 3))
+
+
+def plain_reconciled(text, tagger):
+    """Windows one by one; of windows that hold a span the one farthest from whose edges it is; then the best spans first."""
+    base, spans = plain_spans(text), {}
+    for a, b in pii.windows(text):
+        ((*found,),) = tagger.decode([text[a:b]])
+        for kind, start, end, sure in found:
+            left, right = start if a > 0 else 10**6, b - a - end if b < len(text) else 10**6
+            room = min(left, right, pii.WINDOW)
+            if room > spans.get((kind, a + start, a + end), (-1, 0))[0]:
+                spans[kind, a + start, a + end] = (room, sure)
+    added = []
+    for kind, start, end in sorted(spans, key=lambda x: (-spans[x][0], -spans[x][1], x)):
+        free = all(end <= s[1] or start >= s[2] for s in base + added)
+        if free and spans[kind, start, end][1] >= pii.LEAST[kind] and pii._plausible(kind, text, (start, end)):
+            added.append((kind, start, end))
+    return base, sorted(added)
+
+
+def test_windows_are_reconciled_over_the_whole_text(tagger):
+    r, more = random.Random(9), 0
+    for seed in range(12):
+        parts = [t for t, _ in pii.made_examples(30, seed=seed)]
+        text = "".join(p + r.choice((" ", "\n", "", " and then there was a longer stretch of text without any numbers at all ")) for p in parts)
+        ((own, added),) = pii.find_spans([text], tagger)
+        want_base, want_added = plain_reconciled(text, tagger)
+        assert (own, sorted(added)) == (want_base, want_added)
+        more += len(added)
+    assert more > 20
+
+
 def test_long_address_that_only_the_model_finds(tagger):
     for address in ("johannsen.mueller@müller.com", "johannsen.mueller@müller-bau.de"):
         ((_, added),) = pii.find_spans([f"mail to {address} now"], tagger)
