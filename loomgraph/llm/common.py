@@ -170,7 +170,3 @@ def labelled_sample(
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     found = texts.join(F.broadcast(ids), "id").select("id", "label", "text")
     return bounded_sample(found, per_class, ["text"], "label")
-
-
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    ship_library(spark)

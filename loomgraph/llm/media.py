@@ -24,7 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomgraph.llm.common import nothing, settle, small_batches
+from loomgraph.llm.common import nothing, settle, slices
+from loomgraph.session import ship_library
 
 BLOCK = 576
 HOP = BLOCK // 2
@@ -95,7 +96,7 @@ def media_columns(
 
     `feature` is a digest of the fingerprint: the number of its pairs and a hash of them.
     """
-    small_batches(docs.sparkSession, 256)
+    ship_library(docs.sparkSession)
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
     names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
@@ -105,7 +106,7 @@ def media_columns(
 
     def run(batches):
         settle(nothing)
-        for batch in batches:
+        for batch in slices(batches, 256, 1 << 22):
             rows = []
             for text in batch.column(1).to_pylist():
                 payload, n_bytes = payload_of(text)

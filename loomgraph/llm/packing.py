@@ -32,8 +32,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialize, public_vocabulary, settle, small_batches
+from loomgraph.llm.common import materialize, public_vocabulary, settle, slices
 from loomgraph.llm.token_counts import load_tokenizer
+from loomgraph.session import ship_library
 
 #: Characters on which both libraries split alike; texts with others take the reference library.
 _ALIKE = re.compile("[^\x00-ɏ‐-‧€]")
@@ -173,14 +174,14 @@ def pack(
     """Return (id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of each row."""
     path = path or public_vocabulary("byte_bpe_50k.json")
     ranks_path = ranks_path or public_vocabulary("byte_bpe_50k.tiktoken")
-    small_batches(docs.sparkSession)
+    ship_library(docs.sparkSession)
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
 
     def encode(batches):
         settle(_forget)
         encoder, part, seen = _encoder(path, ranks_path), TaskContext.get().partitionId(), Counter()
-        for batch in batches:
+        for batch in slices(batches):
             rows, columns = [], [[] for _ in range(6)]
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = np.append(encoder.ids(text or ""), np.uint32(end_id)).astype("<u4", copy=False)

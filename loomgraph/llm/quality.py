@@ -7,9 +7,9 @@ the two Gaussian log-densities, computed from Mahalanobis distances with the inv
 Cholesky factors that the model keeps.
 
 Defined results: null text is an empty text and gets a score like any other; if either
-class has no labelled row, every score is 0.5; repeated labels count as often as they
-occur with different values; repeated rows give repeated results. The fit uses at most
-`per_class` labelled documents of each class.
+class has no labelled row, every score is 0.5; a document that has both labels counts for
+both; repeated rows give repeated results. The fit uses at most `per_class` labelled
+documents of each class, and equal texts of a class count once.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cuts, held_out, labelled_sample, nothing, settle, small_batches
+from loomgraph.llm.common import cuts, held_out, labelled_sample, nothing, settle, slices
+from loomgraph.session import ship_library
 
 #: Bytes of ASCII punctuation that prose is not made of; bars and exclamation marks have their own statistics.
 _SYMBOLS = np.frombuffer(b"#$%&*+<=>@[\\]^_`{}~/", np.uint8)
@@ -110,13 +111,13 @@ def fit(
     label_col: str = "quality",
 ) -> QualityModel:
     """Learn from labelled rows outside the held-out fold."""
-    small_batches(docs.sparkSession)
+    ship_library(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, per_class, id_col, text_col).select("label", "text")
     width = len(STATISTICS)
 
     def sums(batches):
         found = np.zeros((2, 1 + width + width * width))
-        for batch in batches:
+        for batch in slices(batches):
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x = np.array(statistics(text))
                 found[label] += np.concatenate([[1], x, np.outer(x, x).ravel()])
@@ -138,14 +139,14 @@ def score(
     docs: DataFrame, model: QualityModel, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Return (id, held_out, score, predicted) for each row."""
-    small_batches(docs.sparkSession)
+    ship_library(docs.sparkSession)
     picked = docs.select(
         docs[id_col].alias("id"), held_out(docs[id_col]).alias("held_out"), docs[text_col].cast("string").alias("text")
     )
 
     def run(batches):
         settle(nothing)
-        for batch in batches:
+        for batch in slices(batches):
             found = _scores(model, batch.column(2))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(found), pa.array((found >= least).astype(np.int32))],
@@ -158,12 +159,12 @@ def score(
 
 def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose score is at least `least`."""
-    small_batches(docs.sparkSession)
+    ship_library(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches):
         settle(nothing)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(_scores(model, batch.column(at)) >= least))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,9 +1,9 @@
 """Token counts: lengths only, from batch encoding inside Arrow functions.
 
-Batches are balanced by characters, not rows, and long texts are split at blanks,
-which no token of a tokenizer that drops white space can cross. Words that a batch
+Batches are balanced by bytes, not rows, and long texts are split at blanks, tabs and line
+ends, which no token of a tokenizer that drops white space can cross. Words that a batch
 repeats are encoded once; what the worker has counted before is remembered in a
-table of bounded size.
+table of bounded size. A word is encoded whole, however long it is.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows give
 repeated results; an empty table gives an empty table.
@@ -18,7 +18,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomgraph.llm.common import by_bytes, cuts, public_vocabulary, settle, small_batches
+from loomgraph.llm.common import by_bytes, cuts, public_vocabulary, settle, slices, weight
+from loomgraph.session import ship_library
 
 #: Separators that Python's split() takes for blanks but the tokenizers' pattern doesn't.
 _ODD_SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -40,15 +41,16 @@ def load_tokenizer(path: str):
 class WordLengths:
     """Token counts of texts by way of their distinct words."""
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 64 << 20):
         self.tokenizer = load_tokenizer(path)
-        self.remembered = remembered
+        self.remembered, self.held = remembered, 0
         self.known: dict[str, int] = {}
 
     def add(self, totals: list[int], group: list[tuple[int, str]]) -> None:
         """Add the token counts of (row, part of its text) items to the rows' totals."""
-        if len(self.known) > self.remembered:
+        if self.held > self.remembered:
             self.known.clear()
+            self.held = 0
         split = []
         for row, part in group:
             if _ODD_SEPARATORS.search(part):
@@ -59,6 +61,7 @@ class WordLengths:
         if new:
             fresh = list(new)
             encoded = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
+            self.held += weight(fresh)
             self.known.update(zip(fresh, map(len, encoded), strict=True))
         length = self.known.__getitem__
         for row, words in split:
@@ -82,7 +85,7 @@ def token_counts(
     id_col: str = "doc_id",
     text_col: str = "text",
     part_chars: int = 1 << 18,
-    batch_chars: int = 1 << 20,
+    batch_bytes: int = 1 << 20,
 ) -> DataFrame:
     """Return (id, n_bytes, n_tokens, over_limit) for each row.
 
@@ -90,17 +93,17 @@ def token_counts(
     a text are handled as the library does by default.
     """
     path = path or public_vocabulary("word_bpe_49k.json")
-    small_batches(docs.sparkSession)
+    ship_library(docs.sparkSession)
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
 
     def run(batches):
         settle(_forget)
         lengths = _lengths(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             totals = [0] * len(texts)
             parts = ((i, part) for i, t in enumerate(texts) for part in cuts(t, part_chars))
-            for group in by_bytes(parts, batch_chars):
+            for group in by_bytes(parts, batch_bytes):
                 lengths.add(totals, group)
             yield pa.RecordBatch.from_arrays(
                 [
