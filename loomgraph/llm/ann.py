@@ -9,9 +9,10 @@ scores of near neighbours.
 Every row is indexed; equal vectors share an entry, which holds the smallest of their ids.
 A search meets tiles of queries with tiles of codes: for each query, tables of partial
 products are added up over a tile's codes, and the entries whose estimate comes within the
-measured error of the best ones go on. What is still within the error of the best of all
-tiles is scored exactly, in doubles on the original vectors. There is no cap on how many
-these are. Vectors themselves only move for the entries that are scored.
+measured error of the best ones are estimated again, from codes of a byte for each
+dimension. What is still within the error of these, among all tiles, is scored exactly, in
+doubles on the original vectors. There is no cap on how many entries pass either sieve.
+Vectors themselves only move for the entries that are scored.
 
 Defined results: rows with a null id, a null or zero vector, null or non-finite
 components, or another dimension than most take no part; a query whose id repeats is
@@ -43,13 +44,14 @@ TILE_ROWS, TILE_QUERIES, LEAST_ROWS, TABLES = 1 << 20, 1 << 14, 1 << 13, 256
 class Quantiser:
     """codebooks: (dimension pairs, entries, width); weight: what parallel residual error costs beside the rest.
 
-    error: the root mean square error of estimates near the top.
+    error: the root mean square error of estimates near the top; fine_error: of the estimates by byte codes.
     """
 
     codebooks: np.ndarray
     weight: float
     dimension: int
     error: float = 0.0
+    fine_error: float = 0.0
 
     def _parts(self, unit: np.ndarray) -> np.ndarray:
         padded = np.zeros((len(unit), self.codebooks.shape[0] * WIDTH))
@@ -81,6 +83,12 @@ class Quantiser:
         """Two codes to a byte."""
         return (codes[:, 0::2] << 4 | codes[:, 1::2]).astype(np.uint8)
 
+    def record(self, unit: np.ndarray) -> np.ndarray:
+        """Rows of bytes: packed codes, a byte for each dimension, and the four bytes of what one step of these is."""
+        step = (np.abs(unit).max(axis=1, keepdims=True) / 127).astype(np.float32)
+        fine = np.rint(unit / step).clip(-127, 127).astype(np.int8)
+        return np.hstack([self.pack(self.codes(unit)), fine.view(np.uint8), step.view(np.uint8)])
+
     def tables(self, unit: np.ndarray) -> np.ndarray:
         """(queries, bytes, 256): what each value of a byte adds to a query's estimate."""
         products = np.einsum("qmw,mew->qme", self._parts(unit), self.codebooks)
@@ -91,13 +99,35 @@ class Quantiser:
         """Measure the error of estimates on vectors, some of which are asked for."""
         if len(unit):
             asked = unit[:: -(-len(unit) // queries)]
-            columns = np.ascontiguousarray(self.pack(self.codes(unit)).T)
-            errors = []
+            codes = Codes(self, self.record(unit))
+            errors, fine_errors = [], []
             for table, query in zip(self.tables(asked), asked, strict=True):
-                scores = estimates(table, columns)
+                scores = codes.estimates(table)
                 best = np.argpartition(-scores, min(top, len(scores) - 1))[:top]
-                errors.append(scores[best] - unit[best] @ query)
-            self.error = float(np.sqrt(np.mean(np.concatenate(errors) ** 2)))
+                exact = unit[best] @ query
+                errors.append(scores[best] - exact)
+                fine_errors.append(codes.finer(query.astype(np.float32), best) - exact)
+            self.error, self.fine_error = (float(np.sqrt(np.mean(np.concatenate(e) ** 2))) for e in (errors, fine_errors))
+
+
+class Codes:
+    """The codes of a tile's rows."""
+
+    def __init__(self, quantiser: Quantiser, records: np.ndarray):
+        width = quantiser.codebooks.shape[0] // 2
+        self.columns = np.ascontiguousarray(records[:, :width].T)
+        self.fine = records[:, width : width + quantiser.dimension].view(np.int8)
+        self.step = np.ascontiguousarray(records[:, width + quantiser.dimension :]).view(np.float32)[:, 0]
+
+    def estimates(self, table: np.ndarray) -> np.ndarray:
+        """A query's estimates for all rows: what each byte of their codes adds, column by column."""
+        total = table[0][self.columns[0]]
+        for part, column in zip(table[1:], self.columns[1:], strict=True):
+            total += part[column]
+        return total
+
+    def finer(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return self.fine[rows].astype(np.float32) @ query * self.step[rows]
 
 
 def fit_quantiser(unit: np.ndarray, dimension: int, threshold: float = 0.2, rounds: int = 6) -> Quantiser:
@@ -146,14 +176,6 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dimension: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dimension)
 
 
-def estimates(table: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """A query's estimates for all rows of a tile: what each byte of their codes adds, column by column."""
-    total = table[0][columns[0]]
-    for part, column in zip(table[1:], columns[1:], strict=True):
-        total += part[column]
-    return total
-
-
 def cosines(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Row by row, in doubles; scaled first, so that squares neither overflow nor vanish."""
     a, b = (x / np.abs(x).max(axis=1, keepdims=True) for x in (queries, vectors))
@@ -188,8 +210,8 @@ def build_index(
 
     def encode(batches):
         for batch in slices(batches, 4096):
-            packed = quantiser.pack(quantiser.codes(unit_rows(_matrix(batch.column(1), dimension))))
-            codes = pa.array([row.tobytes() for row in packed], pa.binary())
+            records = quantiser.record(unit_rows(_matrix(batch.column(1), dimension)))
+            codes = pa.array([row.tobytes() for row in records], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, codes], names=["entry", "vector", "ids", "codes"])
 
     # Of a vector's ids only the smallest count, so what repeats is cut down before it meets in one task.
@@ -202,20 +224,26 @@ def build_index(
     return Index(picked, materialize(distinct.mapInArrow(encode, f"{kinds}, codes binary")), quantiser)
 
 
-def scan_tile(quantiser: Quantiser, query_ids: np.ndarray, queries: np.ndarray, codes: np.ndarray, only: np.ndarray, k: int):
-    """Yield (query id, rows, estimates): of each query, the rows of a tile that may be among its k best.
+def scan_tile(quantiser: Quantiser, query_ids: np.ndarray, queries: np.ndarray, records: np.ndarray, only: np.ndarray, k: int):
+    """Yield (query id, rows, fine estimates): of each query, the rows of a tile that may be among its k best.
 
     only: the id of rows whose entry has no other; a query's own are passed over.
     """
-    columns, margin = np.ascontiguousarray(codes.T), 3 * quantiser.error
+    codes = Codes(quantiser, records)
+
+    def near_best(scores: np.ndarray, margin: float) -> np.ndarray:
+        least = np.partition(scores, len(scores) - k)[len(scores) - k] - margin if len(scores) > k else -np.inf
+        return np.flatnonzero((scores >= least) & (scores > -np.inf))
+
     for at in range(0, len(queries), TABLES):
-        tables = quantiser.tables(unit_rows(queries[at : at + TABLES]))
-        for query, table in zip(query_ids[at : at + TABLES], tables, strict=True):
-            scores = estimates(table, columns)
+        units = unit_rows(queries[at : at + TABLES])
+        for query, unit, table in zip(query_ids[at : at + TABLES], units.astype(np.float32), quantiser.tables(units), strict=True):
+            scores = codes.estimates(table)
             scores[only == query] = -np.inf
-            least = np.partition(scores, len(scores) - k)[len(scores) - k] - margin if len(scores) > k else -np.inf
-            rows = np.flatnonzero((scores >= least) & (scores > -np.inf))
-            yield int(query), rows, scores[rows]
+            rows = near_best(scores, 3 * quantiser.error)
+            finer = codes.finer(unit, rows)
+            best = near_best(finer, 3 * quantiser.fine_error)
+            yield int(query), rows[best], finer[best]
 
 
 def nearest(
@@ -232,7 +260,7 @@ def nearest(
     """
     index = build_index(vectors, k, id_col=id_col, vector_col=vector_col)
     quantiser, cores = index.quantiser, vectors.sparkSession.sparkContext.defaultParallelism
-    width, dimension = quantiser.codebooks.shape[0] // 2, quantiser.dimension
+    dimension = quantiser.dimension
     asked = index.rows.filter(is_query).groupBy("id").agg(F.min("vector").alias("vector"))
     asked = materialize(asked.select(F.col("id").alias("query_id"), "vector"))
     entries = index.entries.count()
@@ -252,9 +280,9 @@ def nearest(
         kept, wanted = table.filter(is_row), table.filter(pc.invert(is_row))
         query, entry, estimate = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
         if kept.num_rows and wanted.num_rows:
-            codes = np.frombuffer(b"".join(kept["codes"].to_pylist()), np.uint8).reshape(-1, width)
+            records = np.frombuffer(b"".join(kept["codes"].to_pylist()), np.uint8).reshape(kept.num_rows, -1)
             ids, alone = kept["entry"].to_numpy(), kept["only"].to_pandas().to_numpy()
-            for one, found, scores in scan_tile(quantiser, wanted["entry"].to_numpy(), _matrix(wanted["vector"], dimension), codes, alone, k):
+            for one, found, scores in scan_tile(quantiser, wanted["entry"].to_numpy(), _matrix(wanted["vector"], dimension), records, alone, k):
                 query.append(np.full(len(found), one))
                 entry.append(ids[found])
                 estimate.append(scores)
@@ -264,7 +292,7 @@ def nearest(
     # The k-th best estimate of all tiles says how good the k best are, give or take the error.
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("estimate"), "entry"))
     least = F.max(F.when(F.col("nth") == k, F.col("estimate"))).over(Window.partitionBy("query_id"))
-    close = found.withColumn("nth", nth).withColumn("least", least).filter(F.col("least").isNull() | (F.col("estimate") >= F.col("least") - F.lit(3 * quantiser.error)))
+    close = found.withColumn("nth", nth).withColumn("least", least).filter(F.col("least").isNull() | (F.col("estimate") >= F.col("least") - F.lit(3 * quantiser.fine_error)))
     pairs = close.select("query_id", "entry").join(index.entries.select("entry", "ids", F.col("vector").alias("other")), "entry").join(asked, "query_id")
 
     def score(batches):
