@@ -14,14 +14,16 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators import context, diff, flow, lookup, reports, sandbox, search, traversal
 from loomgraph.plans.tables import Graph
-from loomgraph.schema import FIRST_SYMBOL_ID
+from loomgraph.schema import CALLABLE_KINDS
 from loomgraph.sinks import render
 from loomgraph.sources import snapshot, unified_diff
+from loomgraph.sources.config import Config
 
 PAGE, REFERENCES_PAGE, CONTEXT_PAGE = 20, 10, 5
 TIMEOUT_MS = 20_000
@@ -108,10 +110,11 @@ def page_size(limit: int | None) -> int:
 class Engine:
     """Questions about the newest version of a snapshot."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, settings: Config | None = None):
         if root.rstrip("/") in ("", "file:", "file://"):
             raise ValueError("the root of the file system can't be a workspace")
         self.spark, self.root = spark, root.rstrip("/")
+        self.settings, self.workspace = settings or Config(), None
         self.sessions = Sessions()
         self.version, self.graph = 0, None
         self.lock = threading.Lock()
@@ -125,16 +128,34 @@ class Engine:
         return version
 
     def index_workspace(self, folder: str, **options) -> DataFrame:
-        """Parse the files of a folder and index them; returns (files, symbols, chains, calls, skipped)."""
+        """Parse the files of a folder and index them; returns (files, symbols, chains, calls, skipped).
+
+        Languages, header files and effect rules are those of the settings, unless options name others.
+        """
         from loomgraph.operators import ingest
         from loomgraph.sources import workspace
 
-        found = workspace.files(self.spark, folder, **options)
-        symbols, chains, calls, files = workspace.parse_tables(found)
+        own = {"headers": self.settings.headers, "languages": self.settings.languages} | options
+        found = workspace.files(self.spark, folder, **own)
+        symbols, chains, calls, files = workspace.parse_tables(found, self.settings.effect_rules)
         self.index(ingest.build(symbols, chains, calls, files))
+        self.workspace = (folder, options)
         g = self.graph
         return reports.extraction(g.files, g.symbols, g.chains, g.call_records, workspace.skipped(found))
 
+    def reindex(self) -> DataFrame:
+        """Index the workspace that was indexed last once more, as a new version."""
+        if self.workspace is None:
+            raise FileNotFoundError("no workspace has been indexed")
+        folder, options = self.workspace
+        return self.index_workspace(folder, **options)
+
+    def deinit(self) -> bool:
+        """Forget the snapshot and delete it, all versions; returns whether there was one."""
+        was_there = snapshot.remove(self.spark, self.root)
+        self.close()
+        return was_there
+
     def ensure_fresh(self) -> bool:
         """Open a newer version if there is one; returns whether there was. If opening fails the old one stays."""
         with self.lock:
@@ -272,8 +293,8 @@ class Engine:
         g = self._ready()
         return reports.dependencies(g.symbols, g.call_sites).collect()
 
-    def context(self, query: str, limit: int = CONTEXT_PAGE, sources: DataFrame | None = None, as_markdown: bool = True) -> str:
-        rows = context.context(self._ready(), query, limit, sources).collect()
+    def context(self, query: str, limit: int = CONTEXT_PAGE, sources: DataFrame | None = None, as_markdown: bool = True, depth: int = 1) -> str:
+        rows = context.context(self._ready(), query, limit, sources, depth).collect()
         return render.context_markdown(rows, self.root) if as_markdown else render.to_json(rows, self.root)
 
     def diff(self, text: str, root: str = "") -> diff.Assessment:
@@ -281,25 +302,46 @@ class Engine:
         tables = unified_diff.tables(self.spark, unified_diff.parse(text))
         return diff.assess(self._ready(), *tables, root=root)
 
-    def sandbox(self, name_or_id: str | int, mocks: dict[str, sandbox.Mock], loop_cap: int = 10, policy: str = "if_true") -> sandbox.Trace:
-        return sandbox.simulate(self._ready(), self._id(name_or_id), mocks, loop_cap, policy)
+    def sandbox(self, name_or_id: str | int, mocks: dict[str, sandbox.Mock] | None = None, loop_cap: int | None = None, policy: str | None = None) -> sandbox.Trace:
+        return sandbox.simulate(self._ready(), self._id(name_or_id), *self._run_options(mocks, loop_cap, policy))
+
+    def _run_options(self, mocks, loop_cap, policy) -> tuple:
+        """Options of a run; what is not given is as the settings say."""
+        own = self.settings
+        return own.mocks | (mocks or {}), own.loop_cap if loop_cap is None else loop_cap, policy or own.policy
 
-    def diff_simulate(self, name: str, version: int, mocks: dict[str, sandbox.Mock], loop_cap: int = 10, policy: str = "if_true") -> dict:
-        """Run a function of the same name in an older version and the current one, and compare.
+    def origin_simulate(self, name: str, origin: Graph | int, mocks: dict[str, sandbox.Mock] | None = None, loop_cap: int | None = None, policy: str | None = None) -> dict:
+        """Run a function of the same name in another graph, or an older version, and in the current one, and compare.
 
         A version or function that is missing becomes a note, not an error.
         """
-        traces, notes = [], []
-        for g, label in ((snapshot.read(self.spark, self.root, version), f"version {version}"), (self._ready(), "current")):
+        options, traces, notes = self._run_options(mocks, loop_cap, policy), [], []
+        older = lambda: origin if isinstance(origin, Graph) else snapshot.read(self.spark, self.root, origin)
+        for graph_of, label in ((older, f"version {origin}" if isinstance(origin, int) else "origin"), (self._ready, "current")):
             try:
+                g = graph_of()
                 found = lookup.resolve(g.symbols, name)
-                entry = (found.symbol or found.matches[0])["id"]
-                traces.append(sandbox.simulate(g, entry, mocks, loop_cap, policy))
-            except Exception as e:  # noqa: BLE001  any failure of one side is told beside the other's result
+                traces.append(sandbox.simulate(g, (found.symbol or found.matches[0])["id"], *options))
+            except (LookupError, FileNotFoundError, AnalysisException) as e:
                 traces.append(sandbox.Trace())
                 notes.append(f"{label}: {e}")
         added, removed = sandbox.compare(*traces)
-        return {"before": traces[0], "after": traces[1], "added": added, "removed": removed, "notes": notes}
+        return {"entry": name, "before": traces[0], "after": traces[1], "added": added, "removed": removed, "notes": notes}
+
+    def diff_simulate(self, text: str, origin: Graph | int, entry: str | None = None, mocks: dict[str, sandbox.Mock] | None = None, loop_cap: int | None = None, policy: str | None = None, root: str = "") -> dict:
+        """Run what a diff touches before and after it: `entry`, or else the first function with a changed call or line.
+
+        The answer also names the affected functions, a page of them. Raises ValueError if there is none.
+        """
+        found = self.diff(text, root)
+        names = self.graph.symbols.select(F.col("id").alias("func_id"), "name")
+        flows = found.flows.select("func_id").join(names, "func_id").select("name", F.lit(0).alias("how"), F.col("func_id").alias("id"))
+        touched = found.symbols.filter(F.col("kind").isin(*CALLABLE_KINDS)).select("name", F.lit(1).alias("how"), "id")
+        first = flows.unionByName(touched).groupBy("name").agg(F.min(F.struct("how", "id")).alias("first"))
+        affected = [r["name"] for r in first.orderBy("first").limit(LARGEST_PAGE).collect()]
+        if entry is None and not affected:
+            raise ValueError("the diff touches no function: name an entry")
+        return self.origin_simulate(entry or affected[0], origin, mocks, loop_cap, policy) | {"affected_functions": affected}
 
 
 def open_engine(spark: SparkSession, root: str) -> Engine:
@@ -307,7 +349,3 @@ def open_engine(spark: SparkSession, root: str) -> Engine:
     engine = Engine(spark, root)
     engine.ensure_fresh()
     return engine
-
-
-def is_symbol_id(value: int) -> bool:
-    return value >= FIRST_SYMBOL_ID

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -60,12 +61,12 @@ _RULES = (
 DEFAULT_RULES = tuple(EffectRule(how, text, effect) for how, effect, texts in _RULES for text in texts.split())
 
 
-def rules_with(own: list[EffectRule]) -> list[EffectRule]:
+def rules_with(own: Sequence[EffectRule]) -> list[EffectRule]:
     """Own rules before the default ones; rules of unknown effects are left out."""
     return [r for r in own if r.effect in EFFECTS] + list(DEFAULT_RULES)
 
 
-def classify(name: Column, own: list[EffectRule] | None = None) -> Column:
+def classify(name: Column, own: Sequence[EffectRule] | None = None) -> Column:
     """struct<effect, effect_desc>: the effect of the first rule that matches, and that rule's text."""
     # One array built from the rules' texts would evaluate all of them; a chain stops at the first match.
     case = None
@@ -75,7 +76,7 @@ def classify(name: Column, own: list[EffectRule] | None = None) -> Column:
     return case.otherwise(F.struct(F.lit("none").alias("effect"), F.lit(None).cast("string").alias("effect_desc")))
 
 
-def classify_text(name: str, own: list[EffectRule] | None = None) -> tuple[str, str | None]:
+def classify_text(name: str, own: Sequence[EffectRule] | None = None) -> tuple[str, str | None]:
     for rule in rules_with(own or []):
         if rule.matches_text(name):
             return rule.effect, rule.text

@@ -73,7 +73,8 @@ def assess(graph: Graph, diff_files: DataFrame, diff_lines: DataFrame, root: str
         "func_id", "position", "to_id", "to_name", "line", guard_markers(F.col("chain"), F.col("position")).alias("markers")
     )
     spans = affected.groupBy("func_id").agg(F.min("position").alias("first"), F.max("position").alias("last"), F.count("*").alias("calls"))
-    callers = graph.edges.filter("caller_id <> callee_id").groupBy(F.col("callee_id").alias("func_id")).agg(F.array_sort(F.collect_set("caller_id")).alias("called_by"))
+    own_edges = graph.edges.filter("caller_id <> callee_id").join(spans.select(F.col("func_id").alias("callee_id")), "callee_id", "left_semi")
+    callers = own_edges.groupBy(F.col("callee_id").alias("func_id")).agg(F.array_sort(F.collect_set("caller_id")).alias("called_by"))
     flows = spans.join(chains, "func_id").join(callers, "func_id", "left").select(
         "func_id", "calls", marker_window(F.col("chain"), F.col("first"), F.col("last")).alias("marker_window"),
         F.coalesce("called_by", F.array().cast("array<bigint>")).alias("called_by"),

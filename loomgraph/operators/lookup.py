@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from loomgraph.schema import CALLABLE_KINDS, CLASS_KINDS, FIELD_KINDS
 
 
+MOST_MATCHES = 500
+
+
 @dataclass(frozen=True)
 class Resolved:
     """One symbol, or several that the name could mean."""
@@ -46,23 +49,24 @@ def candidates(symbols: DataFrame, name: str, kinds: tuple[str, ...] = ()) -> Da
 
     If that leaves several, those of preferred kinds, if there are any.
     """
-    rows = named(symbols, name).withColumn("all_n", F.count("*").over(_all()))
-    plain = F.sum((F.col("type_ref") == 0).cast("int")).over(_all())
-    rows = rows.withColumn("plain_n", plain).filter((F.col("plain_n") != 1) | (F.col("type_ref") == 0) | (F.col("all_n") == 1))
+    rows = named(symbols, name)
+    plain = F.col("type_ref") == 0
+    rows = rows.filter((_how_many(rows, plain) != 1) | plain)
     if kinds:
         liked = F.col("kind").isin(*kinds)
-        rows = rows.withColumn("n", F.count("*").over(_all())).withColumn("liked_n", F.sum(liked.cast("int")).over(_all()))
-        rows = rows.filter((F.col("n") == 1) | (F.col("liked_n") == 0) | liked)
-    return rows.select(*symbols.columns)
+        rows = rows.filter((_how_many(rows, liked) == 0) | liked)
+    return rows
 
 
-def _all():
-    return Window.partitionBy(F.lower("name"))
+def _how_many(rows: DataFrame, test: Column) -> Column:
+    """How many rows pass the test: one number, counted where the rows are."""
+    return rows.agg(F.count_if(test)).scalar()
 
 
 def resolve(symbols: DataFrame, name: str | None = None, symbol_id: int | None = None, kinds: tuple[str, ...] = ()) -> Resolved:
     """The symbol that an id or name means. With an id, a name must be the symbol's own, in its case.
 
+    Of the symbols of an ambiguous name the first MOST_MATCHES are told; `candidates` has them all.
     Raises LookupError if there is none.
     """
     if symbol_id is not None:
@@ -74,7 +78,7 @@ def resolve(symbols: DataFrame, name: str | None = None, symbol_id: int | None =
         return Resolved(row)
     if not name:
         raise ValueError("a name or an id is needed")
-    rows = candidates(symbols, name, kinds).orderBy("id").collect()  # symbols of one name
+    rows = candidates(symbols, name, kinds).orderBy("id").limit(MOST_MATCHES).collect()
     if not rows:
         raise LookupError(f"no symbol is named {name}")
     return Resolved(rows[0]) if len(rows) == 1 else Resolved(None, rows)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.functions.effects import DEFAULT_RULES
 from loomgraph.plans import fixtures as fx
-from loomgraph.sources import unified_diff
 
 _LINE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_returnflag"
 _EMPTY = "CAST(NULL AS VARCHAR)"
@@ -65,11 +63,13 @@ _POSITION = (
 _RECEIVER = "CASE WHEN l_returnflag = 'A' THEN 'v' WHEN l_linestatus = 'O' THEN s_name ELSE p_brand END"
 
 
+#: What the names in these tables can match, worked out by hand from the ordered rules: (text, effect).
+_EFFECTS = ((".Query", "sql_query"), (".Get(", "http_call"), (".Send", "event_emit"), (".Error", "log"), (".Set", "cache_write"))
+
+
 def _classified(name: str) -> tuple[str, str]:
-    test = {"prefix": "starts_with({n}, '{t}')", "contains": "contains({n}, '{t}')", "exact": "{n} = '{t}'"}
-    whens = [(test[r.how].format(n=name, t=r.text), r) for r in DEFAULT_RULES]
-    effect = "CASE " + " ".join(f"WHEN {w} THEN '{r.effect}'" for w, r in whens) + " ELSE 'none' END"
-    rule = "CASE " + " ".join(f"WHEN {w} THEN '{r.text}'" for w, r in whens) + " END"
+    effect = "CASE " + " ".join(f"WHEN contains({name}, '{t}') THEN '{e}'" for t, e in _EFFECTS) + " ELSE 'none' END"
+    rule = "CASE " + " ".join(f"WHEN contains({name}, '{t}') THEN '{t}'" for t, _ in _EFFECTS) + " END"
     return effect, rule
 
 
@@ -108,6 +108,12 @@ _CTES = {
         "SELECT e.func_id, e.position, e.element, coalesce(CASE e.element WHEN 1 THEN 'LOOP' WHEN 3 THEN 'IF_TRUE' WHEN 5 THEN 'BRANCH_END' WHEN 7 THEN 'LOOP_BACK' WHEN 12 THEN 'THROW' END, s.name) AS description "
         "FROM elems e LEFT JOIN sym s ON e.element = s.id"
     ),
+    # Elements with the one before, how many throws there were so far, and how many elements that are no markers before.
+    "steps": (
+        "SELECT e.func_id, e.position, e.element, s.name, lag(e.element) OVER w AS prev, sum(CASE WHEN e.element = 12 THEN 1 ELSE 0 END) OVER w AS thrown, "
+        "sum(CASE WHEN e.element >= 100 THEN 1 ELSE 0 END) OVER w - CASE WHEN e.element >= 100 THEN 1 ELSE 0 END AS nth "
+        "FROM elems e LEFT JOIN sym s ON s.id = e.element WINDOW w AS (PARTITION BY e.func_id ORDER BY e.position)"
+    ),
     "cands": (  # symbols by the last part of the called name: parts only, as nothing else is named so
         "SELECT r.caller_id, r.position, s.id, row_number() OVER (PARTITION BY r.caller_id, r.position ORDER BY "
         "CASE WHEN s.id IN (SELECT func_id FROM elems0) THEN 5 ELSE 0 END + 4 + CASE WHEN s.file = c.file THEN 3 ELSE 0 END DESC, s.id) AS nth "
@@ -141,7 +147,7 @@ def _with(sql: str) -> str:
     for name in _CTES:
         if name in needed:
             add(name)
-    return ("WITH RECURSIVE " + ", ".join(f"{n} AS ({_CTES[n]})" for n in order) + " " if order else "") + sql
+    return ("WITH RECURSIVE " + ", ".join(f"{n} AS MATERIALIZED ({_CTES[n]})" for n in order) + " " if order else "") + sql
 
 
 def _walk(start: str, depth: int, edges: str = "edg", source: str = "callee_id", target: str = "caller_id") -> str:
@@ -153,14 +159,11 @@ def _walk(start: str, depth: int, edges: str = "edg", source: str = "callee_id",
     return f"WITH {', '.join(steps)} SELECT id, CAST(min(hop) AS INTEGER) AS hop FROM ({rows}) GROUP BY id"
 
 
-def _diff_tables() -> tuple[str, str]:
-    files = unified_diff.parse(fx.DIFF)
-    lines = sorted({(f.path, n) for f in files for h in f.hunks for n in h.new_lines})
-    values = ", ".join(f"('{p}', CAST({n} AS INTEGER))" for p, n in lines)
-    return f"(SELECT * FROM (VALUES {values}) t(path, new_line))", ", ".join(f"'{f.path}'" for f in files)
-
-
-_DIFF_LINES, _DIFF_PATHS = _diff_tables()
+#: The new lines of the fixture's diff, read off by hand.
+_DIFF_LINES = (
+    "(SELECT path, CAST(n AS INTEGER) AS new_line FROM (VALUES ('3-MEDIUM', 1), ('3-MEDIUM', 2), ('3-MEDIUM', 3), ('3-MEDIUM', 4), ('3-MEDIUM', 5), "
+    "('3-MEDIUM', 20), ('3-MEDIUM', 21), ('src/new.py', 1), ('src/new.py', 2), ('nowhere.txt', 3)) t(path, n))"
+)
 _MODIFIED = f"SELECT DISTINCT s.id, s.name, s.kind, s.file FROM sym s JOIN {_DIFF_LINES} d ON d.path = s.file AND d.new_line BETWEEN s.line AND s.end_line WHERE s.file <> 'FURNITURE'"
 _AFFECTED = (
     "SELECT m.id AS func_id, CAST(e.position AS INTEGER) AS position, e.element AS to_id, p.name AS to_name, r.line, "
@@ -169,16 +172,15 @@ _AFFECTED = (
     f"JOIN {_DIFF_LINES} d ON d.path = m.file AND d.new_line = r.line JOIN sym p ON p.id = e.element "
     "JOIN elems b ON b.func_id = m.id AND b.position = e.position - 1 LEFT JOIN elems b2 ON b2.func_id = m.id AND b2.position = e.position - 2"
 )
-_MARKER = "CASE {e} WHEN 1 THEN 'LOOP' WHEN 3 THEN 'IF_TRUE' WHEN 5 THEN 'BRANCH_END' WHEN 7 THEN 'LOOP_BACK' END"
+_MARKER = "CASE {e} WHEN 1 THEN 'LOOP' WHEN 3 THEN 'IF_TRUE' WHEN 5 THEN 'BRANCH_END' WHEN 7 THEN 'LOOP_BACK' WHEN 12 THEN 'THROW' END"
 #: The first position of the unbroken run of markers before each call.
 _GUARDS = (
     "SELECT e.func_id, e.position, coalesce(max(CASE WHEN o.element >= 100 THEN o.position + 1 END), 0) AS start "
     "FROM elems e JOIN elems o ON o.func_id = e.func_id AND o.position < e.position GROUP BY 1, 2"
 )
-_TOKENS = (
-    "SELECT 20000000 + l_orderkey AS func_id, string_agg(CASE l_returnflag WHEN 'R' THEN 'if:1,call:' || p_name "
-    "WHEN 'A' THEN repeat('loop:1,call:' || p_name || ',', 10) || 'loop:0' ELSE 'call:' || p_name END, ',' ORDER BY rn) AS sequence "
-    "FROM lines JOIN part ON l_partkey = p_partkey WHERE l_orderkey <= 999 GROUP BY l_orderkey"
+#: The marker names between a call and the last element before it that is no marker, whichever chain it is in.
+_GUARDED = (
+    f"SELECT func_id, nth, string_agg({_MARKER.format(e='element')}, ',' ORDER BY position) AS guards FROM steps WHERE element < 100 GROUP BY 1, 2"
 )
 
 _SQL = {
@@ -234,17 +236,26 @@ _SQL = {
     "text_functions": "SELECT DISTINCT call_name, split_part(call_name, '.', 2) AS short, split_part(call_name, '.', 1) AS first, substr(call_name, instr(call_name, '.') + 1) AS rest, '!' || call_name AS negated, call_name AS path, call_name AS below, ' ''' || call_name AS label FROM recs",
     "s6_type_references": "SELECT s.id, min(c.id) AS class_id FROM sym s JOIN sym c ON c.name = s.type_name WHERE s.kind = 'variable' AND c.kind = 'class' GROUP BY s.id",
     "d5_guard_markers": (
-        "SELECT e.func_id, CAST(e.position AS INTEGER) AS position, CASE WHEN b.element = 3 AND coalesce(c.element, 99) NOT IN (5, 7) THEN 'IF_TRUE' "
-        f"ELSE coalesce((SELECT string_agg({_MARKER.format(e='g.element')}, ',' ORDER BY g.position) FROM elems g WHERE g.func_id = e.func_id AND g.position >= x.start AND g.position < e.position AND g.element < 100), '') END AS guards "
-        f"FROM elems e JOIN ({_GUARDS}) x ON x.func_id = e.func_id AND x.position = e.position JOIN elems b ON b.func_id = e.func_id AND b.position = e.position - 1 "
-        "LEFT JOIN elems c ON c.func_id = e.func_id AND c.position = e.position - 2 WHERE e.func_id BETWEEN 20000000 AND 20000499 AND e.position > 0 AND e.element >= 100"
+        "SELECT s.func_id, CAST(s.position AS INTEGER) AS position, coalesce(g.guards, '') AS guards "
+        f"FROM steps s LEFT JOIN ({_GUARDED}) g ON g.func_id = s.func_id AND g.nth = s.nth WHERE s.position > 0 AND s.element >= 100"
     ),
     "p12_symbols_on_lines": f"SELECT s.id, count(*) AS lines FROM sym s JOIN {_DIFF_LINES} d ON d.path = s.file AND d.new_line >= s.line AND d.new_line <= s.end_line GROUP BY s.id",
-    "v6_incremental_embedding": "SELECT kind, count(*) AS n, CAST(64 AS INTEGER) AS dimension FROM sym WHERE kind IN ('module', 'function') GROUP BY kind",
-    "a10_reciprocal_ranks": "SELECT id, round(1.0 / (61 + id % 97) + CASE WHEN id % 2 = 0 THEN 1.0 / (61 + id % 31) ELSE 0 END, 6) AS score FROM sym WHERE kind = 'class'",
-    "b8_policy_delta": (
-        "SELECT DISTINCT 20000000 + l.l_orderkey AS func_id, p.p_name AS name FROM lines l JOIN part p ON l.l_partkey = p.p_partkey WHERE l.l_orderkey <= 499 AND l.l_returnflag = 'R' "
-        "AND NOT EXISTS (SELECT 1 FROM lineitem o JOIN part q ON o.l_partkey = q.p_partkey WHERE o.l_orderkey = l.l_orderkey AND q.p_name = p.p_name AND o.l_returnflag <> 'R')"
+    "v6_incremental_embedding": "SELECT kind, count(*) AS n, CAST(64 AS INTEGER) AS dimension FROM sym GROUP BY kind",
+    "a10_reciprocal_ranks": (
+        "SELECT id, round(sum(1.0 / (61 + rank)), 6) AS score FROM (SELECT id, line AS rank FROM sym UNION ALL SELECT callee_id, min(position) FROM edg GROUP BY callee_id) GROUP BY id"
+    ),
+    "b8_policy_delta": "SELECT func_id, name FROM steps WHERE position > 0 AND element >= 100 AND thrown <= 1 GROUP BY func_id, name HAVING bool_and(prev = 3)",
+    "b8_diff_simulation": (
+        "WITH f AS (SELECT s.name AS function, min(e.func_id) AS func_id FROM elems e JOIN sym s ON s.id = e.func_id WHERE e.position = 0 GROUP BY s.name) "
+        "SELECT f.function, CASE WHEN t.element >= 1000000 THEN 'added' ELSE 'removed' END AS change, 'call:' || t.name AS token FROM f JOIN steps t ON t.func_id = f.func_id "
+        "WHERE t.position > 0 AND (t.element BETWEEN 1000000 AND 1999999 OR t.element BETWEEN 1000 AND 1999)"
+    ),
+    "s4_parsed_sources": (
+        "SELECT 'n' || s_nationkey || '.py' AS path, 1 + 2 * count(*) AS symbols, 1 + count(*) AS chains, 2 * count(*) AS calls FROM supplier GROUP BY s_nationkey"
+    ),
+    "s7_impl_methods": "SELECT 'n' || s_nationkey || '.rs' AS path, 'go' || s_suppkey AS method, 'S' || s_suppkey AS owner, true AS of_definition FROM supplier",
+    "s16_configured_effects": (
+        "SELECT 'n' || s_nationkey || '.py' AS path, effect, CAST(count(*) AS BIGINT) AS n FROM supplier, (VALUES ('file_write'), ('log')) t(effect) GROUP BY 1, 2"
     ),
     "g2_direct_callers": f"SELECT DISTINCT func_id AS id FROM elems WHERE element = {fx.SUPPLIER_ID} AND func_id <> {fx.SUPPLIER_ID} AND position > 0",
     "g3_callers": f"SELECT * FROM ({_walk(str(fx.SUPPLIER_ID), 2)}) WHERE hop > 0",
@@ -256,8 +267,8 @@ _SQL = {
     "g6_flow": f"SELECT CAST(position AS INTEGER) AS position, element, description FROM described WHERE func_id = {fx.ORDER_ID}",
     "g6_flow_calls": (
         "SELECT d.func_id, CAST(d.position AS INTEGER) AS position, d.element AS to_id, d.description AS to_name, coalesce(g.condition, r.condition) AS condition, g.effect AS effect, "
-        "r.line, array_to_string(r.args, ',') AS args, g.is_loop_body FROM described d JOIN edg g ON g.caller_id = d.func_id AND g.callee_id = d.element "
-        "JOIN recs r ON r.caller_id = d.func_id AND r.position = d.position WHERE d.func_id BETWEEN 20000000 AND 20000499 AND d.position > 0 AND d.element >= 100"
+        "coalesce(r.line, 0) AS line, coalesce(array_to_string(r.args, ','), '') AS args, g.is_loop_body FROM described d JOIN edg g ON g.caller_id = d.func_id AND g.callee_id = d.element "
+        "LEFT JOIN recs r ON r.caller_id = d.func_id AND r.position = d.position WHERE d.position > 0 AND d.element >= 100 AND d.element <> d.func_id"
     ),
     "g7_search_flow": "SELECT func_id, s.name AS func_name, chain, 1 AS match_count FROM chain_text JOIN sym s ON s.id = func_id WHERE contains(',' || chain || ',', ',5,1,')",
     "g9_call_graph_nodes": (
@@ -273,13 +284,21 @@ _SQL = {
         "coalesce((SELECT string_agg(c.name, ',' ORDER BY c.name) FROM edg e JOIN sym c ON c.id = e.caller_id WHERE e.callee_id = h.id AND e.caller_id <> h.id), '') AS callers, "
         "coalesce((SELECT string_agg(c.name, ',' ORDER BY e.position) FROM elems e JOIN sym c ON c.id = e.element WHERE e.func_id = h.id AND e.position > 0), '') AS callees FROM hits h"
     ),
+    "g10_context_depth": (
+        f"WITH hits AS (SELECT * FROM sym WHERE contains(lower(name), '{fx.PART_NAME}') ORDER BY lower(name), id LIMIT 4), up AS (SELECT DISTINCT caller_id, callee_id FROM edg WHERE caller_id <> callee_id), "
+        "met AS (SELECT h.id, u.caller_id FROM hits h JOIN up u ON u.callee_id = h.id UNION SELECT h.id, w.caller_id FROM hits h JOIN up u ON u.callee_id = h.id JOIN up w ON w.callee_id = u.caller_id) "
+        "SELECT h.id, h.name, coalesce((SELECT string_agg(c.name, ',' ORDER BY c.name) FROM met m JOIN sym c ON c.id = m.caller_id WHERE m.id = h.id AND m.caller_id <> h.id), '') AS callers FROM hits h"
+    ),
     "k8_flow_diagram": (
-        "WITH own AS (SELECT * , description AS label FROM described WHERE func_id BETWEEN 20000000 AND 20000199) "
+        "WITH own AS (SELECT *, description AS label FROM described) "
         "SELECT func_id, 'flowchart TD' || chr(10) || string_agg('  n' || position || CASE WHEN element IN (3, 4, 5) THEN '{\"' || label || '\"}' "
         "WHEN element IN (1, 7, 6, 10, 11, 12) THEN '([\"' || label || '\"])' ELSE '[\"' || label || '\"]' END, chr(10) ORDER BY position) || chr(10) || "
         "string_agg('  n' || (position - 1) || ' --> n' || position, chr(10) ORDER BY position) FILTER (position > 0) AS diagram FROM own GROUP BY func_id"
     ),
-    "k6_minimized": "SELECT id || '|' || name || '|module|' || scope || '|' || scope_id || '|0||geo|' || line || '|' || end_line || '||||star' AS symbol FROM sym WHERE kind = 'module'",
+    "k6_minimized": (
+        "SELECT id || '|' || name || '|' || kind || '|' || scope || '|' || scope_id || '|0|' || coalesce(type_name, '') || '|' || file || '|' || line || '|' || end_line || '|||' || "
+        "CASE WHEN len(ann) = 0 THEN '' ELSE '[' || array_to_string(list_transform(ann, lambda a: '{\"name\":\"' || a || '\",\"line\":1}'), ',') || ']' END || '|star' AS symbol FROM sym"
+    ),
     "a1_dependencies": "SELECT lower(split_part(call_name, '.', 1)) AS name, bool_or(lower(split_part(call_name, '.', 1)) IN (SELECT lower(name) FROM sym)) AS is_internal, count(*) AS count FROM (SELECT DISTINCT caller_id, line, call_name FROM recs) GROUP BY 1",
     "a2_references": (
         f"SELECT caller_id AS func_id, s.name AS func_name, s.file, CAST(count(*) AS INTEGER) AS sites FROM (SELECT DISTINCT caller_id, line, call_name, args FROM recs WHERE contains(lower(call_name), '.{fx.PART_NAME}')) r JOIN sym s ON s.id = caller_id GROUP BY 1, 2, 3"
@@ -312,8 +331,14 @@ _SQL = {
         "SELECT CAST(4 AS BIGINT) AS files, CAST(2 AS BIGINT) AS matched, "
         f"(SELECT count(*) FROM ({_MODIFIED})) + (SELECT count(*) FROM sym WHERE file = 'FURNITURE') AS symbols, (SELECT count(DISTINCT func_id) FROM ({_AFFECTED})) AS flows, CAST(1 AS BIGINT) AS new_files, CAST(1 AS BIGINT) AS unmatched"
     ),
-    "b4_simulated_sequences": _TOKENS,
-    "a11_mock_counts": "SELECT 20000000 + l_orderkey AS func_id, p_name AS name, CAST(sum(CASE l_returnflag WHEN 'A' THEN 3 ELSE 1 END) AS BIGINT) AS n FROM lines JOIN part ON l_partkey = p_partkey WHERE l_orderkey <= 999 AND l_returnflag <> 'R' GROUP BY 1, 2",
+    "b4_simulated_sequences": (
+        "SELECT func_id, string_agg(CASE WHEN element = 3 THEN 'if:1' WHEN prev = 1 THEN repeat('loop:1,call:' || name || ',', 10) || 'loop:0' ELSE 'call:' || name END, ',' ORDER BY position) AS sequence "
+        "FROM steps WHERE position > 0 AND thrown <= 1 AND (element = 3 OR element >= 100) GROUP BY func_id"
+    ),
+    "a11_mock_counts": (
+        "SELECT func_id, name, CAST(sum(CASE WHEN prev = 1 THEN 3 ELSE 1 END) AS BIGINT) AS n FROM steps "
+        "WHERE position > 0 AND element >= 100 AND thrown <= 1 AND prev <> 3 GROUP BY func_id, name"
+    ),
     "b2_unmocked": (
         "SELECT DISTINCT s.name FROM (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = 5) JOIN sym s ON s.id = 10000000 + l_partkey WHERE s.name <> 'red bolt'"
     ),

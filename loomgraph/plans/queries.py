@@ -14,7 +14,7 @@ from loomgraph.plans import fixtures as fx
 from loomgraph.schema import MARKERS
 from loomgraph.session import materialize
 from loomgraph.sinks import render
-from loomgraph.sources import snapshot, star
+from loomgraph.sources import config, snapshot, star, workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -291,17 +291,17 @@ def p12_symbols_on_lines(spark, sf_dir):
 @query
 def v6_incremental_embedding(spark, sf_dir):
     g = fx.graph(spark, sf_dir)
-    modules = g.symbols.filter("kind in ('module', 'function')")
-    found = vectors.embed(modules, lambda t: hashed(t, 64), g.embeddings, 64)
+    found = vectors.embed(g.symbols, lambda t: hashed(t, 64), g.embeddings, 64)
     return found.join(g.symbols, found.symbol_id == g.symbols.id).groupBy("kind").agg(F.count("*").alias("n"), F.min(F.size("vector")).alias("dimension"))
 
 
 @query
 def a10_reciprocal_ranks(spark, sf_dir):
-    symbols = fx.graph(spark, sf_dir).symbols.filter("kind = 'class'")
-    one = symbols.select("id", (F.col("id") % 97).alias("rank"))
-    two = symbols.filter("id % 2 = 0").select("id", (F.col("id") % 31).alias("rank"))
-    return search.fused([one, two]).select("id", F.round("score", 6).alias("score"))
+    """Symbols by their line in the file and by where they are called first."""
+    g = fx.graph(spark, sf_dir)
+    by_line = g.symbols.select("id", F.col("line").alias("rank"))
+    by_call = g.edges.groupBy(F.col("callee_id").alias("id")).agg(F.min("position").alias("rank"))
+    return search.fused([by_line, by_call]).select("id", F.round("score", 6).alias("score"))
 
 
 @query
@@ -312,6 +312,55 @@ def b8_policy_delta(spark, sf_dir):
     return true.join(false, ["func_id", "name"], "left_anti")
 
 
+@query
+def b8_diff_simulation(spark, sf_dir):
+    """What functions do in a graph without calls of suppliers, and in one without calls of nations."""
+    g = fx.graph(spark, sf_dir)
+    without = lambda low: g.with_chains(g.chains.select("func_id", F.filter("chain", lambda e, i: (i == 0) | ~e.between(low, 2 * low - 1)).alias("chain")))
+    return sandbox.delta(without(star.SUPPLIER), without(star.NATION))
+
+
+def _sources(spark: SparkSession, sf_dir: str, extension: str, language: str, head: Column, each: Column) -> DataFrame:
+    """Source files made of the suppliers of each nation: a head, then a piece for each supplier."""
+    rows = star.table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_list(each)), "\n").alias("body"))
+    path = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit(extension))
+    content = F.concat(head, F.lit("\n"), F.col("body"), F.lit("\n")).cast("binary")
+    return rows.select(path.alias("path"), F.lit(language).alias("language"), F.octet_length(content).cast("long").alias("bytes"), content.alias("content"), F.lit("ok").alias("status"))
+
+
+def _python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey").cast("string")
+    method = F.concat(F.lit("    def f"), key, F.lit("(self):\n        store.keep(self)\n        return log.write()"))
+    return _sources(spark, sf_dir, ".py", "python", F.concat(F.lit("class N"), F.col("s_nationkey").cast("string"), F.lit(":")), method)
+
+
+@query
+def s4_parsed_sources(spark, sf_dir):
+    """What the Python parser finds in generated files."""
+    tables = workspace.parse_tables(_python_sources(spark, sf_dir))
+    counts = [t.groupBy("path").agg(F.count("*").alias(name)) for name, t in zip(("symbols", "chains", "calls"), tables, strict=False)]
+    return counts[0].join(counts[1], "path").join(counts[2], "path")
+
+
+@query
+def s7_impl_methods(spark, sf_dir):
+    """Methods of Rust impl blocks, by the definition that they belong to."""
+    key = F.col("s_suppkey").cast("string")
+    each = F.concat(F.lit("struct S"), key, F.lit(" { a: i32 }\nimpl S"), key, F.lit(" {\n    fn go"), key, F.lit("(&self) { check(self.a); }\n}"))
+    symbols = workspace.parse_tables(_sources(spark, sf_dir, ".rs", "rust", F.lit("// made"), each))[0]
+    owners = symbols.filter("kind = 'class'").select("path", F.col("id").alias("scope_id"), F.col("name").alias("owner"), F.col("type_name").isNull().alias("of_definition"))
+    methods = symbols.filter("kind = 'method'").select("path", F.col("name").alias("method"), "scope_id")
+    return methods.join(owners, ["path", "scope_id"]).select("path", "method", "owner", "of_definition")
+
+
+@query
+def s16_configured_effects(spark, sf_dir):
+    """Effects of calls in generated files, by a rule of the settings and a default one."""
+    settings = config.parse('[[effect_rules]]\neffect = "file_write"\ncall = { prefix = "store." }\n[[effect_rules]]\neffect = "nonsense"\nprefix = "log."\n')
+    calls = workspace.parse_tables(_python_sources(spark, sf_dir), settings.effect_rules)[2]
+    return calls.groupBy("path", "effect").agg(F.count("*").alias("n"))
+
+
 @query
 def r9_watched_files(spark, sf_dir):
     """Names of the files that a watcher of the folder sees at first."""
@@ -394,6 +443,12 @@ def g10_context(spark, sf_dir):
     return found.select("id", "name", "file", _joined("callers").alias("callers"), _joined("callees").alias("callees"))
 
 
+@query
+def g10_context_depth(spark, sf_dir):
+    found = context.context(fx.graph(spark, sf_dir), fx.PART_NAME, 4, depth=2)
+    return found.select("id", "name", _joined("callers").alias("callers"))
+
+
 @query
 def k8_flow_diagram(spark, sf_dir):
     return render.flow_diagram(flow.described(fx.graph(spark, sf_dir)))
@@ -401,8 +456,7 @@ def k8_flow_diagram(spark, sf_dir):
 
 @query
 def k6_minimized(spark, sf_dir):
-    modules = fx.graph(spark, sf_dir).symbols.filter("kind = 'module'")
-    return render.minimized(modules).select(F.array_join("symbol", "|", "").alias("symbol"))
+    return render.minimized(fx.graph(spark, sf_dir).symbols).select(F.array_join("symbol", "|", "").alias("symbol"))
 
 
 # ---- reports

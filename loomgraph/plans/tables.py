@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
@@ -19,6 +19,9 @@ class Graph:
     files: DataFrame
     embeddings: DataFrame | None = None
 
+    def with_chains(self, chains: DataFrame) -> Graph:
+        return replace(self, chains=chains)
+
     @property
     def spark(self):
         return self.symbols.sparkSession

@@ -12,7 +12,7 @@ import json
 import re
 from dataclasses import dataclass, field
 
-from loomgraph.functions.effects import classify_text
+from loomgraph.functions.effects import EffectRule, classify_text
 from loomgraph.schema import CLASS_KINDS, FIRST_SYMBOL_ID, MARKERS
 
 MOST_NESTED = 200
@@ -65,8 +65,8 @@ def base_type(name: str) -> str:
 class Emitter:
     """Numbers the scopes of a file from 100 on and writes their chains."""
 
-    def __init__(self, path: str, language: str):
-        self.path, self.language = path, language
+    def __init__(self, path: str, language: str, rules: tuple[EffectRule, ...] = ()):
+        self.path, self.language, self.rules = path, language, rules
         self.symbols: list[dict] = []
         self.chains: list[dict] = []
         self.calls: list[dict] = []
@@ -89,14 +89,23 @@ class Emitter:
             self.scopes(scope.inner, symbol)
 
     def types(self) -> None:
-        """type_ref of what names a class of the same file: the first class of that name."""
+        """type_ref of what names a class of the same file: the first class of that name.
+
+        What Rust's impl blocks hold belongs to the type that they are for, if the file defines it.
+        """
         first: dict[str, int] = {}
+        blocks = [s for s in self.symbols if self.language == "rust" and s["kind"] == "class" and s["type_name"] == s["name"]]
+        held = {s["id"] for s in blocks}
         for s in self.symbols:
-            if s["kind"] in CLASS_KINDS:
+            if s["kind"] in CLASS_KINDS and s["id"] not in held:
                 first.setdefault(s["name"], s["id"])
         for s in self.symbols:
             if s["type_name"]:
                 s["type_ref"] = first.get(base_type(s["type_name"]), 0)
+        owner = {s["id"]: s["type_ref"] for s in blocks if s["type_ref"]}
+        for s in self.symbols:
+            if s["kind"] == "method":
+                s["scope_id"] = owner.get(s["scope_id"], s["scope_id"])
 
     def nodes(self, found: list[Node], chain: list[int], condition: str | None, loop: bool, depth: int) -> None:
         if depth <= MOST_NESTED:
@@ -107,7 +116,7 @@ class Emitter:
         chain += [MARKERS[n] for n in names]
 
     def _call(self, node: Node, chain, condition, loop, depth) -> None:
-        effect, text = classify_text(node.name)
+        effect, text = classify_text(node.name, self.rules)
         head, _, last = node.name.rpartition(".")
         self.calls.append(
             {
@@ -305,10 +314,10 @@ class _Python:
         return self.calls(*ast.iter_child_nodes(s))
 
 
-def parse(path: str, language: str, text: str) -> dict | None:
-    """Symbols, chains and calls of a file; None if no parser can read it."""
+def parse(path: str, language: str, text: str, rules: tuple[EffectRule, ...] = ()) -> dict | None:
+    """Symbols, chains and calls of a file, effects by these rules before the default ones; None if no parser can read it."""
     try:
-        emitter = Emitter(path, language)
+        emitter = Emitter(path, language, rules)
         if language == "python":
             python = _Python(text)
             emitter.scopes(python.scopes(python.tree.body, False, True))
@@ -324,7 +333,7 @@ def parse(path: str, language: str, text: str) -> dict | None:
         return None
 
 
-def parse_json(path: str, language: str, text: str) -> str | None:
-    found = parse(path, language, text)
+def parse_json(path: str, language: str, text: str, rules: tuple[EffectRule, ...] = ()) -> str | None:
+    found = parse(path, language, text, rules)
     return json.dumps(found) if found is not None else None
 

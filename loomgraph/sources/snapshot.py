@@ -72,6 +72,15 @@ def write(graph: Graph, root: str, partitions: int | None = None) -> int:
     return version
 
 
+def remove(spark: SparkSession, root: str) -> bool:
+    """Delete all versions; returns whether there was a snapshot. What else is in the folder stays."""
+    there = versions(spark, root).select("version").collect()  # a row for each version
+    for name in ["meta", *(f"v{r['version']}" for r in there)]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return bool(there)
+
+
 def read(spark: SparkSession, root: str, version: int | None = None) -> Graph:
     """A version of the graph, the newest if none is named."""
     if version is None:

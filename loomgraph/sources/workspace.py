@@ -18,6 +18,7 @@ from loomgraph.session import ship_library
 LARGEST_FILE = 4 * 1024 * 1024
 SNIFFED_BYTES = 8 * 1024
 IGNORE_FILES = (".gitignore", ".loomgraphignore")
+EXCLUDE_FILE = ".git/info/exclude"
 # Languages by file extension.
 EXTENSIONS = {
     "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
@@ -38,21 +39,42 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
 
 
 def ignore_lists(spark: SparkSession, root: str) -> dict[str, list[str]]:
-    """Lines of the ignore files below the root, by folder. Spark's readers pass over such files, so Hadoop's do it."""
+    """Lines of the ignore files that hold below the root, by folder. Spark's readers pass over such files, so Hadoop's do it.
+
+    Inside a git repository, its exclude file and the ignore files of the folders above the root count too;
+    a folder above is named by `..` for each step up, and what leads from it to the root.
+    """
     jvm = spark._jvm
     top = jvm.org.apache.hadoop.fs.Path(root)
     system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    prefix, found, listed = system.makeQualified(top).toString().rstrip("/"), {}, system.listFiles(top, True)
+    child = lambda folder, name: jvm.org.apache.hadoop.fs.Path(folder, name)
+
+    def lines(path) -> list[str]:
+        stream = system.open(path)
+        try:
+            return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+        finally:
+            stream.close()
+
+    top = system.makeQualified(top)
+    prefix, found, listed = top.toString().rstrip("/"), {}, system.listFiles(top, True)
+    above, folder, steps, way = {}, top, 0, ""
+    while folder is not None:  # up to the repository's folder
+        key = "/".join([".."] * steps) + (f"/{way}" if way else "")
+        own = [n for n in IGNORE_FILES if steps and system.exists(child(folder, n))]
+        above = {key: [line for n in own for line in lines(child(folder, n))]} | above if own else above
+        if system.exists(child(folder, ".git")):
+            exclude = child(folder, EXCLUDE_FILE)
+            if system.exists(exclude):
+                above = {key: lines(exclude) + above.get(key, [])} | {k: v for k, v in above.items() if k != key}
+            found = above
+            break
+        way, steps, folder = f"{folder.getName()}/{way}".strip("/"), steps + 1, folder.getParent()
     while listed.hasNext():
         path = listed.next().getPath()
         if path.getName() in IGNORE_FILES:
-            stream = system.open(path)
-            try:
-                text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            finally:
-                stream.close()
-            folder = path.getParent().toString().removeprefix(prefix).strip("/")
-            found.setdefault(folder, []).extend(text.splitlines())
+            inside = path.getParent().toString().removeprefix(prefix).strip("/")
+            found.setdefault(inside, []).extend(lines(path))
     return found
 
 
@@ -63,7 +85,8 @@ def is_hidden(relative: Column) -> Column:
 def ignore_test(patterns: dict[str, list[str]]) -> Callable[[str], bool]:
     """Whether ignore files (folder -> lines) leave a path out; the last line that matches decides, ! takes back."""
     rules = []
-    for folder, lines in sorted(patterns.items(), key=lambda x: x[0].count("/")):
+    depth = lambda folder: -folder.split("/").count("..") or (folder != "") + folder.count("/")
+    for folder, lines in sorted(patterns.items(), key=lambda x: depth(x[0])):
         for line in (raw.rstrip() for raw in lines):
             if not line or line.startswith("#"):
                 continue
@@ -76,9 +99,12 @@ def ignore_test(patterns: dict[str, list[str]]) -> Callable[[str], bool]:
         parts = path.split("/")
         for folder, pattern, keep, anchored, only_folders in rules:
             inside = folder.split("/") if folder else []
-            if parts[: len(inside)] != inside:
+            if inside[:1] == [".."]:  # a folder above the root: what leads from there to the root stands before the path
+                rest = [p for p in inside if p != ".."] + parts
+            elif parts[: len(inside)] != inside:
                 continue
-            rest = parts[len(inside) :]
+            else:
+                rest = parts[len(inside) :]
             ends = range(1, len(rest) + (0 if only_folders else 1))
             names = ["/".join(rest[:i]) for i in ends] if anchored else [rest[i - 1] for i in ends]
             if any(fnmatch.fnmatchcase(n, pattern) for n in names):
@@ -121,19 +147,19 @@ def files(spark: SparkSession, root: str, headers: str | None = None, languages:
     return known.withColumn("status", F.when(readable, "ok").otherwise("skipped"))
 
 
-def parsed(found: DataFrame, parse: Callable[[str, str, str], dict] | None = None) -> DataFrame:
+def parsed(found: DataFrame, rules: tuple = ()) -> DataFrame:
     """(path, result): what the language's parser makes of each readable file, as JSON; files that fail give no row."""
     from loomgraph.sources import parsers
 
     ship_library(found.sparkSession)
-    parse = parse or parsers.parse_json
+    parse = parsers.parse_json
     rows = found.filter("status = 'ok'").select("path", "language", F.col("content").cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
             paths, results = [], []
             for path, language, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                result = parse(path, language, text)
+                result = parse(path, language, text, rules)
                 if result is not None:
                     paths.append(path)
                     results.append(result)
@@ -142,12 +168,15 @@ def parsed(found: DataFrame, parse: Callable[[str, str, str], dict] | None = Non
     return rows.mapInArrow(run, "path string, result string")
 
 
-def parse_tables(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Parsed symbols, chains and calls with file-local ids, and the files that were parsed."""
+def parse_tables(found: DataFrame, rules: tuple = ()) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Parsed symbols, chains and calls with file-local ids, and the files that were parsed.
+
+    rules: effect rules of one's own, before the default ones.
+    """
     from loomgraph import schema
     from loomgraph.session import materialize
 
-    rows = materialize(parsed(found))
+    rows = materialize(parsed(found, rules))
     ddl = lambda kind: f"array<struct<{','.join(f'{f.name}:{f.dataType.simpleString()}' for f in kind.fields)}>>"
     whole = f"symbols {ddl(schema.SYMBOLS)}, chains {ddl(schema.CHAINS)}, calls {ddl(schema.CALL_RECORDS)}"
     nested = rows.select("path", F.from_json("result", whole).alias("r"))

@@ -203,9 +203,14 @@ def test_engine(spark, tmp_path):
     engine.index(second)
     with pytest.raises(ValueError, match="older version"):
         engine.search_symbol("run", cursor=page.cursor)
-    compared = engine.diff_simulate("run", 1, {"stop": 1, "halt": 2})
+    compared = engine.origin_simulate("run", 1, {"stop": 1, "halt": 2})
     assert (compared["added"], compared["removed"]) == (["call:halt"], ["call:stop"])
-    assert engine.diff_simulate("halt", 1, {})["notes"][0].startswith("version 1")
+    assert engine.origin_simulate("halt", 1, {})["notes"][0].startswith("version 1")
+    touching = "diff --git a/a.ts b/a.ts\n--- a/a.ts\n+++ b/a.ts\n@@ -1 +1 @@\n-x\n+y\n"
+    touched = engine.diff_simulate(touching, 1, mocks={"stop": 1, "halt": 2})
+    assert (touched["entry"], touched["added"], sorted(touched["affected_functions"])) == ("run", ["call:halt"], ["halt", "run"])
+    with pytest.raises(ValueError, match="touches no function"):
+        engine.diff_simulate("", 1)
     with pytest.raises(LookupError):
         lookup.resolve(engine.graph.symbols, "stop")
 
@@ -297,6 +302,72 @@ def test_workspace(spark, tmp_path):
     assert [r.name for r in engine.impact("helper", 2)] == ["main", "kept"]
 
 
+def test_settings_act(spark, tmp_path):
+    root = tmp_path / "ws"
+    root.mkdir()
+    (root / "a.py").write_text("def main():\n    store.keep(1)\n    log.write(2)\n")
+    (root / "b.go").write_text("package b\nfunc F() { log.Print() }\n")
+    settings = config.parse('[languages]\nenabled = ["python"]\n[[effect_rules]]\neffect = "cache_write"\ncall = { prefix = "store." }\n[sandbox]\nloop_cap = 2\nmocks = { "store.keep" = 4, "log.write" = 9 }\n')
+    engine = Engine(spark, str(tmp_path / "graph"), settings)
+    assert engine.index_workspace(str(root)).head().files == 1
+    assert {r["call_name"]: r["effect"] for r in engine.graph.call_records.collect()} == {"store.keep": "cache_write", "log.write": "log"}
+    assert engine.sandbox("main").result == 9 and engine.sandbox("main", {"log.write": 3}).result == 3
+    (root / "c.py").write_text("def other(): main()\n")
+    assert engine.reindex().head().files == 2
+    assert [r.name for r in engine.callers("main")] == ["other"]
+    assert engine.deinit() and not engine.deinit()
+    with pytest.raises(FileNotFoundError):
+        engine.callers("main")
+
+
+def test_ignore_files_of_a_repository(spark, tmp_path):
+    root = tmp_path / "repo" / "sub" / "ws"
+    (root / "deep").mkdir(parents=True)
+    (tmp_path / "repo" / ".git" / "info").mkdir(parents=True)
+    (tmp_path / "repo" / ".git" / "info" / "exclude").write_text("secret.py\n")
+    (tmp_path / ".gitignore").write_text("*.py\n")  # above the repository
+    (tmp_path / "repo" / ".gitignore").write_text("old_*.py\n/sub/ws/deep/x.py\n")
+    (root / ".gitignore").write_text("!old_keep.py\n")
+    for name in ("a.py", "secret.py", "old_1.py", "old_keep.py", "deep/x.py", "deep/y.py"):
+        (root / name).write_text("a = 1\n")
+    assert sorted(r.relative for r in workspace.files(spark, str(root)).collect()) == ["a.py", "deep/y.py", "old_keep.py"]
+    assert {r.relative for r in workspace.files(spark, str(tmp_path / "repo")).collect()} == {"sub/ws/a.py", "sub/ws/deep/y.py", "sub/ws/old_keep.py"}
+
+
+def test_methods_of_impl_blocks_belong_to_the_type():
+    text = "impl Early { fn first(&self) { go(); } }\nstruct Early { a: i32 }\nimpl Early { fn second(&self) {} }\nimpl Show for Early { fn show(&self) {} }\nimpl Elsewhere { fn far(&self) {} }\n"
+    found = {(s["name"], s["kind"], s["type_name"]): s for s in parsers.parse("m.rs", "rust", text)["symbols"]}
+    own = found["Early", "class", None]["id"]
+    scopes = {name: s["scope_id"] for (name, kind, _), s in found.items() if kind == "method"}
+    assert (scopes["first"], scopes["second"], scopes["show"]) == (own, own, own)
+    assert scopes["far"] == found["Elsewhere", "class", "Elsewhere"]["id"] and found["Elsewhere", "class", "Elsewhere"]["type_ref"] == 0
+
+
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from loomgraph import session
+
+    conf = SimpleNamespace(get=lambda key, default: None, set=lambda *_: None)
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        session.shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    assert session.shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[2]"))).startswith("file://")
+
+
+def test_uneven_joins_and_settled_tables(spark):
+    from loomgraph import session
+
+    rows = spark.createDataFrame([(i % 3000 if i % 2 else 7, i) for i in range(6000)], "k long, i long")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top"))
+    got = {tuple(r) for r in session.join_uneven(rows, table, "k", "n", 6000).collect()}
+    assert got == {tuple(r) for r in rows.join(table, "k").collect()} and len(got) == 6000
+    first, place = session.settled(spark, lambda: session.materialize(rows).filter("k = 7"))
+    second, _ = session.settled(spark, lambda: first.filter("i < 10"), place)
+    assert sorted(r.i for r in second.collect()) == [0, 2, 4, 6, 7, 8]
+    with pytest.raises(Exception):  # noqa: B017 what a read of a deleted table raises is Spark's affair
+        first.count()
+
+
 def test_watch(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
