@@ -97,12 +97,15 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], replaces: list[s
     return found, [place]
 
 
-def join_uneven(rows: DataFrame, table: DataFrame, key: str, times: str, total: int) -> DataFrame:
+def join_uneven(rows: DataFrame, table: DataFrame, key: str, times: str, total: int, few: int = 0) -> DataFrame:
     """Rows joined to a table with one row for each key; `times` holds at least how many rows have the key, `total` all of them.
 
     At most a thousand keys can have more than a thousandth of all rows each: these meet the rows by
-    broadcast, so that no key's rows gather in one task. The others are joined as usual.
+    broadcast, so that no key's rows gather in one task. The others are joined as usual, and so are all
+    if there are at most `few` rows.
     """
+    if total <= few:
+        return rows.join(table, key)
     many = total // 1000
     hot = table.filter(F.col(times) > many)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(F.col(times) <= many), key)
