@@ -31,8 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bounded_sample, materialize, slices
-from loomgraph.session import ship_library
+from loomgraph.llm.common import bounded_sample, materialize, ready, slices
 
 WIDTH = 2
 ENTRIES = 16
@@ -195,7 +194,7 @@ def build_index(
     vectors: DataFrame, k: int = 5, sample_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> Index:
     """Index every usable row. ids: of an entry's rows, the k + 1 smallest ids and how often each occurs (k at most)."""
-    ship_library(vectors.sparkSession)
+    ready(vectors.sparkSession)
     picked = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("vector"))
     picked = picked.filter(F.col("id").isNotNull() & usable(F.col("vector")))
     sizes = picked.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from loomgraph.session import materialize, ship_library
 
 __all__ = [
-    "ENTRY_BYTES", "bounded_sample", "by_bytes", "cuts", "held_out", "labelled_sample", "materialize", "nothing", "public_vocabulary", "read", "settle",
+    "ENTRY_BYTES", "bounded_sample", "by_bytes", "cuts", "held_out", "labelled_sample", "materialize", "nothing", "public_vocabulary", "read", "ready", "settle",
     "slices", "weight",
 ]
 
@@ -50,10 +50,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold == HELD_OUT_FOLD, F.lit(True))
 
 
+#: Rows of an Arrow batch, and what Spark has without being told.
+BATCH_ROWS, SPARK_BATCH_ROWS = 2048, 10_000
+
+
+def ready(spark: SparkSession) -> None:
+    """Ready a session for Arrow functions: executors get the library; batches get smaller, unless the session has chosen a size.
+
+    A batch of Spark's own size is several times in memory, as JVM vectors, as a message and in Python.
+    """
+    ship_library(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == SPARK_BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 1024, most_bytes: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """The batches cut into parts of at most `rows` rows and, as far as one row allows, about `most_bytes`.
 
-    Spark bounds a batch by bytes; this bounds what of it is in Python objects at once, and leaves the session's settings alone.
+    Spark bounds a batch by rows and bytes; this bounds what of it is in Python objects at once.
     """
     for batch in batches:
         step = max(1, min(rows, batch.num_rows * most_bytes // max(batch.nbytes, 1)))

@@ -32,8 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bounded_sample, by_bytes, cuts, held_out, public_vocabulary, settle, slices, weight
-from loomgraph.session import ship_library
+from loomgraph.llm.common import bounded_sample, by_bytes, cuts, held_out, public_vocabulary, ready, settle, slices, weight
 
 UNDETERMINED = "und"
 MARK = "▁"
@@ -233,7 +232,7 @@ def fit(
 ) -> LanguageModel:
     """Learn from the text and language of rows outside the held-out fold."""
     path = path or public_vocabulary("piece_bpe_32k.model")
-    ship_library(docs.sparkSession)
+    ready(docs.sparkSession)
     rows = docs.select(
         docs[id_col].alias("id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text")
     ).filter(F.col("lang").isNotNull() & ~held_out(F.col("id")))
@@ -346,7 +345,7 @@ def _key(model: LanguageModel) -> str:
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return (id, held_out, lang_pred, score) for each row; the score is the language's posterior probability."""
-    ship_library(docs.sparkSession)
+    ready(docs.sparkSession)
     key, shared = _key(model), docs.sparkSession.sparkContext.broadcast(model)
     picked = docs.select(
         docs[id_col].alias("id"), held_out(docs[id_col]).alias("held_out"), docs[text_col].cast("string").alias("text")
@@ -368,7 +367,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose language is determined with at least this probability."""
-    ship_library(docs.sparkSession)
+    ready(docs.sparkSession)
     key, shared, at = _key(model), docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):

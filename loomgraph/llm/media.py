@@ -24,8 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomgraph.llm.common import nothing, settle, slices
-from loomgraph.session import ship_library
+from loomgraph.llm.common import nothing, ready, settle, slices
 
 BLOCK = 576
 HOP = BLOCK // 2
@@ -96,7 +95,7 @@ def media_columns(
 
     `feature` is a digest of the fingerprint: the number of its pairs and a hash of them.
     """
-    ship_library(docs.sparkSession)
+    ready(docs.sparkSession)
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
     names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]

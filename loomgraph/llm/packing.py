@@ -32,9 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialize, public_vocabulary, settle, slices
+from loomgraph.llm.common import materialize, public_vocabulary, ready, settle, slices
 from loomgraph.llm.token_counts import load_tokenizer
-from loomgraph.session import ship_library
 
 #: Characters on which both libraries split alike; texts with others take the reference library.
 _ALIKE = re.compile("[^\x00-ɏ‐-‧€]")
@@ -174,7 +173,7 @@ def pack(
     """Return (id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of each row."""
     path = path or public_vocabulary("byte_bpe_50k.json")
     ranks_path = ranks_path or public_vocabulary("byte_bpe_50k.tiktoken")
-    ship_library(docs.sparkSession)
+    ready(docs.sparkSession)
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
 

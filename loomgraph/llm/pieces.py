@@ -31,8 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomgraph.llm.common import by_bytes, cuts, public_vocabulary, settle, slices, weight
-from loomgraph.session import ship_library
+from loomgraph.llm.common import by_bytes, cuts, public_vocabulary, ready, settle, slices, weight
 
 MARK = "▁"
 _PUNCTUATION = ".,;:!?|*%&#$)\"'"
@@ -165,7 +164,7 @@ class Lattice:
 class Encoder:
     """Encodes batches of texts; ids of words seen before are remembered up to a bound in bytes."""
 
-    def __init__(self, path: str, remembered: int = 48 << 20):
+    def __init__(self, path: str, remembered: int = 64 << 20):
         self.pieces = Pieces(path)
         self.remembered, self.held = remembered, 0
         self.known: dict[str, bytes] = {}
@@ -180,7 +179,7 @@ class Encoder:
             split = [(i, self.pieces.words.findall(part)) for i, part in group]
             new = set().union(*(words for _, words in split)).difference(self.known)
             self.known.update((w, self.older[w]) for w in new.intersection(self.older))
-            self.held += 2 * weight(new)
+            self.held += weight(new)
             lattice = Lattice(self.pieces)
             for word in sorted(new.difference(self.older)):
                 self.known[word] = array("I", lattice.encode(word)).tobytes()
@@ -213,7 +212,7 @@ def encode(
     round_trip: whether decoding the ids gives the text again.
     """
     path = path or public_vocabulary("piece_bpe_32k.model")
-    ship_library(docs.sparkSession)
+    ready(docs.sparkSession)
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
     names = [id_col, "n_bytes", "n_tokens", "ids_crc32", "round_trip", *["ids"] * keep_ids]
@@ -240,7 +239,7 @@ def encode(
 def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Return (id, text) for rows of ids; null ids give null text."""
     path = path or public_vocabulary("piece_bpe_32k.model")
-    ship_library(encoded.sparkSession)
+    ready(encoded.sparkSession)
     picked = encoded.select(encoded[id_col].alias("id"), encoded[ids_col].cast("array<int>").alias("ids"))
 
     def run(batches):

@@ -35,8 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bounded_sample, nothing, settle, slices
-from loomgraph.session import ship_library
+from loomgraph.llm.common import bounded_sample, nothing, ready, settle, slices
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind, start, end
@@ -439,7 +438,7 @@ def train(examples: list[tuple[str, list[Span]]], rounds: int = 260, batch: int
 
 def fit(docs: DataFrame, sample_docs: int = 2000, sample_windows: int = 1200, text_col: str = "text") -> Tagger:
     """Train on windows of at most `sample_docs` distinct texts (at most `sample_windows`) and on made ones."""
-    ship_library(docs.sparkSession)
+    ready(docs.sparkSession)
     texts = docs.select(docs[text_col].cast("string").alias("text")).filter(F.col("text").isNotNull())
     drawn = bounded_sample(texts, sample_docs, ["text"])
 
@@ -532,7 +531,7 @@ def joined(spans: list[Span]) -> str:
 
 def personal_data(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return (id, counts of base spans by kind, base_sha256, spans, n_added) for each row."""
-    ship_library(docs.sparkSession)
+    ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     names = [id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
@@ -575,7 +574,7 @@ def hidden(docs: DataFrame, tagger: Tagger, text_col: str = "text", chars_col: s
 
     If there is a column `chars_col`, it gets the new text's length.
     """
-    ship_library(docs.sparkSession)
+    ready(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(tagger), docs.columns.index(text_col)
     chars_at = docs.columns.index(chars_col) if chars_col in docs.columns else None
 

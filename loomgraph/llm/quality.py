@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cuts, held_out, labelled_sample, nothing, settle, slices
-from loomgraph.session import ship_library
+from loomgraph.llm.common import cuts, held_out, labelled_sample, nothing, ready, settle, slices
 
 #: Bytes of ASCII punctuation that prose is not made of; bars and exclamation marks have their own statistics.
 _SYMBOLS = np.frombuffer(b"#$%&*+<=>@[\\]^_`{}~/", np.uint8)
@@ -111,7 +110,7 @@ def fit(
     label_col: str = "quality",
 ) -> QualityModel:
     """Learn from labelled rows outside the held-out fold."""
-    ship_library(docs.sparkSession)
+    ready(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, per_class, id_col, text_col).select("label", "text")
     width = len(STATISTICS)
 
@@ -139,7 +138,7 @@ def score(
     docs: DataFrame, model: QualityModel, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Return (id, held_out, score, predicted) for each row."""
-    ship_library(docs.sparkSession)
+    ready(docs.sparkSession)
     picked = docs.select(
         docs[id_col].alias("id"), held_out(docs[id_col]).alias("held_out"), docs[text_col].cast("string").alias("text")
     )
@@ -159,7 +158,7 @@ def score(
 
 def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose score is at least `least`."""
-    ship_library(docs.sparkSession)
+    ready(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches):

@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cuts, materialize, nothing, settle, slices
-from loomgraph.session import join_uneven, settled, ship_library
+from loomgraph.llm.common import cuts, materialize, nothing, ready, settle, slices
+from loomgraph.session import join_uneven, settled
 
 BITS = 64
 SEED = 42
@@ -42,6 +42,8 @@ SMALL = 48
 TILE = 4096
 #: Rows of a bucket that evenly spread fingerprints should not exceed, and shares that rows of a hot one are dealt into.
 PER_BUCKET, SHARES = 64, 32
+#: Edges that one task could hold without noticing: with no more, hubs need no care.
+FEW = 100_000
 
 
 def simhash(text: str | None, part_chars: int = 1 << 20) -> int:
@@ -76,7 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _fingerprinted(picked: DataFrame) -> DataFrame:
     """The rows with fp instead of text, their last column."""
-    ship_library(picked.sparkSession)
+    ready(picked.sparkSession)
     names = [*picked.columns[:-1], "fp"]
 
     def run(batches):
@@ -273,10 +275,10 @@ def _stars_of_stars(edges: DataFrame, met: int) -> DataFrame:
     """One large-star and one small-star step; met: twice the number of edges, more than any step has rows."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"), F.count("*").alias("n"))
-    wide = join_uneven(both, least, "u", "n", met).filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+    wide = join_uneven(both, least, "u", "n", met, FEW).filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
     least = wide.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n"))
     pairs = F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))
-    return join_uneven(wide, least, "u", "n", met).select(F.explode(pairs).alias("e")).select("e.*").filter("u <> v").distinct()
+    return join_uneven(wide, least, "u", "n", met, FEW).select(F.explode(pairs).alias("e")).select("e.*").filter("u <> v").distinct()
 
 
 def _groups(rows: DataFrame, first: Column, radius: int) -> tuple[DataFrame, int]:

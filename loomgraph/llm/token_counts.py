@@ -18,8 +18,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomgraph.llm.common import by_bytes, cuts, public_vocabulary, settle, slices, weight
-from loomgraph.session import ship_library
+from loomgraph.llm.common import by_bytes, cuts, public_vocabulary, ready, settle, slices, weight
 
 #: Separators that Python's split() takes for blanks but the tokenizers' pattern doesn't.
 _ODD_SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -41,7 +40,7 @@ def load_tokenizer(path: str):
 class WordLengths:
     """Token counts of texts by way of their distinct words."""
 
-    def __init__(self, path: str, remembered: int = 64 << 20):
+    def __init__(self, path: str, remembered: int = 80 << 20):
         self.tokenizer = load_tokenizer(path)
         self.remembered, self.held = remembered, 0
         self.known: dict[str, int] = {}
@@ -93,7 +92,7 @@ def token_counts(
     a text are handled as the library does by default.
     """
     path = path or public_vocabulary("word_bpe_49k.json")
-    ship_library(docs.sparkSession)
+    ready(docs.sparkSession)
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
 
     def run(batches):

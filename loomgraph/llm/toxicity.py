@@ -40,8 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import ENTRY_BYTES, cuts, held_out, labelled_sample, materialize, settle, slices
-from loomgraph.session import ship_library
+from loomgraph.llm.common import ENTRY_BYTES, cuts, held_out, labelled_sample, materialize, ready, settle, slices
 
 # Fixed word lists.
 INSULTS = (
@@ -155,7 +154,7 @@ class ToxicityModel:
 class Reader(dict):
     """Symbols by token (";" follows where a clause ends), worked out once for each distinct token."""
 
-    def __init__(self, insults: dict[str, str], remembered: int = 64 << 20):
+    def __init__(self, insults: dict[str, str], remembered: int = 80 << 20):
         self.insults, self.remembered, self.held, self.machine = insults, remembered, 0, grammar()
         self.fixed = {w: s for words, s in ((REPORTS, "r"), (NEGATIONS, "n"), (TARGETS, "t"), (THREATS, "h")) for w in words}
 
@@ -244,7 +243,7 @@ def fit(
     label_col: str = "toxic",
 ) -> ToxicityModel:
     """Learn the lexicon and the weights from labelled rows outside the held-out fold."""
-    ship_library(docs.sparkSession)
+    ready(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, per_class, id_col, text_col).select("label", "text")
     return _fit(materialize(sample))  # at most 2 * per_class texts; each is read again several times
 
@@ -351,7 +350,7 @@ def score(
     docs: DataFrame, model: ToxicityModel, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Return (id, held_out, score, predicted, matched_clauses) for each row."""
-    ship_library(docs.sparkSession)
+    ready(docs.sparkSession)
     picked = docs.select(
         docs[id_col].alias("id"), held_out(docs[id_col]).alias("held_out"), docs[text_col].cast("string").alias("text")
     )
