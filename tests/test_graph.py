@@ -1,5 +1,6 @@
 """Ingest, lookup, search, traversal and flow on graphs made by hand."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +189,35 @@ def test_k_means(spark):
     assert cluster[1] == cluster[2] != cluster[3] == cluster[4] and len(centroids) == 2
     assert len(vectors.k_means(df.limit(2), 9)[1]) == 2
     assert vectors.k_means(df.limit(0), 3)[0].count() == 0
+    missing = df.unionByName(spark.createDataFrame([(6, None)], "symbol_id long, vector array<float>"))
+    assert sorted(rows(vectors.k_means(missing, 2)[0], "symbol_id", "cluster")) == sorted(cluster.items())
+    uneven = df.unionByName(spark.createDataFrame([(6, [1.0])], "symbol_id long, vector array<float>"))
+    with pytest.raises(ValueError):
+        vectors.k_means(uneven, 2)
+    with pytest.warns(UserWarning, match="still changed"):
+        vectors.k_means(df, 2, rounds=1)
+
+
+def test_k_means_in_parts_and_with_repeats(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.2, (60, 3)) for c in np.eye(3)])
+    points = [(i % 170, [float(v) for v in row]) for i, row in enumerate(x)]
+    df = spark.createDataFrame(points, "symbol_id long, vector array<double>")
+    whole, centroids = vectors.k_means(df.repartition(7), 3)
+    sizes = sorted(r["n"] for r in whole.groupBy("cluster").agg(F.count("*").alias("n")).collect())
+    assert sizes == [60, 60, 60]
+    monkeypatch.setattr(vectors, "SCORES", 12)  # two rows at a time in this process
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(180)), pa.array(unit.tolist())], names=["symbol_id", "vector"])
+    c = np.array(centroids)
+    got = [b.to_pydict() for b in vectors._assigned(c)([batch])]
+    assert len(got) == 90 and sum((g["cluster"] for g in got), []) == (unit @ c.T).argmax(1).tolist()
+    (sums,) = vectors._added(vectors._totals(c)([batch, batch]))
+    for cluster, n, total in zip(*(sums.to_pydict()[k] for k in ("cluster", "n", "total")), strict=True):
+        mine = unit[(unit @ c.T).argmax(1) == cluster]
+        assert n == 2 * len(mine) and np.allclose(total, 2 * mine.sum(0))
 
 
 def test_many_ids_are_dense(spark):
@@ -214,3 +244,31 @@ def test_routes(spark, basic, tmp_path):
     assert [stores.shard_of(i, ["a", "b"]) for i in range(3)] == ["a", "b", "a"]
     with pytest.raises(ValueError):
         stores.shard_of(1, [])
+
+
+def test_database(spark, basic, tmp_path):
+    from loomgraph.sources import stores
+
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver", "numPartitions": "3"}
+    route = stores.Route(f"jdbc:derby:{tmp_path}/graphs;create=true", 7, options)
+    other = stores.Route(route.where, 8, options)
+    assert stores.write(basic, route) == 1
+    back = stores.read(spark, route)
+    for name, (schema, key) in snapshot.TABLES.items():
+        df = getattr(basic, name)
+        want = [] if df is None else df.select(*schema.names).collect()
+        assert sorted(map(str, getattr(back, name).collect())) == sorted(map(str, want))
+        assert (stores.split_column(schema, key) is None) == (name == "files")
+    assert back.symbols.rdd.getNumPartitions() > 1
+    stores.write(snapshot_of_nothing(spark), other)
+    assert stores.read(spark, other).symbols.count() == 0 and stores.read(spark, route).symbols.count() == 3
+    empty = spark.createDataFrame([], stores.schemas.META)
+    stores._connected(empty.write, route, "meta").mode("overwrite").save()
+    with pytest.raises(FileNotFoundError):
+        stores.read(spark, route)
+
+
+def snapshot_of_nothing(spark):
+    from loomgraph.plans.tables import Graph
+
+    return Graph(**{name: spark.createDataFrame([], schema) for name, (schema, _) in snapshot.TABLES.items()})
