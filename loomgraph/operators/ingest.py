@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,12 +93,20 @@ def resolve_calls(symbols: DataFrame, chains: DataFrame, calls: DataFrame) -> Da
     variable's type. Of several symbols of one step the best-scored counts, then the
     smallest id. Names compare in lower case. A call at a position that has several keeps one.
     """
-    # Candidates depend on the name and the caller's file only: score each pair once, not each call.
+    # What a call refers to depends on its names and the caller's file only: each such question is
+    # answered once, and calls meet the answers in one join.
     wanted = alias_names(symbols, calls.select("caller_id", "position", "call_name", "target_class", "target_method"))
     caller_file = symbols.select(F.col("id").alias("caller_id"), F.col("file").alias("caller_file"))
-    wanted = wanted.join(caller_file, "caller_id", "left").withColumn("full", F.lower("call_name"))
+    wanted = wanted.join(caller_file, "caller_id", "left").withColumns({
+        "full": F.lower("call_name"),
+        "short": F.lower(short_name(F.col("call_name"))),
+        "class_name": F.lower("target_class"),
+        "method_name": F.lower("target_method"),
+    })
+    question = ["caller_file", "full", "short", "alias", "class_name", "method_name"]
     # Read by each step below: computed once.
-    wanted = materialize(wanted.withColumn("short", F.lower(short_name(F.col("call_name")))))
+    wanted = materialize(wanted.select("caller_id", "position", *question))
+    asked = materialize(wanted.select(*question).distinct())
 
     overrides = F.exists("annotations", lambda a: a["name"] == "Override")
     owners = chains.select(F.col("func_id").alias("id"), F.lit(CHAIN_SCORE).alias("chain_score"))
@@ -117,10 +127,10 @@ def resolve_calls(symbols: DataFrame, chains: DataFrame, calls: DataFrame) -> Da
 
     def pick(key: str, only: str) -> DataFrame:
         """For each (name, caller's file): the best symbol, one in the file ahead by its bonus."""
-        asked = wanted.select(F.col(key).alias("key"), F.col("caller_file").alias("file")).filter("key is not null and key <> ''").distinct()
+        names = asked.select(F.col(key).alias("key"), F.col("caller_file").alias("file")).filter("key is not null and key <> ''").distinct()
         near = best_in_file.select("key", "file", F.col(only).alias("near"))
         far = best.select("key", F.col(only).alias("far"))
-        found = asked.join(far, "key").filter("far is not null").join(near, ["key", "file"], "left")
+        found = names.join(far, "key").filter("far is not null").join(near, ["key", "file"], "left")
         # A bonus for the caller's own file can only lift that file's best symbol.
         ahead = F.col("near.score") + SAME_FILE_SCORE
         wins = (ahead > F.col("far.score")) | ((ahead == F.col("far.score")) & (F.col("near.id") < F.col("far.id")))
@@ -128,20 +138,31 @@ def resolve_calls(symbols: DataFrame, chains: DataFrame, calls: DataFrame) -> Da
         return found.select(F.col("key").alias(f"{key}_key"), F.col("file").alias(f"{key}_file"), choice.alias(f"by_{key}"))
 
     hinted = class_methods(symbols).select("class_name", "method_name", F.col("id").alias("by_hint"))
-    wanted = wanted.withColumns({"class_name": F.lower("target_class"), "method_name": F.lower("target_method")})
-    wanted = wanted.join(hinted, ["class_name", "method_name"], "left")
+    hint_known = F.col("class_name").isNotNull() & F.col("method_name").isNotNull()
+    answers = _left_where(asked, hint_known, hinted.withColumnsRenamed({"class_name": "c", "method_name": "m"}), "class_name = c and method_name = m").drop("c", "m")
     for key, only in (("full", "any"), ("short", "callable"), ("alias", "any")):
         found = pick(key, only)
         on = (F.col(key) == F.col(f"{key}_key")) & F.col("caller_file").eqNullSafe(F.col(f"{key}_file"))
-        wanted = wanted.join(found, on, "left").drop(f"{key}_key", f"{key}_file")
+        # Most calls have no alias, all have names.
+        answers = _left_where(answers, F.col(key).isNotNull(), found, on) if key == "alias" else answers.join(found, on, "left")
+        answers = answers.drop(f"{key}_key", f"{key}_file")
     steps = ("by_hint", "by_full", "by_short", "by_alias")
     step = F.coalesce(*(F.when(F.col(s).isNotNull(), F.lit(i + 1)) for i, s in enumerate(steps)))
-    resolved = wanted.select("caller_id", "position", F.coalesce(*steps).alias("callee_id"), step.alias("step"))
-    return resolved.filter("callee_id is not null").groupBy("caller_id", "position").agg(
+    answers = answers.select(*question, F.coalesce(*steps).alias("callee_id"), step.alias("step")).filter("callee_id is not null")
+    same = reduce(Column.__and__, (F.col(f"w.{c}").eqNullSafe(F.col(f"a.{c}")) for c in question))
+    resolved = wanted.alias("w").join(answers.alias("a"), same).select("caller_id", "position", "callee_id", "step")
+    return resolved.groupBy("caller_id", "position").agg(
         F.min("callee_id").alias("callee_id"), F.min_by("step", "callee_id").alias("step")
     )
 
 
+def _left_where(rows: DataFrame, known: Column, table: DataFrame, on: Column | str) -> DataFrame:
+    """A left join in which only rows with known keys are shuffled: those without can't gather in one task."""
+    on = F.expr(on) if isinstance(on, str) else on
+    rest = rows.filter(~known).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema))
+    return rows.filter(known).join(table, on, "left").unionByName(rest)
+
+
 def _best(score: str, callable_only: bool = False) -> Column:
     rank = F.struct(-F.col(score), F.col("id"))
     if callable_only:
