@@ -1,0 +1,56 @@
+"""Questions pay for the tables that they read; joins hold no table at the driver and gather no key in one task."""
+
+from loomgraph.operators import flow, ingest
+from loomgraph.plans.tables import GraphOnDemand
+from loomgraph.schema import MARKERS
+from loomgraph.sources import star
+from tests.builders import call, chain, graph, symbol
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_are_made_when_asked_for_and_once(spark):
+    made = []
+    g = GraphOnDemand(spark, {"symbols": lambda g: made.append("symbols") or spark.range(3), "chains": lambda g: made.append("chains") or g.symbols})
+    assert made == []
+    assert g.chains.count() == 3 and g.symbols.count() == 3
+    assert made == ["chains", "symbols"]
+    other = g.with_chains(spark.range(1))
+    assert other.chains.count() == 1 and other.symbols is g.symbols and made == ["chains", "symbols"]
+
+
+def test_symbols_need_neither_chains_nor_edges(spark, small):
+    g = star.graph(spark, small)
+    assert g.symbols.count() > 0
+    assert set(g._made) == {"lines", "symbols"}
+
+
+def test_names_of_all_symbols_are_not_broadcast(spark):
+    g = graph(spark, [symbol(100, "f"), symbol(101, "g")], [chain(100, 101)])
+    assert "BroadcastExchange" not in plan(flow.described(g))
+
+
+def test_zeros_are_never_looked_up(spark):
+    """All symbols have a type_ref of 0 or their own: of the join by it only those with one may be part."""
+    rows = spark.createDataFrame([("a", 0), ("a", 7), ("a", 100), ("a", 555)], "path string, type_ref long")
+    ids = spark.createDataFrame([("a", 100, 900), ("a", 0, 1)], "path string, local_id long, id long")
+    assert sorted(r["type_ref"] for r in ingest._mapped(rows, ids, "type_ref").collect()) == [0, 7, 555, 900]
+
+
+def test_the_last_record_of_a_place_counts(spark):
+    symbols = [symbol(100, "f"), symbol(101, "g"), symbol(102, "x", kind="variable", scope_id=100)]
+    calls = [call(100, "g", 2, line=5, condition="late"), call(100, "g", 2, line=3, condition="early"), call(100, "g", 4, args=["x", "y"])]
+    g = graph(spark, symbols, [chain(100, MARKERS["LOOP"], 101, MARKERS["LOOP_BACK"], 101)], calls)
+    found = {r["position"]: r for r in flow.calls(g).collect()}
+    assert found[2]["line"] == 5 and found[4]["args"] == ["x", "y"]
+    edge = g.edges.head()
+    assert edge["position"] == 4 and edge["arg_ids"] == [102, 0] and edge["condition"] is None
+    assert found[2]["condition"] == "late"
+
+
+def test_names_come_from_the_scope_around_if_the_own_has_none(spark):
+    symbols = [symbol(100, "C", kind="class"), symbol(101, "m", kind="method", scope_id=100), symbol(102, "db", kind="field", scope_id=100, type_name="Store")]
+    found = ingest.alias_names(graph(spark, symbols).symbols, graph(spark, symbols, calls=[call(101, "db.save", 1), call(101, "no.save", 2), call(101, "plain", 3)]).call_records)
+    assert sorted((r["position"], r["alias"]) for r in found.collect()) == [(1, "store.save"), (2, None), (3, None)]
