@@ -1,6 +1,6 @@
 """Questions pay for the tables that they read; joins hold no table at the driver and gather no key in one task."""
 
-from loomgraph.operators import flow, ingest
+from loomgraph.operators import flow, ingest, sandbox
 from loomgraph.plans.tables import GraphOnDemand
 from loomgraph.schema import MARKERS
 from loomgraph.sources import star
@@ -54,3 +54,23 @@ def test_names_come_from_the_scope_around_if_the_own_has_none(spark):
     symbols = [symbol(100, "C", kind="class"), symbol(101, "m", kind="method", scope_id=100), symbol(102, "db", kind="field", scope_id=100, type_name="Store")]
     found = ingest.alias_names(graph(spark, symbols).symbols, graph(spark, symbols, calls=[call(101, "db.save", 1), call(101, "no.save", 2), call(101, "plain", 3)]).call_records)
     assert sorted((r["position"], r["alias"]) for r in found.collect()) == [(1, "store.save"), (2, None), (3, None)]
+
+
+def test_runs_are_compared_where_they_happen(spark, small):
+    """Traces of two policies or graphs meet in one task: no event is dealt out, and each chain's elements are read once for both."""
+    g = star.graph(spark, small)
+    for found in (sandbox.policy_delta(g, *sandbox.POLICIES, 2), sandbox.delta(g, g.with_chains(g.chains))):
+        shown = plan(found)
+        above = shown[: shown.index("MapInArrow")]  # what comes after the runs
+        assert shown.count("MapInArrow") == 1 and "Join" not in above and "Exchange" not in above and "Broadcast" not in shown
+    assert found.count() == 0
+
+
+def test_changes_of_functions_by_name_and_side(spark):
+    """Repeats stay, of several functions of a name the first runs, and one that is in one graph only is compared with nothing."""
+    symbols = [symbol(100, "f"), symbol(101, "g"), symbol(102, "h"), symbol(103, "f")]
+    chains = [chain(100, 101, 101, 102), chain(102, 101), chain(103, 102)]
+    g = graph(spark, symbols, chains)
+    after = g.with_chains(g.chains.filter("func_id <> 102").selectExpr("func_id", "filter(chain, (e, i) -> i = 0 or e <> 101) chain"))
+    found = sorted(tuple(r) for r in sandbox.delta(g, after).collect())
+    assert found == [("f", "removed", "call:g"), ("f", "removed", "call:g"), ("h", "removed", "call:g")]
