@@ -26,12 +26,12 @@ def references_page(symbols: DataFrame, call_sites: DataFrame, text: str, limit:
     return page(references(symbols, call_sites, text), ["func_name", "func_id"], limit, offset)
 
 
-def dependencies(symbols: DataFrame, call_sites: DataFrame) -> DataFrame:
+def dependencies(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """(name, is_internal, count): what precedes the first dot of called names, and how many calls have it.
 
-    A name is internal if a symbol has it; calls count once for each caller, line and name.
+    calls: records or sites. A name is internal if a symbol has it; calls count once for each caller, line and name.
     """
-    calls = call_sites.select("caller_id", "line", "call_name").distinct()
+    calls = calls.select("caller_id", "line", "call_name").distinct()
     modules = calls.select(F.lower(first_name(F.col("call_name"))).alias("name")).filter("name is not null")
     counted = modules.groupBy("name").agg(F.count("*").alias("count"))
     own = symbols.select(F.lower("name").alias("name")).distinct().withColumn("own", F.lit(True))
