@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,15 +17,22 @@ from loomgraph.schema import CALLABLE_KINDS
 
 @dataclass(frozen=True)
 class Assessment:
-    """matched (path, file, deleted); symbols (id, name, kind, file, line, change); affected calls; flows; new and unmatched paths."""
+    """matched (path, file, deleted); symbols (id, name, kind, file, line, change); affected calls; flows; new and unmatched paths.
+
+    Flows need the graph's edges, all else doesn't: they are made when they are asked for.
+    """
 
     matched: DataFrame
     symbols: DataFrame
     affected: DataFrame
-    flows: DataFrame
+    make_flows: Callable[[], DataFrame]
     new_files: DataFrame
     unmatched: DataFrame
 
+    @cached_property
+    def flows(self) -> DataFrame:
+        return self.make_flows()
+
 
 def match_files(diff_files: DataFrame, files: DataFrame, root: str = "") -> DataFrame:
     """(path, file): the indexed file of each path: itself, below the root, or the first that ends in /path.
@@ -67,18 +76,21 @@ def assess(graph: Graph, diff_files: DataFrame, diff_lines: DataFrame, root: str
 
     functions = modified.filter(F.col("kind").isin(*CALLABLE_KINDS)).select(F.col("id").alias("func_id"), "file")
     chains = graph.chains.join(functions, "func_id", "left_semi")
-    calls = flow.calls(graph, chains).join(functions, "func_id")
+    calls = flow.calls(graph, chains, with_edges=False).join(functions, "func_id")
     touched = calls.join(lines.select("file", F.col("new_line").alias("line")), ["file", "line"], "left_semi")
     affected = touched.join(chains, "func_id").select(
         "func_id", "position", "to_id", "to_name", "line", guard_markers(F.col("chain"), F.col("position")).alias("markers")
     )
-    spans = affected.groupBy("func_id").agg(F.min("position").alias("first"), F.max("position").alias("last"), F.count("*").alias("calls"))
-    own_edges = graph.edges.filter("caller_id <> callee_id").join(spans.select(F.col("func_id").alias("callee_id")), "callee_id", "left_semi")
-    callers = own_edges.groupBy(F.col("callee_id").alias("func_id")).agg(F.array_sort(F.collect_set("caller_id")).alias("called_by"))
-    flows = spans.join(chains, "func_id").join(callers, "func_id", "left").select(
-        "func_id", "calls", marker_window(F.col("chain"), F.col("first"), F.col("last")).alias("marker_window"),
-        F.coalesce("called_by", F.array().cast("array<bigint>")).alias("called_by"),
-    )
+
+    def flows() -> DataFrame:
+        spans = affected.groupBy("func_id").agg(F.min("position").alias("first"), F.max("position").alias("last"), F.count("*").alias("calls"))
+        own_edges = graph.edges.filter("caller_id <> callee_id").join(spans.select(F.col("func_id").alias("callee_id")), "callee_id", "left_semi")
+        callers = own_edges.groupBy(F.col("callee_id").alias("func_id")).agg(F.array_sort(F.collect_set("caller_id")).alias("called_by"))
+        return spans.join(chains, "func_id").join(callers, "func_id", "left").select(
+            "func_id", "calls", marker_window(F.col("chain"), F.col("first"), F.col("last")).alias("marker_window"),
+            F.coalesce("called_by", F.array().cast("array<bigint>")).alias("called_by"),
+        )
+
     return Assessment(matched, symbols, affected, flows, new_files, unmatched)
 
 

@@ -1,6 +1,8 @@
 """Questions pay for the tables that they read; joins hold no table at the driver and gather no key in one task."""
 
-from loomgraph.operators import flow, ingest, sandbox
+from loomgraph.operators import diff, flow, ingest, sandbox
+from loomgraph.plans import fixtures as fx
+from loomgraph.plans import queries
 from loomgraph.plans.tables import GraphOnDemand
 from loomgraph.schema import MARKERS
 from loomgraph.sources import star
@@ -74,3 +76,13 @@ def test_changes_of_functions_by_name_and_side(spark):
     after = g.with_chains(g.chains.filter("func_id <> 102").selectExpr("func_id", "filter(chain, (e, i) -> i = 0 or e <> 101) chain"))
     found = sorted(tuple(r) for r in sandbox.delta(g, after).collect())
     assert found == [("f", "removed", "call:g"), ("f", "removed", "call:g"), ("h", "removed", "call:g")]
+
+
+def test_affected_calls_need_no_edges(spark, small):
+    g = star.graph(spark, small)
+    found = diff.assess(g, *fx.diff_tables(spark))
+    assert found.affected.columns and found.symbols.columns and "edges" not in g._made
+
+
+def test_dependencies_look_up_no_aliases(spark, small):
+    assert "map_from_entries" not in plan(queries.a1_dependencies(spark, small))
