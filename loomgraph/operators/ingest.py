@@ -11,7 +11,7 @@ from loomgraph.functions.markers import is_symbol
 from loomgraph.functions.text import after_first_dot, first_name, short_name
 from loomgraph.plans.tables import Graph
 from loomgraph.schema import CALL_RECORDS, CALL_SITES, CALLABLE_KINDS, EDGES, FILES, FIRST_SYMBOL_ID, SYMBOLS
-from loomgraph.session import dense_ids, materialize
+from loomgraph.session import dealt_out, dense_ids, materialize
 
 #: What speaks for one of several symbols of the called name.
 OVERRIDE_SCORE, CHAIN_SCORE, CALLABLE_SCORE, SAME_FILE_SCORE = 10, 5, 4, 3
@@ -63,27 +63,32 @@ def class_methods(symbols: DataFrame) -> DataFrame:
     return pairs.groupBy("class_name", "method_name").agg(F.min_by("id", F.struct("class_id", "id")).alias("id"))
 
 
-def visible_names(symbols: DataFrame, named: DataFrame, asked: DataFrame, value: Column) -> DataFrame:
+def visible_names(symbols: DataFrame, named: DataFrame, asked: DataFrame, value: Column, rows: int) -> DataFrame:
     """(caller_id, names): a map from the names that callers ask for (caller_id, name) to their values.
 
     A name is looked up among the named symbols in the caller's scope, then in the scope around the caller; `value`
     is taken of all symbols of one name in a scope. Maps hold all names of the caller's scope and what was asked
-    of the one around it. Thus what asks is dealt out by caller only.
+    of the one around it. Thus what asks is dealt out by caller only. Names are dealt out as `rows` rows need it.
     """
-    dealt = named.filter("scope_id <> 0 and name is not null").select("scope_id", "name", "id", "type_name").repartition("scope_id")
+    dealt = dealt_out(named.filter("scope_id <> 0 and name is not null").select("scope_id", "name", "id", "type_name"), rows, "scope_id")
     values = dealt.groupBy("scope_id", "name").agg(value.alias("value"))
     as_map = lambda name: F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias(name)
-    mine = values.withColumnRenamed("scope_id", "caller_id").join(asked.select("caller_id").distinct(), "caller_id", "left_semi")
+    callers = asked.select("caller_id").distinct()
+    mine = values.withColumnRenamed("scope_id", "caller_id").join(callers, "caller_id", "left_semi")
     own = mine.groupBy("caller_id").agg(as_map("own"))
     around = values.withColumnRenamed("scope_id", "outer_id")
-    # Few callers are defined in a scope that has names.
+    # Few callers are defined in a scope that has names. Both tables are written, so that it is known how few: then
+    # neither what asks nor the names are dealt out for them.
     outer = symbols.filter("scope_id <> 0").select(F.col("id").alias("caller_id"), F.col("scope_id").alias("outer_id"))
-    outer = outer.join(around.select("outer_id").distinct(), "outer_id", "left_semi")
-    further = asked.select("caller_id", "name").filter("name is not null").distinct().join(outer, "caller_id").join(own, "caller_id", "left")
-    further = further.filter(F.try_element_at("own", F.col("name")).isNull()).select("caller_id", "outer_id", "name")
+    scopes = dealt.select(F.col("scope_id").alias("outer_id")).distinct()
+    outer = dealt_out(outer.join(scopes, "outer_id", "left_semi"), rows, "caller_id")
+    outer = materialize(outer.join(callers, "caller_id", "left_semi"))
+    further = materialize(asked.select("caller_id", "name").filter("name is not null").join(outer, "caller_id").distinct())
     beyond = further.join(around, ["outer_id", "name"]).groupBy("caller_id").agg(as_map("beyond"))
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{values.schema['value'].dataType.simpleString()}>"))
-    return own.join(beyond, "caller_id", "full").select("caller_id", F.map_concat(F.coalesce("own", none), F.coalesce("beyond", none)).alias("names"))
+    found = own.join(beyond, "caller_id", "full").select("caller_id", F.coalesce("own", none).alias("own"), F.coalesce("beyond", none).alias("beyond"))
+    hidden = F.map_filter("beyond", lambda name, _: ~F.map_contains_key("own", name))
+    return found.select("caller_id", F.map_concat("own", hidden).alias("names"))
 
 
 def alias_names(symbols: DataFrame, calls: DataFrame) -> DataFrame:
@@ -92,9 +97,11 @@ def alias_names(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     The variable is looked up in the caller's scope, then in the scope around the caller.
     """
     variable = first_name(F.col("call_name"))
-    types = visible_names(symbols, symbols.filter("type_name is not null"), calls.select("caller_id", variable.alias("name")), F.min_by("type_name", "id"))
+    rows = max(symbols.count(), calls.count())  # of both, so that names lie where the calls are
+    asked = calls.select("caller_id", variable.alias("name"))
+    types = visible_names(symbols, symbols.filter("type_name is not null"), asked, F.min_by("type_name", "id"), rows)
     alias = F.concat(F.lower(F.try_element_at("names", variable)), F.lit("."), F.lower(after_first_dot(F.col("call_name"))))
-    return calls.join(types, "caller_id", "left").withColumn("alias", alias).drop("names")
+    return dealt_out(calls, rows, "caller_id").join(types, "caller_id", "left").withColumn("alias", alias).drop("names")
 
 
 def resolve_calls(symbols: DataFrame, chains: DataFrame, calls: DataFrame) -> DataFrame:
@@ -225,7 +232,7 @@ def edges(symbols: DataFrame, chains: DataFrame, records: DataFrame) -> DataFram
     last = F.max_by(F.struct("position", "record"), "position").alias("last")
     described = with_records(elements, records, columns).groupBy("caller_id", F.col("element").alias("callee_id")).agg(last)
     asked = records.select("caller_id", F.explode("arg_exprs").alias("name"))
-    described = described.join(visible_names(symbols, symbols, asked, F.min("id")), "caller_id", "left")
+    described = described.join(visible_names(symbols, symbols, asked, F.min("id"), symbols.count()), "caller_id", "left")
     record = F.col("last.record")
     known = lambda expr: F.coalesce(F.try_element_at("names", expr), F.lit(0).cast("long"))
     return described.select(

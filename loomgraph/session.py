@@ -99,6 +99,21 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], replaces: list[s
     return found, [place]
 
 
+#: How many rows a task should sort or join at most; some hundred bytes each.
+ROWS_OF_A_TASK = 500_000
+
+
+def dealt_out(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt out by keys to as many tasks as this number of rows needs, or as the session asks for, if that is more.
+
+    So a task's memory doesn't grow with the input where a session has a fixed number of shuffle partitions. What is
+    joined to it or grouped by the keys follows.
+    """
+    tasks = -(-rows // ROWS_OF_A_TASK)
+    enough = tasks <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(*keys) if enough else df.repartition(tasks, *keys)
+
+
 def join_uneven(rows: DataFrame, table: DataFrame, key: str, times: str, total: int, few: int = 0) -> DataFrame:
     """Rows joined to a table with one row for each key; `times` holds at least how many rows have the key, `total` all of them.
 

@@ -14,7 +14,7 @@ from loomgraph.functions.effects import classify
 from loomgraph.operators import ingest
 from loomgraph.plans.tables import GraphOnDemand
 from loomgraph.schema import EMBEDDINGS, FILES, MARKERS, SYMBOLS
-from loomgraph.session import materialize
+from loomgraph.session import dealt_out, materialize
 
 REGION, NATION, EVENT_TYPE = 100, 1_000, 500
 SUPPLIER, CUSTOMER, PART, ORDER, USER = 1_000_000, 2_000_000, 10_000_000, 20_000_000, 40_000_000
@@ -64,7 +64,8 @@ def ordered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     nested = F.col("l_returnflag").isin("R", "A").cast("int")
     place = F.coalesce(F.sum(nested * 2 + 1).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + nested + 1
-    rows = table(spark, sf_dir, "lineitem").select(*kept).withColumns({"nth": F.row_number().over(before), "position": place.cast("int")})
+    read = table(spark, sf_dir, "lineitem").select(*kept)
+    rows = dealt_out(read, read.count(), "l_orderkey").withColumns({"nth": F.row_number().over(before), "position": place.cast("int")})
     return rows.drop("l_extendedprice", "l_shipdate")
 
 
@@ -72,6 +73,7 @@ def symbols(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) ->
     t = lambda name: table(spark, sf_dir, name)
     nation_of = lambda key: F.col(key).cast("long") + NATION
     own = F.lit("object_field")
+    orders = dealt_out(t("orders"), t("orders").count(), "o_orderkey")
     parts = [
         _symbol(t("region"), REGION, "r_regionkey", F.col("r_name"), "module", file=F.lit("geo")),
         _symbol(t("nation"), NATION, "n_nationkey", F.col("n_name"), "module", file=F.lit("geo"), scope=own, scope_id=F.col("n_regionkey").cast("long") + REGION),
@@ -86,7 +88,7 @@ def symbols(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) ->
             file=F.col("o_orderpriority"), scope_id=F.col("o_custkey") + CUSTOMER, annotations=_annotations("o_orderstatus"),
         ),
         _symbol(
-            t("orders").join(_first_suppliers(spark, sf_dir, lines), "o_orderkey", "left"), VARIABLE, "o_orderkey", F.lit("v"), "variable",
+            orders.join(_first_suppliers(spark, sf_dir, lines), "o_orderkey", "left"), VARIABLE, "o_orderkey", F.lit("v"), "variable",
             scope=F.lit("local"), scope_id=F.col("o_orderkey") + ORDER, file=F.col("o_orderpriority"), type_name=F.col("type_name"),
         ),
         _symbol(
@@ -115,7 +117,7 @@ def _ordered(df: DataFrame, owner: Column, order: list[Column], elements: Column
     Rows are dealt out as they are: arrays of them would take several times the space on the way.
     """
     keys = [o.alias(f"k{i}") for i, o in enumerate(order)]
-    dealt = df.withColumn("func_id", owner).repartition("func_id")
+    dealt = dealt_out(df.withColumn("func_id", owner), df.count(), "func_id")
     grouped = dealt.groupBy("func_id").agg(F.array_sort(collect(F.struct(*keys, elements.alias("e")))).alias("rows"))
     chain = F.flatten(F.concat(F.array(F.array("func_id")), F.transform("rows", lambda r: r["e"])))
     return grouped.select("func_id", chain.alias("chain"))

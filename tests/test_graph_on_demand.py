@@ -1,5 +1,6 @@
 """Questions pay for the tables that they read; joins hold no table at the driver and gather no key in one task."""
 
+from loomgraph import session
 from loomgraph.operators import diff, flow, ingest, sandbox
 from loomgraph.plans import fixtures as fx
 from loomgraph.plans import queries
@@ -86,3 +87,26 @@ def test_affected_calls_need_no_edges(spark, small):
 
 def test_dependencies_look_up_no_aliases(spark, small):
     assert "map_from_entries" not in plan(queries.a1_dependencies(spark, small))
+
+
+def test_tasks_follow_the_number_of_rows(spark, monkeypatch):
+    """A session's shuffle partitions are the fewest, not the most: else each task's memory grows with the input."""
+    rows = spark.range(10)
+    assert session.dealt_out(rows, 10, "id").rdd.getNumPartitions() <= 2
+    monkeypatch.setattr(session, "ROWS_OF_A_TASK", 2)
+    found = session.dealt_out(rows, 10, "id")
+    assert found.rdd.getNumPartitions() == 5 and found.count() == 10
+
+
+def test_aliases_are_looked_up_in_as_many_tasks_as_rows_need(spark, monkeypatch):
+    """Own names go ahead of those around, and what asks is not dealt out by (caller, name) for the few scopes around."""
+    symbols = [symbol(100, "C", kind="class"), symbol(101, "m", kind="method", scope_id=100), symbol(102, "db", kind="field", scope_id=100, type_name="Store")]
+    symbols += [symbol(103, "db", kind="variable", scope_id=101, type_name="Own"), symbol(104, "n", kind="method", scope_id=100), symbol(105, "to", scope_id=100, type_name="T")]
+    calls = [call(101, "db.save", 1), call(101, "to.save", 2), call(104, "db.save", 1), call(104, "none.save", 2), call(100, "db.x", 1)]
+    g = graph(spark, symbols, calls=calls)
+    monkeypatch.setattr(session, "ROWS_OF_A_TASK", 1)
+    found = ingest.alias_names(g.symbols, g.call_records)
+    assert "hashpartitioning(caller_id" in plan(found) and ", 6)" in plan(found)
+    assert sorted((r["caller_id"], r["position"], r["alias"]) for r in found.filter("alias is not null").collect()) == [
+        (100, 1, "store.x"), (101, 1, "own.save"), (101, 2, "t.save"), (104, 1, "store.save"),
+    ]
