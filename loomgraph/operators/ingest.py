@@ -13,6 +13,9 @@ from loomgraph.plans.tables import Graph
 from loomgraph.schema import CALL_RECORDS, CALL_SITES, CALLABLE_KINDS, EDGES, FILES, FIRST_SYMBOL_ID, SYMBOLS
 from loomgraph.session import dealt_out, dense_ids, materialize
 
+#: So many names meet calls by broadcast; if more are called, calls and symbols meet in joins.
+FEW_NAMES = 100_000
+
 #: What speaks for one of several symbols of the called name.
 OVERRIDE_SCORE, CHAIN_SCORE, CALLABLE_SCORE, SAME_FILE_SCORE = 10, 5, 4, 3
 
@@ -81,8 +84,8 @@ def visible_names(symbols: DataFrame, named: DataFrame, asked: DataFrame, value:
     # neither what asks nor the names are dealt out for them.
     outer = symbols.filter("scope_id <> 0").select(F.col("id").alias("caller_id"), F.col("scope_id").alias("outer_id"))
     scopes = dealt.select(F.col("scope_id").alias("outer_id")).distinct()
-    outer = dealt_out(outer.join(scopes, "outer_id", "left_semi"), rows, "caller_id")
-    outer = materialize(outer.join(callers, "caller_id", "left_semi"))
+    outer = dealt_out(outer.join(scopes, "outer_id", "left_semi"), rows, "caller_id").distinct()
+    outer = materialize(outer.join(callers, "caller_id"))  # callers are distinct; a semi-join would be made before dealing out
     further = materialize(asked.select("caller_id", "name").filter("name is not null").join(outer, "caller_id").distinct())
     beyond = further.join(around, ["outer_id", "name"]).groupBy("caller_id").agg(as_map("beyond"))
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{values.schema['value'].dataType.simpleString()}>"))
@@ -125,12 +128,22 @@ def resolve_calls(symbols: DataFrame, chains: DataFrame, calls: DataFrame) -> Da
     question = ["caller_file", "full", "short", "alias", "class_name", "method_name"]
     # Read by each step below: computed once.
     wanted = materialize(wanted.select("caller_id", "position", *question))
+    wanted_rows = wanted.count()
+    # Names that no symbol has are as good as none. If few are left, so are questions, and symbols to choose from.
+    called = wanted.select(F.explode(F.array_distinct(F.array("full", "short", "alias"))).alias("key")).distinct()
+    known = called.join(symbols.select(F.lower("name").alias("key")).distinct(), "key", "left_semi").filter("key <> ''")
+    candidates, known = symbols, materialize(known)
+    if _few(known):
+        for name in ("full", "short", "alias"):
+            on = F.col(name) == F.col("known.key")
+            wanted = wanted.join(F.broadcast(known.alias("known")), on, "left").withColumn(name, F.col("known.key")).drop("key")
+        candidates = _named(symbols, known)
     asked = materialize(wanted.select(*question).distinct())
 
     overrides = F.exists("annotations", lambda a: a["name"] == "Override")
     owners = chains.select(F.col("func_id").alias("id"), F.lit(CHAIN_SCORE).alias("chain_score"))
     callable_ = F.col("kind").isin(*CALLABLE_KINDS)
-    scored = symbols.join(owners, "id", "left").select(
+    scored = candidates.join(owners, "id", "left").select(
         F.lower("name").alias("key"),
         "id",
         "file",
@@ -156,8 +169,9 @@ def resolve_calls(symbols: DataFrame, chains: DataFrame, calls: DataFrame) -> Da
         choice = F.when(F.col("near").isNotNull() & wins, F.col("near.id")).otherwise(F.col("far.id"))
         return found.select(F.col("key").alias(f"{key}_key"), F.col("file").alias(f"{key}_file"), choice.alias(f"by_{key}"))
 
-    hinted = class_methods(symbols).select("class_name", "method_name", F.col("id").alias("by_hint"))
     hint_known = F.col("class_name").isNotNull() & F.col("method_name").isNotNull()
+    hints = materialize(asked.filter(hint_known).select(F.explode(F.array("class_name", "method_name")).alias("key")).distinct())
+    hinted = class_methods(_named(symbols, hints) if _few(hints) else symbols).select("class_name", "method_name", F.col("id").alias("by_hint"))
     answers = _left_where(asked, hint_known, hinted.withColumnsRenamed({"class_name": "c", "method_name": "m"}), "class_name = c and method_name = m").drop("c", "m")
     for key, only in (("full", "any"), ("short", "callable"), ("alias", "any")):
         found = pick(key, only)
@@ -167,14 +181,24 @@ def resolve_calls(symbols: DataFrame, chains: DataFrame, calls: DataFrame) -> Da
         answers = answers.drop(f"{key}_key", f"{key}_file")
     steps = ("by_hint", "by_full", "by_short", "by_alias")
     step = F.coalesce(*(F.when(F.col(s).isNotNull(), F.lit(i + 1)) for i, s in enumerate(steps)))
-    answers = answers.select(*question, F.coalesce(*steps).alias("callee_id"), step.alias("step")).filter("callee_id is not null")
+    # Written, so that Spark knows how few there are: then calls are not dealt out by question.
+    answers = materialize(answers.select(*question, F.coalesce(*steps).alias("callee_id"), step.alias("step")).filter("callee_id is not null"))
     same = reduce(Column.__and__, (F.col(f"w.{c}").eqNullSafe(F.col(f"a.{c}")) for c in question))
     resolved = wanted.alias("w").join(answers.alias("a"), same).select("caller_id", "position", "callee_id", "step")
-    return resolved.groupBy("caller_id", "position").agg(
+    return dealt_out(resolved, wanted_rows, "caller_id", "position").groupBy("caller_id", "position").agg(
         F.min("callee_id").alias("callee_id"), F.min_by("step", "callee_id").alias("step")
     )
 
 
+def _few(names: DataFrame) -> bool:
+    return names.limit(FEW_NAMES + 1).count() <= FEW_NAMES
+
+
+def _named(symbols: DataFrame, names: DataFrame) -> DataFrame:
+    """Symbols of these few names (key) in lower case."""
+    return symbols.join(F.broadcast(names), F.lower(symbols["name"]) == names["key"], "left_semi")
+
+
 def _left_where(rows: DataFrame, known: Column, table: DataFrame, on: Column | str) -> DataFrame:
     """A left join in which only rows with known keys are shuffled: those without can't gather in one task."""
     on = F.expr(on) if isinstance(on, str) else on

@@ -110,3 +110,22 @@ def test_aliases_are_looked_up_in_as_many_tasks_as_rows_need(spark, monkeypatch)
     assert sorted((r["caller_id"], r["position"], r["alias"]) for r in found.filter("alias is not null").collect()) == [
         (100, 1, "store.x"), (101, 1, "own.save"), (101, 2, "t.save"), (104, 1, "store.save"),
     ]
+
+
+def test_calls_meet_the_answers_to_few_questions_by_broadcast(spark, monkeypatch):
+    """What calls refer to is the same whether the names that symbols have are few or many; if few, calls are not dealt out by question."""
+    symbols = [
+        symbol(100, "Store", kind="class"), symbol(101, "save", kind="method", scope_id=100), symbol(102, "f"), symbol(103, "db", kind="variable", scope_id=102, type_name="Old"),
+        symbol(104, "old.load", kind="variable"), symbol(105, "a.b", kind="variable"), symbol(109, "b", path="z.ts"), symbol(106, "B"), symbol(107, "", kind="function"),
+    ]
+    calls = [
+        call(102, "x.unknown", 1), call(102, "a.b", 2), call(102, "q.b", 3), call(102, "db.load", 4), call(102, "any", 5, target=("STORE", "Save")),
+        call(102, "x.", 6), call(999, "q.B", 1), call(102, "gone", 7, target=("No", "save")),
+    ]
+    g = graph(spark, symbols, [chain(109, 102, path="z.ts")], calls)
+    found = ingest.resolve_calls(g.symbols, g.chains, g.call_records)
+    rows = sorted(tuple(r) for r in found.collect())
+    assert rows == [(102, 2, 105, 2), (102, 3, 108, 3), (102, 4, 104, 4), (102, 5, 101, 1), (999, 1, 108, 3)]
+    assert "SortMergeJoin" not in plan(found)
+    monkeypatch.setattr(ingest, "FEW_NAMES", 0)
+    assert sorted(tuple(r) for r in ingest.resolve_calls(g.symbols, g.chains, g.call_records).collect()) == rows
