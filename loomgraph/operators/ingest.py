@@ -26,31 +26,33 @@ def global_ids(parsed: DataFrame) -> DataFrame:
     return dense_ids(local, ["path", "local_id"], "id", FIRST_SYMBOL_ID).select("path", "local_id", "id")
 
 
-def _mapped(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Replace a file-local id by the global one; ids that are no symbol's stay.
+def _mapped(df: DataFrame, ids: DataFrame, column: str, rows: int = 0) -> DataFrame:
+    """Replace a file-local id by the global one; ids that are no symbol's stay. The rows are dealt out as `rows` rows need it.
 
     Zeros and markers are a few values on many rows, and are never looked up: they would gather in one task.
     """
     found = ids.select("path", F.col("local_id").alias(column), F.col("id").alias("new_id"))
     known = F.coalesce(is_symbol(F.col(column)), F.lit(False))
-    mapped = df.filter(known).join(found, ["path", column], "left").withColumn(column, F.coalesce("new_id", column))
+    mapped = dealt_out(df.filter(known), rows, "path", column).join(found, ["path", column], "left").withColumn(column, F.coalesce("new_id", column))
     return mapped.select(*df.columns).unionByName(df.filter(~known))
 
 
 def remap_symbols(parsed: DataFrame, ids: DataFrame) -> DataFrame:
-    renamed = parsed.withColumnRenamed("id", "local_id").join(ids, ["path", "local_id"]).drop("local_id")
-    return _mapped(_mapped(renamed, ids, "scope_id"), ids, "type_ref").select(*SYMBOLS.names)
+    rows = ids.count()
+    renamed = dealt_out(parsed.withColumnRenamed("id", "local_id"), rows, "path", "local_id").join(ids, ["path", "local_id"]).drop("local_id")
+    return _mapped(_mapped(renamed, ids, "scope_id", rows), ids, "type_ref", rows).select(*SYMBOLS.names)
 
 
 def remap_chains(parsed: DataFrame, ids: DataFrame) -> DataFrame:
     """Chains with global owner and elements; markers and placeholders stay."""
-    rows = _mapped(parsed.withColumnRenamed("func_id", "owner"), ids, "owner")
+    n = ids.count()
+    rows = _mapped(parsed.withColumnRenamed("func_id", "owner"), ids, "owner", n)
     elements = rows.select("path", "owner", F.posexplode("chain").alias("pos", "element"))
-    return _collected(_mapped(elements, ids, "element"), "owner", "element")
+    return _collected(_mapped(elements, ids, "element", n), "owner", "element")
 
 
 def remap_calls(parsed: DataFrame, ids: DataFrame) -> DataFrame:
-    return _mapped(parsed, ids, "caller_id").select(*CALL_RECORDS.names)
+    return _mapped(parsed, ids, "caller_id", ids.count()).select(*CALL_RECORDS.names)
 
 
 def _collected(elements: DataFrame, owner: str, element: str) -> DataFrame:

@@ -109,9 +109,13 @@ def dealt_out(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     So a task's memory doesn't grow with the input where a session has a fixed number of shuffle partitions. What is
     joined to it or grouped by the keys follows.
     """
+    tasks = _tasks(df.sparkSession, rows)
+    return df.repartition(tasks, *keys) if tasks else df.repartition(*keys)
+
+
+def _tasks(spark: SparkSession, rows: int) -> int | None:
     tasks = -(-rows // ROWS_OF_A_TASK)
-    enough = tasks <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(*keys) if enough else df.repartition(tasks, *keys)
+    return tasks if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
 
 
 def join_uneven(rows: DataFrame, table: DataFrame, key: str, times: str, total: int, few: int = 0) -> DataFrame:
@@ -137,7 +141,9 @@ def dense_ids(df: DataFrame, order: list[str], name: str, first: int) -> DataFra
     """
     place = "place_in_partition"
     low = (1 << 33) - 1  # monotonically_increasing_id keeps the row's place in its lower 33 bits
-    placed = materialize(df.orderBy(*order).withColumn(place, F.monotonically_increasing_id()))
+    tasks = _tasks(df.sparkSession, df.count())
+    ranged = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order) if tasks else df.orderBy(*order)
+    placed = materialize(ranged.withColumn(place, F.monotonically_increasing_id()))
     part = F.shiftright(place, 33)
     counts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
     starts, at = {}, first

@@ -1,5 +1,7 @@
 """Questions pay for the tables that they read; joins hold no table at the driver and gather no key in one task."""
 
+from pyspark.sql import functions as F
+
 from loomgraph import session
 from loomgraph.operators import diff, flow, ingest, sandbox
 from loomgraph.plans import fixtures as fx
@@ -129,3 +131,16 @@ def test_calls_meet_the_answers_to_few_questions_by_broadcast(spark, monkeypatch
     assert "SortMergeJoin" not in plan(found)
     monkeypatch.setattr(ingest, "FEW_NAMES", 0)
     assert sorted(tuple(r) for r in ingest.resolve_calls(g.symbols, g.chains, g.call_records).collect()) == rows
+
+
+def test_ids_are_mapped_in_as_many_tasks_as_rows_need(spark, monkeypatch):
+    rows = [(f"{i % 3}.ts", i, f"s{i}", i - 3 if i >= 103 else 0) for i in range(100, 120)]
+    parsed = graph(spark, [symbol(i, name, path=path, scope_id=scope) for path, i, name, scope in rows]).symbols.withColumn("path", F.col("file"))
+    monkeypatch.setattr(session, "ROWS_OF_A_TASK", 3)
+    ids = ingest.global_ids(parsed)
+    new = {(r["path"], r["local_id"]): r["id"] for r in ids.collect()}
+    assert [new[key] for key in sorted(new)] == list(range(100, 120))
+    found = ingest.remap_symbols(parsed, ids)
+    assert "hashpartitioning(path" in plan(found) and ", 7)" in plan(found)
+    old = {new[r["file"], r["id"]]: (r["name"], new.get((r["file"], r["scope_id"]), r["scope_id"])) for r in parsed.collect()}
+    assert {r["id"]: (r["name"], r["scope_id"]) for r in found.collect()} == old
